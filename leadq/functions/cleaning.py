@@ -34,7 +34,8 @@ def usable_name(name: Column, max_length: int = 100) -> Column:
     cut to `max_length`; otherwise NULL."""
     letters = F.length(F.regexp_replace(name, r"[^\p{L}]", ""))
     visible = F.length(F.regexp_replace(name, SPACE_RUN, ""))
-    return F.when(letters * 2 > visible, F.substring(name, 1, max_length))
+    plain = name.rlike("^[A-Za-z]+$")  # most names; saves the two replacements
+    return F.when(plain | (letters * 2 > visible), F.substring(name, 1, max_length))
 
 
 # --- phone -------------------------------------------------------------------------------
@@ -44,41 +45,54 @@ _EXTENSION = r"(?i)[\s,;]*(?:;?ext(?:n|ension)?[.:=]?|x|#)\s*[0-9]{1,7}#?$"
 _VIABLE = r"^[+]?(?:[-\s./()\[\]~*]*[0-9]){3}[-\s./()\[\]~*A-Za-z0-9]*$"
 
 
-def phone_digits(phone: Column) -> Column:
-    """Digits of a phone number with an optional leading '+'; NULL when it is no number.
+_PLAIN_PHONE = r"^[(]?[+]?[-0-9 ().]*$"
+
+
+def phone_digits(text: Column) -> Column:
+    """Digits of a stripped phone text with an optional leading '+'; NULL when it is no number.
 
     Text before the first digit or '+' and a trailing extension are dropped; three letters or
-    more after the first digits are read as keypad letters.
+    more after the first digits are read as keypad letters. Plain punctuated digits, which is
+    most numbers, need none of this.
     """
-    start = F.regexp_extract(strip(phone), r"[+0-9].*", 0)
+    start = F.regexp_extract(text, r"[+0-9].*", 0)
     core = F.regexp_replace(start, _EXTENSION, "")
     spelled = F.when(core.rlike(r"(?:.*[A-Za-z]){3}"), F.translate(F.upper(core), *_KEYPAD)).otherwise(core)
     digits = F.regexp_replace(spelled, r"[^0-9]", "")
-    return F.when(core.rlike(_VIABLE), F.when(core.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits))
+    read = F.when(core.rlike(_VIABLE), F.when(core.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits))
+    return F.when(text.rlike(_PLAIN_PHONE), F.translate(text, "-() .", "")).otherwise(read)
 
 
-def phone_from_digits(d: Column) -> Column:
-    """E.164 form, with the US as default country; lengths are checked, ranges are not.
-
-    US numbers have 10 digits, or 7 for a local one. Other countries are accepted with 7 to 15
-    digits. A number made of zeros only is no number: it would join strangers.
-    """
-    foreign = F.when(d.startswith("+"), F.substring(d, 2, 20)).when(
+def foreign_digits(d: Column) -> Column:
+    """Country code and number of a number dialled with '+' or the US prefix for abroad."""
+    return F.when(d.startswith("+"), F.substring(d, 2, 20)).when(
         d.startswith("011") & (F.length(d) > 10), F.substring(d, 4, 20)
     )
-    national = (
+
+
+def us_digits(d: Column, foreign: Column) -> Column:
+    return (
         F.when(foreign.startswith("1"), F.substring(foreign, 2, 20))
         .when(foreign.isNotNull(), F.lit(None))
         .when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10))
         .otherwise(d)
     )
+
+
+def e164(us: Column, foreign: Column) -> Column:
+    """E.164 form, with the US as default country; lengths are checked, ranges are not.
+
+    US numbers have 10 digits, or 7 for a local one. Other countries are accepted with 7 to 15
+    digits. A number made of zeros only is no number: it would join strangers.
+    """
     return F.when(
-        F.length(national).isin(7, 10) & national.rlike("[1-9]"), F.concat(F.lit("+1"), national)
+        F.length(us).isin(7, 10) & (F.translate(us, "0", "") != ""), F.concat(F.lit("+1"), us)
     ).when(foreign.rlike("^[2-9][0-9]{6,14}$"), F.concat(F.lit("+"), foreign))
 
 
 def normalize_phone(phone: Column) -> Column:
-    return phone_from_digits(phone_digits(phone))
+    d = phone_digits(strip(phone))
+    return e164(us_digits(d, foreign_digits(d)), foreign_digits(d))
 
 
 # --- email -------------------------------------------------------------------------------
@@ -139,15 +153,20 @@ _MONTH = (
     r"[A-Za-z]*\.?"
 )
 # Date shapes and the year-month-day order they are brought into.
-_DATE_SHAPES = [
-    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])", "$1-$2-$3"),
+_NUMBER_DATES = [
     (r"^(1[3-9]|[23][0-9])[-/.]([0-9]{1,2})[-/.]([0-9]{4})(?![0-9])", "$3-$2-$1"),  # day first: no such month
     (r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})(?![0-9])", "$3-$1-$2"),
+]
+_NAMED_DATES = [
     (r"^([0-9]{1,2})[-/. ]" + _MONTH + r"[-/., ]+([0-9]{4})(?![0-9])", "$3-$2-$1"),
     (r"^" + _MONTH + r"[- ]+([0-9]{1,2})[, -]+([0-9]{4})(?![0-9])", "$3-$1-$2"),
+]
+_YEAR_DATES = [
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])", "$1-$2-$3"),
     (r"^([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])", "$1-$2-$3"),
     (r"^([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})$", "$1-$2-$3 $4:$5:$6"),
 ]
+_FULL_ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[T ][0-9]{1,2}:[0-9]{2}:[0-9]{2}Z?)?$"
 _ISO = (
     r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
     r"(?:[T ,]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?(?:\s*[AaPp][Mm])?"
@@ -155,13 +174,22 @@ _ISO = (
 )
 
 
-def year_first(text: Column) -> Column:
-    """Bring the date at the start of a text into year-month-day order."""
-    for shape, order in _DATE_SHAPES:
+def _reordered(text: Column, shapes: list[tuple[str, str]]) -> Column:
+    for shape, order in shapes:
         text = F.regexp_replace(text, shape, order)
     return text
 
 
+def year_first(text: Column) -> Column:
+    """Bring the date at the start of a text into year-month-day order."""
+    return (
+        F.when(text.rlike("^[0-9]{4}-"), text)
+        .when(text.rlike("^[0-9]{1,2}[-/.][0-9]"), _reordered(text, _NUMBER_DATES))
+        .when(text.rlike("^[0-9]{4}"), _reordered(text, _YEAR_DATES))
+        .otherwise(_reordered(text, _NAMED_DATES))
+    )
+
+
 def month_as_number(date: Column) -> Column:
     name = F.lower(F.regexp_extract(date, r"^[0-9]{4}-([A-Za-z]{3})-", 1))
     number = F.floor((F.instr(F.lit(_MONTHS), name) + 2) / 3).cast("string")
@@ -177,7 +205,9 @@ def timestamp_from_iso(iso: Column, text: Column, epoch_text: bool = True) -> Co
     half = F.lower(F.regexp_extract(iso, r"([0-9]{1,2}):[0-9:.]+\s*([AaPp])[Mm]", 2))
     hour = F.regexp_extract(iso, r"([0-9]{1,2}):", 1)
     shift = F.when((half == "p") & (hour != "12"), 12).when((half == "a") & (hour == "12"), -12).otherwise(0)
-    moment = F.when(iso.rlike(_ISO), plain.try_cast("timestamp") + F.make_interval(hours=shift))
+    moment = F.when(iso.rlike(_FULL_ISO), iso.try_cast("timestamp")).when(
+        iso.rlike(_ISO), plain.try_cast("timestamp") + F.make_interval(hours=shift)
+    )
     if epoch_text:
         seconds = F.when(text.rlike(r"^[0-9]{10}(?:\.[0-9]+)?$"), F.timestamp_seconds(text.try_cast("double")))
         return F.coalesce(moment, seconds)

@@ -12,6 +12,7 @@ from leadq.functions.strings import strip
 
 # Text columns of a mapped record and the scratch columns of a cleaning step.
 _WORDS, _FIRST_WORDS, _DIGITS, _EMAIL, _TIME, _ISO = "_words", "_first_words", "_digits", "_email", "_time", "_iso"
+_FOREIGN, _US = "_foreign", "_us"
 
 
 def with_columns_missing_as_null(df: DataFrame, names: list[str]) -> DataFrame:
@@ -43,12 +44,16 @@ def rescue_names(df: DataFrame) -> DataFrame:
 
 
 def clean_phone(df: DataFrame, column: str = "phone_e164") -> DataFrame:
-    df = df.withColumn(_DIGITS, C.phone_digits(F.col(column)))
-    return df.withColumn(column, C.phone_from_digits(F.col(_DIGITS))).drop(_DIGITS)
+    df = df.withColumn(_DIGITS, strip(F.col(column)))
+    df = df.withColumn(_DIGITS, C.phone_digits(F.col(_DIGITS)))
+    df = df.withColumn(_FOREIGN, C.foreign_digits(F.col(_DIGITS)))
+    df = df.withColumn(_US, C.us_digits(F.col(_DIGITS), F.col(_FOREIGN)))
+    return df.withColumn(column, C.e164(F.col(_US), F.col(_FOREIGN))).drop(_DIGITS, _FOREIGN, _US)
 
 
 def clean_email(df: DataFrame, column: str = "email") -> DataFrame:
-    df = df.withColumn(_EMAIL, C.valid_email(C.email_text(F.col(column))))
+    df = df.withColumn(_EMAIL, C.email_text(F.col(column)))
+    df = df.withColumn(_EMAIL, C.valid_email(F.col(_EMAIL)))
     return df.withColumn(column, C.fix_email_domain(F.col(_EMAIL))).drop(_EMAIL)
 
 
@@ -69,7 +74,8 @@ def clean_leads(df: DataFrame, epoch_text: bool = True) -> DataFrame:
     df = rescue_names(df)
     df = clean_email(clean_phone(df))
     df = clean_timestamp(df, epoch_text=epoch_text)
-    return df.withColumn("consent", C.normalize_consent(F.col("consent")))
+    df = df.withColumn("consent", F.lower(strip(F.col("consent"))))
+    return df.withColumn("consent", C.consent_from_text(F.col("consent")))
 
 
 def check_contract(df: DataFrame) -> DataFrame:
@@ -98,4 +104,4 @@ def contract_report(df: DataFrame) -> DataFrame:
         "phone is E.164": ~F.col("phone_e164").rlike(r"^\+[1-9][0-9]{6,14}$"),
     }
     counts = check_contract(df).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
-    return counts.unpivot([], list(checks), "check_name", "broken_rows")
+    return counts.unpivot([], [F.col(f"`{n}`").alias(n) for n in checks], "check_name", "broken_rows")

@@ -37,7 +37,8 @@ def match_keys(leads: DataFrame, scope: str = DATASET, keep: list[str] | None =
             _scoped("phone", F.col("phone_e164"), scope),
         )
     )
-    return leads.select("ord", *(keep or []), F.explode(keys).alias("key"))
+    # explode_outer: the optimizer would repeat the cleaning in a filter on explode's input
+    return leads.select("ord", *(keep or []), F.explode_outer(keys).alias("key")).filter(F.col("key").isNotNull())
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:

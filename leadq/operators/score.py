@@ -28,17 +28,24 @@ def score(df: DataFrame, model: Column | None = None) -> DataFrame:
     return flagged.withColumn("quality_score", R.final_score(R.rule_score(F.col(_FLAGS)), model)).drop(_FLAGS)
 
 
+def _status(df: DataFrame) -> Column:
+    start = F.when(F.col("status") == S.DUPLICATE, S.DUPLICATE) if "status" in df.columns else F
+    return start.when(R.needs_flag(F.col(_FLAGS)), S.FLAGGED).otherwise(S.CLEAN)
+
+
 def flag(df: DataFrame) -> DataFrame:
     """Set the status of kept leads; a lead already filed as a duplicate stays one."""
-    flagged = with_signals(df)
-    status = F.when(F.col("status") == S.DUPLICATE, S.DUPLICATE) if "status" in df.columns else F
-    return flagged.withColumn("status", status.when(R.needs_flag(F.col(_FLAGS)), S.FLAGGED).otherwise(S.CLEAN)).drop(_FLAGS)
+    return with_signals(df).withColumn("status", _status(df)).drop(_FLAGS)
 
 
 def explain(df: DataFrame) -> DataFrame:
     """Add `diagnosis`, `suggested_action` and the two lists of signals behind them."""
+    return _explain(with_signals(df)).drop(_FLAGS)
+
+
+def _explain(df: DataFrame) -> DataFrame:
     flags = F.col(_FLAGS)
-    df = with_signals(df).withColumns(
+    df = df.withColumns(
         {"positive_signals": R.strengths(flags, F.col("campaign_id")), "negative_signals": R.concerns(flags)}
     )
     return df.withColumns(
@@ -46,14 +53,19 @@ def explain(df: DataFrame) -> DataFrame:
             "diagnosis": R.diagnosis(F.col("quality_score"), F.col("positive_signals"), F.col("negative_signals")),
             "suggested_action": R.suggested_action(F.col("quality_score"), flags),
         }
-    ).drop(_FLAGS)
+    )
 
 
 def annotate(df: DataFrame) -> DataFrame:
     return explain(df).drop("positive_signals", "negative_signals")
 
 
+def finish(df: DataFrame) -> DataFrame:
+    """Status and texts of resolved leads, from one evaluation of the signals."""
+    flagged = with_signals(df)
+    return _explain(flagged.withColumn("status", _status(df))).drop("positive_signals", "negative_signals", _FLAGS)
+
+
 def rescore(df: DataFrame) -> DataFrame:
     """Score, status and texts of stored leads under the current rules; all other columns stay."""
-    kept = df.columns
-    return annotate(flag(score(df))).select(*kept)
+    return finish(score(df)).select(*df.columns)

@@ -31,42 +31,39 @@ def _error(when: Column, field: str, message: str, kind: str) -> Column:
     )
 
 
-def errors_column(not_text: Column) -> Column:
-    """Errors of a cleaned record. `not_text` lists the text fields that arrived as a JSON
-    number, bool, list or object."""
+def errors_column(not_text: Column, cleaned: bool = False) -> Column:
+    """Errors of a record. `not_text` lists the text fields that arrived as a JSON number, bool,
+    list or object. The phone of a cleaned record is in form by construction; leaving its check
+    out keeps a filter on the errors a matter of two input columns."""
     checks = [
         _error(F.array_contains(not_text, f), f, "Input should be a valid string", "string_type")
         for f in ("first_name", "last_name", "campaign_id")
     ]
-    checks.insert(
-        2,
-        _error(
-            ~F.col("phone_e164").rlike(PHONE_PATTERN),
-            "phone_e164",
-            "String should match pattern '^\\+[1-9]\\d{6,14}$'",
-            "string_pattern_mismatch",
-        ),
-    )
+    if not cleaned:
+        phone_form = F.col("phone_e164").rlike(PHONE_PATTERN)
+        message = "String should match pattern '^\\+[1-9]\\d{6,14}$'"
+        checks.insert(2, _error(~phone_form, "phone_e164", message, "string_pattern_mismatch"))
     expected = ", ".join(f"'{s}'" for s in S.SOURCES[:-1]) + f" or '{S.SOURCES[-1]}'"
-    checks.insert(3, _error(~F.coalesce(F.col("source").isin(S.SOURCES), F.lit(False)), "source", f"Input should be {expected}", "enum"))
+    checks.insert(-1, _error(~F.coalesce(F.col("source").isin(S.SOURCES), F.lit(False)), "source", f"Input should be {expected}", "enum"))
     return F.array_compact(F.array(*checks))
 
 
-def validate(df: DataFrame, batch_ts: Column) -> DataFrame:
+def validate(df: DataFrame, batch_ts: Column, cleaned: bool = False) -> DataFrame:
     """One projection: repaired fields, `lead_id` and the list of `errors`.
 
-    `batch_ts` stands in for a missing timestamp, the same for the whole batch.
+    `batch_ts` stands in for a missing timestamp, the same for the whole batch. `cleaned` says
+    that emails and phones come from `clean_leads` and need no second check.
     """
     not_text = F.col("not_text") if "not_text" in df.columns else F.array().cast("array<string>")
     if "raw_payload" not in df.columns:
         df = df.withColumn("raw_payload", F.lit(None).cast("string"))
-    df = df.withColumn("errors", errors_column(not_text))
+    df = df.withColumn("errors", errors_column(not_text, cleaned))
     return df.withColumns(
         {
             "lead_id": lead_id(F.col("dataset_id"), F.col("source"), F.col("ord")),
             "first_name": C.usable_name(F.col("first_name")),
             "last_name": C.usable_name(F.col("last_name")),
-            "email": C.valid_email(C.email_text(F.col("email"))),
+            "email": F.col("email") if cleaned else C.valid_email(C.email_text(F.col("email"))),
             "consent": F.coalesce(F.col("consent"), F.lit(False)),
             "created_at": F.coalesce(F.col("created_at"), batch_ts),
         }

@@ -28,7 +28,7 @@ def timestamp(value: datetime | str) -> Column:
 def prepare(mapped: DataFrame, batch_ts: Column, model: Column | None = None, epoch_text: bool = True) -> DataFrame:
     """Cleaned, validated and scored rows with their `errors`: one projection over the scan."""
     cleaned = clean.check_contract(clean.clean_leads(mapped, epoch_text))
-    return score.score(validate.validate(cleaned, batch_ts), model)
+    return score.score(validate.validate(cleaned, batch_ts, cleaned=True), model)
 
 
 def process(
@@ -53,7 +53,7 @@ def process(
     if stored is not None:
         new = dedup.against_stored(kept, stored, scope)
         kept, duplicates = new.kept, duplicates.unionByName(new.duplicates)
-    return Batch(score.annotate(score.flag(kept)), score.annotate(duplicates), parts.invalid)
+    return Batch(score.finish(kept), score.finish(duplicates), parts.invalid)
 
 
 def map_records(records: DataFrame, memory: DataFrame, resolver: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
