@@ -262,8 +262,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, chunk: int = CORP
         entries = corpus.filter(part == i).select(
             F.collect_list(F.struct(F.col("corpus_id").cast("string").alias("corpus_id"), F.col("vector")))
         ).scalar()
+        df = df.withColumn("_corpus", entries)
         scored = F.transform(
-            entries,
+            "_corpus",
             lambda e: F.struct(
                 F.round(cosine(F.col("vector"), e["vector"]), 9).alias("similarity"), e["corpus_id"].alias("corpus_id")
             ),

@@ -165,7 +165,7 @@ SELECT concat('ds-', CAST(user_id AS STRING)) AS dataset_id,
   CASE event_type WHEN 'view' THEN props END AS notes,
   CASE event_type WHEN 'error' THEN 'late' END AS tags,
   CASE event_type WHEN 'signup' THEN ts END AS created_at,
-  CASE WHEN event_type = 'error' AND value > 20 THEN TRUE END AS deleted,
+  CASE WHEN event_type = 'error' AND value > 150 THEN TRUE END AS deleted,
   ts AS logged_at
 FROM {events}
 """

@@ -106,7 +106,8 @@ def read_csv(spark: SparkSession, path: str, source: str, multi_line: bool = Tru
     records = rows.filter(~too_long).select(
         F.lit(source).alias("source"), F.create_map(*cells).alias("raw"), F.array().cast(_NO_FIELDS).alias("not_text")
     )
-    bad = rows.filter(too_long)
+    # a scan may not read the bad-row column alone
+    bad = rows.filter(too_long).withColumn("_bad_row", F.coalesce("_bad_row", F.col(f"`{names[0]}`")))
     return Feed(records, quarantine.entries(bad, source, F.col("_bad_row"), F.lit("unreadable row"), F.lit("too many values")))
 
 

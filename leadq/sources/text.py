@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A file up to this size is one posted body: it is read whole, and taken apart into lines only
 # when it is not one JSON document. Larger files are read by lines, in splits.
-WHOLE_FILE_BYTES = 32 * 1024 * 1024
+WHOLE_FILE_BYTES = 8 * 1024 * 1024
 
 
 def decode_text(content: Column) -> Column:
@@ -36,23 +36,28 @@ def read_bodies(spark: SparkSession, path: str | list[str], layout: str = "auto"
     return {"auto": whole.unionByName(lines), "document": whole, "lines": lines}[layout]
 
 
+def _document(value: Column) -> Column:
+    """The text as a VARIANT if it is exactly one JSON document; NULL otherwise."""
+    # inside brackets, because the parser would stop at the end of a first document
+    alone = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    return F.when(F.try_variant_get(alone, "$[1]", "variant").isNull(), F.try_variant_get(alone, "$[0]", "variant"))
+
+
 def json_items(bodies: DataFrame) -> DataFrame:
     """`(value, item, problem)`: JSON objects as VARIANT, or text with what is wrong with it.
 
     A body may be one object, an array of objects, or lines of such. Blank lines are skipped;
     a body that is a bare number, string or bool holds no records.
     """
-    parsed = bodies.withColumn("doc", F.try_parse_json("value"))
-    broken = parsed.filter(F.col("whole") & F.col("doc").isNull())
-    lines = broken.select(F.explode(F.split("value", r"\r\n|\n|\r")).alias("value"), F.lit(False).alias("whole"))
-    documents = parsed.filter(~(F.col("whole") & F.col("doc").isNull())).unionByName(
-        lines.withColumn("doc", F.try_parse_json("value"))
-    )
+    parsed = bodies.withColumn("doc", _document(F.col("value")))
+    many = F.col("whole") & F.col("doc").isNull()
+    lines = parsed.filter(many).select(F.explode(F.split("value", r"\r\n|\n|\r")).alias("value"), F.lit(False).alias("whole"))
+    documents = parsed.filter(~many).unionByName(lines.withColumn("doc", _document(F.col("value"))))
     documents = documents.filter(F.trim("value") != "").withColumn("kind", F.schema_of_variant("doc"))
     kind = F.col("kind")
     scalar_body = F.col("whole") & kind.isNotNull() & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
-    items = F.when(kind.startswith("ARRAY"), F.expr("try_variant_get(doc, '$', 'array<variant>')")).otherwise(F.array("doc"))
-    singles = documents.filter(~F.coalesce(scalar_body, F.lit(False))).select("value", F.explode_outer(items).alias("item"))
+    items = F.when(kind.startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array("doc"))
+    singles = documents.filter(~F.coalesce(scalar_body, F.lit(False))).select("value", F.explode(items).alias("item"))
     is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
     problem = F.when(F.col("item").isNull(), "malformed JSON").when(~is_object, "not an object")
     return singles.withColumn("problem", problem)
