@@ -130,7 +130,7 @@ def stored_keys(stored: DataFrame, scope: str = DATASET) -> DataFrame:
     return keys.groupBy("key").agg(F.min_by("lead_id", "ord").alias("stored_lead_id"))
 
 
-def existing_keys(incoming: DataFrame, stored: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def existing_keys(incoming: DataFrame, stored: DataFrame, scope: str = DATASET) -> DataFrame:
     """`(key, stored_lead_id)` of the identifiers of `incoming` that are already stored."""
     wanted = match_keys(incoming, scope).select("key").distinct()
     return stored_keys(stored, scope).join(wanted, "key", "left_semi")

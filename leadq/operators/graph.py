@@ -20,11 +20,12 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Data
     current = cut(edges.select("a", "b").distinct())
     while True:
         both = current.union(current.select("b", "a"))
-        stats = both.groupBy(F.col("a").alias("node")).agg(
-            F.min("b").alias("lowest"),
-            F.max("b").alias("highest"),
-            F.count_if(F.col("b") < F.col("a")).alias("below"),
-            F.count_if(F.col("b") > F.col("a")).alias("above"),
+        stats = cut(
+            both.groupBy(F.col("a").alias("node")).agg(
+                F.min("b").alias("lowest"),
+                F.count_if(F.col("b") < F.col("a")).alias("below"),
+                F.count_if(F.col("b") > F.col("a")).alias("above"),
+            )
         )
         # A star centre has no lower neighbour and a leaf has exactly one neighbour.
         open_nodes = stats.filter((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)))
@@ -34,15 +35,15 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Data
         lows = stats.filter("above > 0").select(
             F.col("node").alias("a"), F.least("node", "lowest").alias("low"), F.col("above").alias("size")
         )
-        raised = (
-            join_groups(current, lows, "a", "size", heavy_rows)
+        raised = cut(
+            join_groups(current, lows, "a", "size", heavy_rows, ready=True)
             .select(F.col("b").alias("child"), F.col("low").alias("parent"))
             .distinct()
         )
         # small star: a node and its parents move to the smallest of its parents
-        tops = raised.groupBy("child").agg(F.min("parent").alias("top"), F.count("*").alias("size"))
+        tops = cut(raised.groupBy("child").agg(F.min("parent").alias("top"), F.count("*").alias("size")))
         moved = (
-            join_groups(raised, tops.filter("size > 1"), "child", "size", heavy_rows)
+            join_groups(raised, tops.filter("size > 1"), "child", "size", heavy_rows, ready=True)
             .filter(F.col("parent") != F.col("top"))
             .select(F.col("top").alias("a"), F.col("parent").alias("b"))
         )

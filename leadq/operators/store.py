@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadq import schema as S
 from leadq.operators.logs import latest
+from leadq.operators.skew import join_groups
 
 PARTITIONS = ["dataset_id", "batch_id"]
 
@@ -180,9 +181,11 @@ def record_dispositions(requests: DataFrame, leads: DataFrame) -> tuple[DataFram
     """Split requests `(lead_id, disposition, ...)` into accepted ones and refused ones, the
     latter with a reason: unknown status, or no such lead."""
     valid = F.coalesce(F.col("disposition").isin(S.CALL_STATUSES), F.lit(False))
-    ids = leads.select("lead_id")
-    accepted = requests.filter(valid).join(ids, "lead_id", "left_semi")
-    unknown = requests.filter(valid).join(ids, "lead_id", "left_anti").withColumn("reason", F.lit("unknown lead"))
+    asked, ids = requests.filter(valid), leads.select("lead_id")
+    sizes = asked.groupBy("lead_id").agg(F.count("*").alias("size"))  # a lead may be asked for very often
+    accepted = join_groups(asked, sizes.join(ids, "lead_id", "left_semi"), "lead_id", "size").drop("size")
+    unknown = join_groups(asked, sizes.join(ids, "lead_id", "left_anti"), "lead_id", "size").drop("size")
+    unknown = unknown.withColumn("reason", F.lit("unknown lead"))
     refused = requests.filter(~valid).withColumn("reason", F.lit("unknown status")).unionByName(unknown)
     return accepted, refused
 
@@ -201,13 +204,10 @@ def scoped(table: DataFrame, dataset_id: str | None = None) -> DataFrame:
 
 
 def active(table: DataFrame, datasets_log: DataFrame) -> DataFrame:
-    """Rows of datasets that were not deleted."""
-    gone = datasets_log.filter("deleted").select("dataset_id").distinct()
-    return table.join(gone, "dataset_id", "left_anti")
-
-
-def condition(*filters: Column) -> Column:
-    out = F.lit(True)
-    for f in filters:
-        out = out & f
-    return out
+    """Rows of datasets that were not deleted; rows without a dataset stay. One dataset may hold
+    most of the rows, so they are matched as groups."""
+    columns = table.columns
+    rows = table.withColumn("_dataset", F.coalesce("dataset_id", F.lit("")))
+    gone = datasets_log.filter("deleted").select(F.col("dataset_id").alias("_dataset")).distinct()
+    alive = rows.groupBy("_dataset").agg(F.count("*").alias("_size")).join(gone, "_dataset", "left_anti")
+    return join_groups(rows, alive, "_dataset", "_size").select(*columns)
