@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadq.llm import chat, exact_dedup, fingerprint, mixing
+from leadq.llm import chat, exact_dedup, fingerprint, mixing, substring
 from leadq.llm.frames import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op9_mixing_sources(spark, sf):
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op10_substring_dedup(spark, sf):
+    left = substring.remove_repeats(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 SQL = {
     "op5_chat_formatting": """
 WITH turns AS (
@@ -60,6 +66,22 @@ stay AS (SELECT * FROM one WHERE told NOT IN (SELECT told FROM begun))
 SELECT t.conv_id, coalesce(floor(t.turn / 4096), -1)::BIGINT AS part, any_value(s.n_turns) AS n_turns, any_value(s.copies) AS copies,
   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
 FROM turns t JOIN stay s USING (conv_id) GROUP BY ALL
+""",
+    "op10_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS run FROM starts),
+later AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS p FROM later),
+each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM words),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.p) AS text
+  FROM each_word e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """,
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
