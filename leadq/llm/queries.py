@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadq.llm import chat, exact_dedup, fingerprint, mixing, substring
+from leadq.llm import bpe, chat, exact_dedup, fingerprint, mixing, substring, token_counts
 from leadq.llm.frames import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def codec() -> bpe.Codec:
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @register
 def op2_document_fingerprints(spark, sf):
     return fingerprint.edit_report(table(spark, sf, "documents"))
 
 
+@register
+def op4_token_counts(spark, sf):
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents"), codec()))
+
+
 @register
 def op5_chat_formatting(spark, sf):
     return chat.render(table(spark, sf, "conversations"))
@@ -39,6 +49,11 @@ def op7_exact_dedup(spark, sf):
     return exact_dedup.mark_duplicates(docs, drop_text=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register
+def op8_byte_bpe(spark, sf):
+    return bpe.digests(table(spark, sf, "documents"), codec())
+
+
 @register
 def op9_mixing_sources(spark, sf):
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
