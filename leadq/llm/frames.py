@@ -44,8 +44,8 @@ def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, i
     `recall`, using at most `most_hashes` hash functions."""
     best = None
     for rows in range(1, most_hashes + 1):
-        missed = 1 - threshold**rows
-        bands = 1 if missed <= 0 else math.ceil(math.log(1 - recall) / math.log(missed))
+        found = threshold**rows
+        bands = 1 if found >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-found)) if found > 1e-12 else most_hashes + 1
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:

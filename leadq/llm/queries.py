@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadq.llm import bpe, chat, exact_dedup, fingerprint, mixing, substring, token_counts
+from leadq.llm import bpe, chat, exact_dedup, fingerprint, mixing, ngram_join, substring, token_counts
 from leadq.llm.frames import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def codec() -> bpe.Codec:
     return bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register
+def op1_ngram_join(spark, sf):
+    return ngram_join.join(table(spark, sf, "documents"))
+
+
 @register
 def op2_document_fingerprints(spark, sf):
     return fingerprint.edit_report(table(spark, sf, "documents"))
