@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadq.llm import bpe, chat, exact_dedup, fingerprint, mixing, ngram_join, substring, token_counts
+from leadq.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, quality, substring, token_counts
 from leadq.llm.frames import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op2_document_fingerprints(spark, sf):
     return fingerprint.edit_report(table(spark, sf, "documents"))
 
 
+@register
+def op3_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs))
+
+
 @register
 def op4_token_counts(spark, sf):
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents"), codec()))
@@ -48,6 +54,13 @@ def op5_chat_formatting(spark, sf):
     return chat.render(table(spark, sf, "conversations"))
 
 
+@register
+def op6_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    model = langid.fit(docs.filter("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
 @register
 def op7_exact_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.sha2(text_of(), 256).alias("text_sha256"))
