@@ -142,20 +142,35 @@ def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "group long, xs binary, ys binary")
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """`pairs` with one row per group and each pair once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in V.whole_groups(batches, ["group"]):
+            groups = table.column("group").to_numpy()
+            cuts = V.group_bounds(groups)
+            both = [table.column(c).to_pylist() for c in ("xs", "ys")]
+            xs, ys = [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                own = np.unique(np.stack([np.frombuffer(b"".join(blobs[s:e]), dtype=np.int64) for blobs in both], axis=1), axis=0)
+                xs.append(own[:, 0].tobytes())
+                ys.append(own[:, 1].tobytes())
+            columns = [pa.array(groups[cuts[:-1]]), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "xs", "ys"])
+
+    return pairs.repartition(partitions(pairs), "group").sortWithinPartitions("group").mapInArrow(run, "group long, xs binary, ys binary")
+
+
 def _needed(pairs: DataFrame) -> DataFrame:
-    """group, node: which documents the pairs of a group are made of."""
+    """group, node: which documents the pairs of a group are made of. `pairs` has one row per group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, nodes = [], []
             for g, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("group", "xs", "ys")), strict=True):
                 own = np.unique(np.frombuffer(xs + ys, dtype=np.int64))
-                groups.append(np.full(len(own), g))
-                nodes.append(own)
-            if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(nodes))], ["group", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g)), pa.array(own)], ["group", "node"])
 
-    return pairs.mapInArrow(run, "group long, node long").distinct()
+    return pairs.mapInArrow(run, "group long, node long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -208,8 +223,7 @@ def _linked(table: pa.Table, threshold: float) -> tuple[list[int], list[int], li
             sets[row["node"]] = np.union1d(sets[row["node"]], own) if row["node"] in sets else own
             copies[row["node"]] = row["copies"]
     nodes = np.array(sorted(sets), dtype=np.int64)
-    pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-    x, y = np.searchsorted(nodes, pairs[:, 0]), np.searchsorted(nodes, pairs[:, 1])
+    x, y = np.searchsorted(nodes, np.concatenate(xs)), np.searchsorted(nodes, np.concatenate(ys))
     own = [sets[n] for n in nodes.tolist()]
     common = common_counts(own, x, y)
     sizes = np.array([len(s) for s in own])
@@ -270,7 +284,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     own = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     signed = staged(signatures(own.select("id", "text"), width, bands, rows), "signatures")
     classes = staged(signed.groupBy("a", "b", "n_words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    pairs = staged(candidates(classes.select("rep", "bands"), block), "pairs")
+    pairs = staged(_once(candidates(classes.select("rep", "bands"), block)), "pairs")
     needed = staged(_needed(pairs), "needed")
     texts = own.select("id", "text").join(needed.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
