@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leadq import schema as S
 from leadq.functions.strings import last_entries
 from leadq.operators import quarantine
-from leadq.sources.text import json_items, read_bodies
+from leadq.sources.text import first_lines, json_items, read_bodies
 
 _WEBHOOK = (
     "struct<entry:array<struct<changes:array<struct<field:string,value:struct<leadgen_id:string,form_id:string,"
@@ -85,30 +85,58 @@ def na_to_null(value: Column, tokens: list[str] = S.NA_TOKENS) -> Column:
     return F.when(~value.isin(tokens), value)
 
 
-def read_csv(spark: SparkSession, path: str, source: str, multi_line: bool = True, na_tokens: list[str] = S.NA_TOKENS) -> Feed:
-    """A CSV export with a header row and any columns, all of them text.
+def _csv_groups(spark: SparkSession, path: str | list[str], multi_line: bool | None) -> list[tuple[list[str], bool]]:
+    """Files that share a header line, and whether they need `multi_line`, from one scan of the text. The paths of the
+    files come to the driver, which has listed them for the scan anyway."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_or(quotes % 2 == 1).alias("broken"))
+    files = first_lines(lines).join(broken, "path").select("first", "path", "broken").collect()
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in files:
+        wanted = r["broken"] if multi_line is None else multi_line
+        groups.setdefault((r["first"], wanted), []).append(r["path"])
+    return [(sorted(paths), wanted) for (_, wanted), paths in sorted(groups.items())]
 
-    `multi_line` allows line breaks inside quoted values, at the price of one task per file;
-    turn it off for large files that have none, which are then read in splits. A short row is
+
+def read_csv(spark: SparkSession, path: str | list[str], source: str, multi_line: bool | None = None, na_tokens: list[str] = S.NA_TOKENS) -> Feed:
+    """CSV exports with a header row and any columns, all of them text. The files of a folder may have different headers.
+
+    A file is read in splits unless a line of it has an odd number of quotes, that is, a quoted value with a line break;
+    such a file is one task (`multi_line` decides for all files instead). A short row is
     filled with NULL, a row with too many values goes to quarantine.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    header = reader.csv(path)
-    names = header.columns
-    if not names:
+    parts = [_read_csv(spark, paths, source, wanted, na_tokens) for paths, wanted in _csv_groups(spark, path, multi_line)]
+    if not parts:
         return Feed(spark.createDataFrame([], f"source string, raw map<string,string>, not_text {_NO_FIELDS}"), quarantine.empty(spark))
+    return _together(parts)
+
+
+def _read_csv(spark: SparkSession, paths: list[str], source: str, multi_line: bool, na_tokens: list[str]) -> Feed:
+    # without pruning, because the parser would not notice values beyond the columns it was asked for
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("columnPruning", False)
+    header = reader.csv(paths[:1])
+    names = header.columns
     clean = [n.lstrip("﻿") for n in names]
     schema = header.schema.add("_bad_row", "string")
-    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad_row").option("mode", "PERMISSIVE").csv(path)
-    values = F.size(F.split(F.regexp_replace("_bad_row", r'"(?:[^"]|"")*"', ""), ","))
+    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad_row").option("mode", "PERMISSIVE").csv(paths)
+    # a scan may not read the bad-row column alone, so a bit of the first one goes with it
+    bad_row = F.concat("_bad_row", F.coalesce(F.substring(F.col(f"`{names[0]}`"), 1, 0), F.lit("")))
+    values = F.size(F.split(F.regexp_replace(bad_row, r'"(?:[^"]|"")*"', ""), ","))
     too_long = F.coalesce(values > len(names), F.lit(False))
     cells = [x for n, c in zip(names, clean) for x in (F.lit(c), F.make_valid_utf8(na_to_null(F.col(f"`{n}`"), na_tokens)))]
     records = rows.filter(~too_long).select(
         F.lit(source).alias("source"), F.create_map(*cells).alias("raw"), F.array().cast(_NO_FIELDS).alias("not_text")
     )
-    # a scan may not read the bad-row column alone
-    bad = rows.filter(too_long).withColumn("_bad_row", F.coalesce("_bad_row", F.col(f"`{names[0]}`")))
-    return Feed(records, quarantine.entries(bad, source, F.col("_bad_row"), F.lit("unreadable row"), F.lit("too many values")))
+    bad = rows.filter(too_long)
+    return Feed(records, quarantine.entries(bad, source, bad_row, F.lit("unreadable row"), F.lit("too many values")))
+
+
+def _together(parts: list[Feed]) -> Feed:
+    records, bad = parts[0].records, parts[0].quarantine
+    for feed in parts[1:]:
+        records, bad = records.unionByName(feed.records), bad.unionByName(feed.quarantine)
+    return Feed(records, bad)
 
 
 def read_instagram(spark: SparkSession, path: str, **options) -> Feed:
@@ -137,11 +165,8 @@ def ingest(spark: SparkSession, paths: dict[str, str], **options) -> Feed:
     unknown = set(paths) - set(READERS)
     if unknown:
         raise ValueError(f"unknown sources: {sorted(unknown)}; known are {S.SOURCES}")
-    feeds = [READERS[s](spark, p, **options) for s, p in paths.items()]
-    records, bad = feeds[0].records, feeds[0].quarantine
-    for feed in feeds[1:]:
-        records, bad = records.unionByName(feed.records), bad.unionByName(feed.quarantine)
-    return Feed(tagged(records), bad)
+    feed = _together([READERS[s](spark, p, **options) for s, p in paths.items()])
+    return Feed(tagged(feed.records), feed.quarantine)
 
 
 def tagged(records: DataFrame) -> DataFrame:

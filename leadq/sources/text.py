@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A file up to this size is one posted body: it is read whole, and taken apart into lines only
-# when it is not one JSON document. Larger files are read by lines, in splits.
-WHOLE_FILE_BYTES = 8 * 1024 * 1024
-
 
 def decode_text(content: Column) -> Column:
     """Text of raw bytes: no byte order mark, undecodable bytes as U+FFFD."""
@@ -20,20 +16,42 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decode_text(F.col("content")).alias("text"))
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """`(path, first)`: the first line of every file that isn't blank, from a scan of text files."""
+    named = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        decode_text(F.col("value")).alias("value"),
+    )
+    # only the split at the start of a file can hold its first line
+    return named.filter((F.col("start") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.min_by("value", "at").alias("first"))
+
+
 def read_bodies(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
     """`(value, whole)` rows of text: whole files, or single lines.
 
-    `layout`: 'document' = one document per file of any size, 'lines' = one per line,
-    'auto' = by file size. The size test prunes files while they are listed.
+    `layout`: 'document' = one document per file, 'lines' = one per line, 'auto' = by content, whatever the size: a file
+    whose first line is a JSON object or array by itself is read by lines, in splits, any other as one document. The
+    paths of the documents come to the driver, which has listed all files for the scan anyway.
     """
-    size = F.col("_metadata.file_size")
-    whole = spark.read.text(path, wholetext=True)
-    lines = spark.read.text(path)
     if layout == "auto":
-        whole, lines = whole.filter(size <= WHOLE_FILE_BYTES), lines.filter(size > WHOLE_FILE_BYTES)
-    whole = whole.select(decode_text(F.col("value")).alias("value"), F.lit(True).alias("whole"))
-    lines = lines.select(decode_text(F.col("value")).alias("value"), F.lit(False).alias("whole"))
-    return {"auto": whole.unionByName(lines), "document": whole, "lines": lines}[layout]
+        kind = F.schema_of_variant(_document(F.col("first")))
+        by_lines = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+        found = first_lines(spark.read.text(path)).select("path", by_lines.alias("by_lines")).collect()
+        documents = [r["path"] for r in found if not r["by_lines"]]
+        lines = [r["path"] for r in found if r["by_lines"]]
+    else:
+        documents, lines = (path, []) if layout == "document" else ([], path)
+    parts = []
+    if documents:
+        whole = spark.read.text(documents, wholetext=True)
+        parts.append(whole.select(decode_text(F.col("value")).alias("value"), F.lit(True).alias("whole")))
+    if lines:
+        parts.append(spark.read.text(lines).select(decode_text(F.col("value")).alias("value"), F.lit(False).alias("whole")))
+    if not parts:
+        return spark.createDataFrame([], "value string, whole boolean")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _document(value: Column) -> Column:
@@ -50,9 +68,9 @@ def json_items(bodies: DataFrame) -> DataFrame:
     a body that is a bare number, string or bool holds no records.
     """
     parsed = bodies.withColumn("doc", _document(F.col("value")))
-    many = F.col("whole") & F.col("doc").isNull()
+    many = F.col("whole") & F.col("doc").isNull() & ~_is_array(F.col("value"))
     lines = parsed.filter(many).select(F.explode(F.split("value", r"\r\n|\n|\r")).alias("value"), F.lit(False).alias("whole"))
-    documents = parsed.filter(~many).unionByName(lines.withColumn("doc", _document(F.col("value"))))
+    documents = parsed.filter(~F.col("whole") | F.col("doc").isNotNull()).unionByName(lines.withColumn("doc", _document(F.col("value"))))
     documents = documents.filter(F.trim("value") != "").withColumn("kind", F.schema_of_variant("doc"))
     kind = F.col("kind")
     scalar_body = F.col("whole") & kind.isNotNull() & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
@@ -60,4 +78,19 @@ def json_items(bodies: DataFrame) -> DataFrame:
     singles = documents.filter(~F.coalesce(scalar_body, F.lit(False))).select("value", F.explode(items).alias("item"))
     is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
     problem = F.when(F.col("item").isNull(), "malformed JSON").when(~is_object, "not an object")
-    return singles.withColumn("problem", problem)
+    return singles.withColumn("problem", problem).unionByName(_long_arrays(parsed.filter(F.col("whole") & F.col("doc").isNull())))
+
+
+def _is_array(value: Column) -> Column:
+    """Whether a text is exactly one valid JSON array, of any length."""
+    alone = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    return F.coalesce(alone & F.ltrim(value).startswith("["), F.lit(False))
+
+
+def _long_arrays(bodies: DataFrame) -> DataFrame:
+    """Items of arrays that are too long for one VARIANT value: their elements are parsed one by one."""
+    elements = F.from_json("value", "array<string>")
+    items = bodies.filter(_is_array(F.col("value"))).select(F.explode(elements).alias("value"))
+    items = items.withColumn("item", F.try_parse_json("value"))
+    is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    return items.withColumn("problem", F.when(~is_object, "not an object"))

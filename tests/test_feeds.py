@@ -127,3 +127,49 @@ def test_nearest_does_not_depend_on_chunks(spark):
     queries = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i % 5)]) for i in range(20)], "q int, vector array<double>")
     corpus = spark.createDataFrame([(f"c{i}", [float(i % 4), float(i % 7), 1.0]) for i in range(25)], "corpus_id string, vector array<double>")
     assert sorted(mapping.nearest(queries, corpus).collect()) == sorted(mapping.nearest(queries, corpus, chunk=4).collect())
+
+
+def _files(tmp_path, **contents):
+    for name, content in contents.items():
+        (tmp_path / f"{name}.txt").write_text(content)
+    return str(tmp_path)
+
+
+def test_json_layout_goes_by_content_not_size(spark, tmp_path):
+    import json
+
+    def people(n):
+        return [{"fname": f"n{i}", "email": f"p{i}@gmail.com", "pad": "x" * 250} for i in range(n)] + [17]
+
+    for n in (30, 30_000):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / "a.json").write_text(json.dumps(people(n), indent=1))
+        feed = feeds.read_landing_page(spark, str(folder))
+        assert feed.records.count() == n and feed.quarantine.count() == 1
+    (tmp_path / "30" / "b.json").write_text('{"fname": "a"}\n\n{"fname": "b"}\n{"broken')
+    (tmp_path / "30" / "c.json").write_text(' \n{"fname":\n"c"}')
+    feed = feeds.read_landing_page(spark, str(tmp_path / "30"))
+    assert feed.records.count() == 33 and feed.quarantine.count() == 2
+
+
+def test_arrays_too_long_for_one_value(spark):
+    from leadq.sources import text
+
+    bodies = spark.createDataFrame([('[{"a": "1"}, 2, "x", {"b": [1, {"c": 2}]}]', True), ("[1]\n[2]", True), ('{"a": 1}', True)], "value string, whole boolean")
+    items = text._long_arrays(bodies)
+    assert sorted((r.value, r.problem) for r in items.collect()) == sorted([('{"a":"1"}', None), ("2", "not an object"), ("x", "not an object"), ('{"b":[1,{"c":2}]}', None)])
+
+
+def test_csv_files_with_different_headers_in_one_folder(spark, tmp_path):
+    folder = _files(
+        tmp_path,
+        a="Full Name,E-mail,Phone #\nAda Li,ada@x.com,201\n",
+        b="Cell,Name,Mail\n202,Bo Ray,bo@x.com\n203,Cy Orr,cy@x.com,extra\n",
+        c='Cell,Name,Mail\n204,"Di\nLow",di@x.com\n',
+        d="﻿Cell,Name,Mail\n205,Ed Poe,ed@x.com\n",
+    )
+    feed = feeds.read_csv_upload(spark, folder)
+    got = sorted((r.raw.get("Name") or r.raw.get("Full Name"), r.raw.get("Cell") or r.raw.get("Phone #")) for r in feed.records.collect())
+    assert got == [("Ada Li", "201"), ("Bo Ray", "202"), ("Di\nLow", "204"), ("Ed Poe", "205")]
+    assert feed.quarantine.count() == 1
