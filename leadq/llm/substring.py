@@ -96,8 +96,8 @@ _SENT = "bucket int, n_docs int, places binary, n int, hashes binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("n_docs", pa.int32()), ("places", pa.binary()), ("n", pa.int32()), ("hashes", pa.binary())])
 
 
-def _later_places(table: pa.Table) -> pa.Table:
-    """Of the windows of a bucket, those whose hash also stands at a smaller document or start."""
+def _later_places(table: pa.Table, homes: int) -> pa.Table:
+    """Of the windows of a bucket, those whose hash also stands at a smaller document or start; a row per home."""
     ids, starts, hashes, gone_ids, gone_starts = [], [], [], [], []
     for row in table.select(["n_docs", "places", "n", "hashes"]).to_pylist():
         docs, counts, at = _unpack(row["places"], row["n_docs"], row["n_docs"], row["n"])
@@ -120,52 +120,65 @@ def _later_places(table: pa.Table) -> pa.Table:
         later = several[(d[several] != d[first]) | (s[several] != s[first])]
         gone_ids.append(d[later])
         gone_starts.append(s[later])
-    d, s = (np.concatenate(gone_ids), np.concatenate(gone_starts)) if gone_ids else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    if gone_ids:
+        d, s = np.concatenate(gone_ids), np.concatenate(gone_starts)
+        home = (V.mix64(d.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
+        order = np.lexsort((s, d, home))
+        d, s, home = d[order], s[order], home[order]
+        bounds = V.group_bounds(home)
+        sent = [_rows(int(home[a]), d[a:b], s[a:b], None) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    else:
+        sent = []
+    return pa.Table.from_pylist(sent, schema=_SENT_ARROW)
+
+
+def _cover(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal intervals (from, to) of words that windows at sorted `starts` cover."""
+    new = np.flatnonzero(np.diff(starts) > width)
+    return starts[np.concatenate([[0], new + 1])], starts[np.concatenate([new, [len(starts) - 1]])] + width
+
+
+def _merged(table: pa.Table, width: int) -> pa.Table:
+    """doc_id, begins, ends of the documents of a home: windows to remove merged into maximal intervals."""
+    ids, starts = [], []
+    for row in table.select(["n_docs", "places", "n"]).to_pylist():
+        docs, counts, at = _unpack(row["places"], row["n_docs"], row["n_docs"], row["n"])
+        ids.append(np.repeat(docs, counts))
+        starts.append(at.astype(np.int32))
+    d, s = np.concatenate(ids), np.concatenate(starts)
     order = np.lexsort((s, d))
     d, s = d[order], s[order]
     bounds = V.group_bounds(d)
-    return pa.table({"doc_id": d[bounds[:-1]], "starts": pa.array([s[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+    covers = [_cover(s[a:b], width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    kind = pa.list_(pa.int32())
+    return pa.table({"doc_id": d[bounds[:-1]], "begins": pa.array([c[0] for c in covers], kind), "ends": pa.array([c[1] for c in covers], kind)})
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id and the starts (32-bit integers) of its windows that also start earlier; several rows a document.
+def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """doc_id and its maximal intervals of words to remove, as arrays `begins` and `ends` (end exclusive).
 
     Each window of `width` words has a 64-bit Rabin-Karp hash and, by a second hash, a bucket; both
     together identify it. With 4 buckets per shuffle partition the chance that any two different windows of n share
     both is n^2 / (2^65 * buckets). A task sends a hash that repeats within a chunk of its windows
-    once, so the most common window arrives in its bucket once per chunk, not once per document.
+    once, so the most common window arrives in its bucket once per chunk, not once per document. What a bucket
+    finds goes back packed by the home of the document, a hash of its id.
     """
-    n_buckets = buckets or 4 * partitions(docs)
+    homes = partitions(docs)
+    n_buckets = buckets or 4 * homes
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _windows(batches, width, n_buckets, chunk):
             yield pa.RecordBatch.from_pylist([row], schema=_SENT_ARROW)
 
-    return rows.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(_later_places, "doc_id long, starts binary")
-
-
-def _cover(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals (from, to) of words that windows at sorted `starts` cover."""
-    new = np.flatnonzero(np.diff(starts) > width)
-    return starts[np.concatenate([[0], new + 1])], starts[np.concatenate([new, [len(starts) - 1]])] + width
+    def judge(table: pa.Table) -> pa.Table:
+        return _later_places(table, homes)
 
+    def merge(table: pa.Table) -> pa.Table:
+        return _merged(table, width)
 
-def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id and its maximal intervals of words to remove, as arrays `begins` and `ends` (end exclusive)."""
-    found = repeated_windows(docs, width, buckets, chunk).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begins, ends = [], []
-            for blobs in batch.column("starts").to_pylist():
-                a, b = _cover(np.unique(np.frombuffer(b"".join(blobs), dtype=np.int32)), width)
-                begins.append(a)
-                ends.append(b)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(begins, kind), pa.array(ends, kind)], ["doc_id", "begins", "ends"])
-
-    return found.mapInArrow(merge, "doc_id long, begins array<int>, ends array<int>")
+    later = rows.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(judge, _SENT)
+    return later.groupBy("bucket").applyInArrow(merge, "doc_id long, begins array<int>, ends array<int>")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
