@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from leadq.llm import bpe
 from leadq.llm import textvec as V
+from leadq.session import staged
 
 #: Lengths that share one window of the suffix sums.
-RANGE = 4096
+RANGE = 256
 
 
 def lengths(docs: DataFrame, codec: bpe.Codec) -> DataFrame:
@@ -42,8 +43,10 @@ def suffix_sums(hist: DataFrame, width: int = RANGE) -> DataFrame:
     truncated_total (all tokens if texts are cut at this length) and share (part of the documents up to this length).
 
     Suffix sums run inside ranges of lengths and over the sums of the ranges, so no task holds all lengths.
-    A limit between two lengths is answered by the next length above: see `at_limit`.
+    A limit between two lengths is answered by the next length above: see `at_limits`. The histogram is written once and read
+    twice, so no text is encoded twice.
     """
+    hist = staged(hist, "lengths")
     rows = hist.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / width).cast("long").alias("range"))
     after = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
