@@ -65,14 +65,14 @@ def phone_digits(text: Column) -> Column:
 
 def foreign_digits(d: Column) -> Column:
     """Country code and number of a number dialled with '+' or the US prefix for abroad."""
-    return F.when(d.startswith("+"), F.substring(d, 2, 20)).when(
-        d.startswith("011") & (F.length(d) > 10), F.substring(d, 4, 20)
+    return F.when(d.startswith("+"), F.substring(d, F.lit(2), F.length(d))).when(
+        d.startswith("011") & (F.length(d) > 10), F.substring(d, F.lit(4), F.length(d))
     )
 
 
 def us_digits(d: Column, foreign: Column) -> Column:
     return (
-        F.when(foreign.startswith("1"), F.substring(foreign, 2, 20))
+        F.when(foreign.startswith("1"), F.substring(foreign, F.lit(2), F.length(foreign)))
         .when(foreign.isNotNull(), F.lit(None))
         .when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10))
         .otherwise(d)
@@ -198,12 +198,12 @@ def year_first(text: Column) -> Column:
 def month_as_number(date: Column) -> Column:
     name = F.lower(F.regexp_extract(date, r"^[0-9]{4}-([A-Za-z]{3})-", 1))
     number = F.floor((F.instr(F.lit(_MONTHS), name) + 2) / 3).cast("string")
-    return F.when(name != "", F.concat(F.substring(date, 1, 5), number, F.substring(date, 9, 100))).otherwise(date)
+    return F.when(name != "", F.concat(F.substring(date, 1, 5), number, F.substring(date, F.lit(9), F.length(date)))).otherwise(date)
 
 
 def timestamp_from_iso(iso: Column, text: Column, epoch_text: bool = True) -> Column:
     """UTC timestamp of a year-first text; without a zone it is UTC. `epoch_text` takes a `text`
-    of 10 digits as epoch seconds. What names no full day is NULL."""
+    of 9 to 11 digits as epoch seconds (shorter and longer ones are dates without separators). What names no full day is NULL."""
     plain = F.regexp_replace(iso, r"\s*[AaPp][Mm]", "")
     plain = F.regexp_replace(plain, r"^([0-9-]+)[T ,]+([0-9]{1,2}:[0-9]{2})(?!:?[0-9])", "$1 $2:00")
     plain = F.regexp_replace(plain, r"\s*([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
@@ -214,7 +214,7 @@ def timestamp_from_iso(iso: Column, text: Column, epoch_text: bool = True) -> Co
         iso.rlike(_ISO), plain.try_cast("timestamp") + F.make_interval(hours=shift)
     )
     if epoch_text:
-        seconds = F.when(text.rlike(r"^[0-9]{10}(?:\.[0-9]+)?$"), F.timestamp_seconds(text.try_cast("double")))
+        seconds = F.when(text.rlike(r"^[0-9]{9,11}(?:\.[0-9]+)?$"), F.timestamp_seconds(text.try_cast("double")))
         return F.coalesce(moment, seconds)
     return moment
 

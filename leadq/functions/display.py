@@ -14,7 +14,7 @@ def pretty_source(source: Column) -> Column:
     shown = F.transform(
         words,
         lambda w: F.when(F.lower(w) == "csv", "CSV").otherwise(
-            F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))
+            F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
         ),
     )
     return F.array_join(shown, " ")

@@ -12,6 +12,7 @@ from leadq import schema as S
 from leadq.functions.scoring import rule_score
 from leadq.functions.signals import feature_columns
 from leadq.operators.score import with_signals
+from leadq.session import staged
 
 
 def _uniform(key: Column, name: str) -> Column:
@@ -39,11 +40,21 @@ def hold_out(training: DataFrame, percent: int = 20) -> tuple[DataFrame, DataFra
     return training.filter(draw >= percent), training.filter(draw < percent)
 
 
-def train(training: DataFrame, rounds: int = 40) -> tuple[GBTRegressionModel, float]:
-    """Boosted trees and their mean absolute error on held-out rows."""
+#: Boosting as published: 300 rounds of small steps.
+ROUNDS, STEP = 300, 0.05
+#: Labelled rows that the trees are fitted on, at most; the error is that of all held-out rows.
+MOST_ROWS = 20_000
+
+
+def train(training: DataFrame, rounds: int = ROUNDS, step: float = STEP, most_rows: int = MOST_ROWS) -> tuple[GBTRegressionModel, float]:
+    """Boosted trees and their mean absolute error on held-out rows.
+
+    The rows are drawn by a hash of `ord`, so the same ones are used on every run.
+    """
     train_rows, test_rows = hold_out(assemble(training))
-    trees = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=42, maxBins=32)
-    model = trees.fit(train_rows)
+    train_rows = train_rows.orderBy(F.xxhash64("ord", F.lit("draw"))).limit(most_rows).select("features", "label")
+    trees = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=step, subsamplingRate=0.8, seed=42, maxBins=32)
+    model = trees.fit(staged(train_rows, "labelled"))
     error = RegressionEvaluator(metricName="mae").evaluate(model.transform(test_rows))
     return model, error
 

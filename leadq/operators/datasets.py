@@ -101,6 +101,37 @@ def backfill_datasets(leads: DataFrame, duplicates: DataFrame, invalid: DataFram
     )
 
 
+def _run_row(df: DataFrame, now: Column) -> DataFrame:
+    have = set(df.columns)
+    return df.select(
+        *[
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in RUN.fields
+            if f.name != "logged_at"
+        ],
+        now.alias("logged_at"),
+    )
+
+
+def start_run_rows(runs: DataFrame, now: Column) -> DataFrame:
+    """Log rows that start runs; `runs` has run_id and source."""
+    return _run_row(runs.withColumns({"status": F.lit("processing"), "started_at": now}), now)
+
+
+def finish_run_rows(runs: DataFrame, now: Column, status: str = "completed") -> DataFrame:
+    """Log rows that end runs; `runs` has run_id and the counts total_records, processed, failed, duplicates."""
+    return _run_row(runs.withColumns({"status": F.lit(status), "finished_at": now}), now)
+
+
+def get_dataset(log: DataFrame, dataset_id: str) -> DataFrame:
+    """State of one dataset; no row if there is none or it was deleted."""
+    return current_datasets(log.filter(F.col("dataset_id") == dataset_id))
+
+
+def get_run(log: DataFrame, run_id: str) -> DataFrame:
+    return current_runs(log.filter(F.col("run_id") == run_id))
+
+
 def current_runs(log: DataFrame) -> DataFrame:
     """State of every run, with the time from its start to its end."""
     state = folded(log, ["run_id"], F.col("logged_at"), _RUN_COLUMNS)

@@ -149,18 +149,21 @@ def resolve_mapping(headers: DataFrame, memory: DataFrame, resolver: DataFrame |
     ).drop("known", "remembered", "_proposed", "_answered", "_synonym", "fuzzy_score", "fuzzy_target")
 
 
-def remember(memory: DataFrame, resolved: DataFrame, decided_at: Column) -> DataFrame:
-    """Memory with the new decisions; a later decision on a header replaces an earlier one.
-    Headers nobody could decide are left open and tried again next time."""
+def confirmed(resolved: DataFrame, decided_at: Column) -> DataFrame:
+    """Memory rows of the decisions worth remembering. Headers nobody could decide are left open and tried again next time."""
     sample = F.get("samples", F.lit(0)) if "samples" in resolved.columns else F.lit("")
-    new = resolved.filter("confirmed").select(
+    return resolved.filter("confirmed").select(
         "source",
         "field_name",
         F.coalesce("canonical_field", F.lit(S.NO_TARGET)).alias("canonical_field"),
         F.coalesce(sample, F.lit("")).alias("sample_value"),
         decided_at.alias("decided_at"),
     )
-    return upsert(memory.select(*MEMORY.fieldNames()).unionByName(new))
+
+
+def remember(memory: DataFrame, resolved: DataFrame, decided_at: Column) -> DataFrame:
+    """Memory with the new decisions; a later decision on a header replaces an earlier one."""
+    return upsert(memory.select(*MEMORY.fieldNames()).unionByName(confirmed(resolved, decided_at)))
 
 
 def upsert(decisions: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 
 from leadq import schema as S
 from leadq.operators.logs import latest
+from leadq.operators.mapping import MEMORY
 from leadq.operators.skew import join_groups
 
-PARTITIONS = ["dataset_id", "batch_id"]
+#: Tables whose rows belong to a batch, with their partition columns. A batch is replaced as a whole.
+PARTITIONS = {t: ["dataset_id", "batch_id"] for t in S.DATA_TABLES} | {"quarantine": ["batch_id"]}
 
 HEALING = T.StructType(
     [
@@ -77,16 +79,27 @@ RUN = T.StructType(
     ]
 )
 
+BATCHES = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("first_ord", T.LongType()),
+        T.StructField("next_ord", T.LongType()),
+        T.StructField("logged_at", T.TimestampType()),
+    ]
+)
+
 _BATCH = T.StructField("batch_id", T.StringType())
 SCHEMAS = {
     "leads": T.StructType(S.LEAD.fields + [_BATCH]),
     "duplicate_leads": T.StructType(S.LEAD.fields + [_BATCH]),
     "invalid_leads": T.StructType(S.INVALID.fields + [_BATCH]),
     "healing_events": T.StructType(HEALING.fields + [_BATCH]),
-    "quarantine": QUARANTINE,
+    "quarantine": T.StructType(QUARANTINE.fields + [_BATCH]),
     "dispositions": DISPOSITION,
     "datasets": DATASET,
     "pipeline_runs": RUN,
+    "mapping_memory": MEMORY,
+    "batches": BATCHES,
 }
 
 
@@ -123,24 +136,41 @@ class Store:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
 
     def append(self, table: str, df: DataFrame, batch_id: str | None = None) -> None:
-        """Add rows. Lead tables name their batch: writing the same batch again replaces its
-        rows, so a repeated micro-batch or a retried job leaves the table as if it ran once."""
-        if table not in S.DATA_TABLES:
+        """Add rows. Tables with batches need the name of theirs: writing a batch again replaces all its rows in the table, in
+        every dataset, so a repeated micro-batch or a retried job leaves the table as if it ran once, also when it
+        now has fewer rows."""
+        if table not in PARTITIONS:
             df.select(*SCHEMAS[table].fieldNames()).write.mode("append").parquet(self.path(table))
             return
-        columns = [c for c in SCHEMAS[table].fieldNames() if c not in PARTITIONS]
-        extra = [c for c in df.columns if c not in columns + PARTITIONS]
-        rows = df.withColumn("batch_id", F.lit(batch_id or "0"))
+        if not batch_id:
+            raise ValueError(f"rows of {table} belong to a batch: give its batch_id")
+        partitions = PARTITIONS[table]
+        columns = [c for c in SCHEMAS[table].fieldNames() if c not in partitions]
+        extra = [c for c in df.columns if c not in columns + partitions]
+        rows = df.withColumn("batch_id", F.lit(batch_id))
         missing = [c for c in columns if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast(SCHEMAS[table][c].dataType) for c in missing}) if missing else rows
+        before = self._batch_files(table, batch_id)
         (
-            rows.select(*columns, *extra, *PARTITIONS)
-            .hint("rebalance", "dataset_id")  # whole files per dataset; a big dataset is split over many tasks
+            rows.select(*columns, *extra, *partitions)
+            .hint("rebalance", partitions[0])  # whole files per dataset; a big dataset is split over many tasks
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
+            .partitionBy(*partitions)
             .parquet(self.path(table))
         )
+        for folder, files in self._batch_files(table, batch_id).items():
+            if before.get(folder) == files:  # of the earlier attempt: nothing replaced it
+                fs, path = self._fs(folder)
+                fs.delete(path, True)
+
+    def _batch_files(self, table: str, batch_id: str) -> dict[str, list[str]]:
+        """Files of a batch by partition folder."""
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch_id)
+        depth = "*/" * (len(PARTITIONS[table]) - 1)
+        fs, pattern = self._fs(f"{self.path(table)}/{depth}batch_id={name}")
+        folders = [x.getPath() for x in fs.globStatus(pattern) or []]
+        return {str(f.toString()): sorted(x.getPath().getName() for x in fs.listStatus(f)) for f in folders}
 
     def clear(self, tables: list[str] | None = None) -> dict[str, str]:
         """Empty the tables; tells per table whether there was one."""
@@ -150,8 +180,8 @@ class Store:
                 outcome[table] = "absent"
                 continue
             writer = self.spark.createDataFrame([], SCHEMAS[table]).write.mode("overwrite")
-            if table in S.DATA_TABLES:
-                writer = writer.partitionBy(*PARTITIONS)
+            if table in PARTITIONS:
+                writer = writer.partitionBy(*PARTITIONS[table])
             writer.parquet(self.path(table))
             outcome[table] = "cleared"
         return outcome

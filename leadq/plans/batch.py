@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadq.operators import clean, dedup, mapping, score, validate
-from leadq.operators.store import Store
+from leadq import model as scorer
+from leadq.functions import display
+from leadq.operators import analytics, clean, datasets, dedup, mapping, score, validate
+from leadq.operators.store import Store, scoped
 from leadq.session import staged
 from leadq.sources.feeds import Feed, numbered
 
@@ -25,10 +29,14 @@ def timestamp(value: datetime | str) -> Column:
     return F.lit(str(value)).cast("timestamp")
 
 
-def prepare(mapped: DataFrame, batch_ts: Column, model: Column | None = None, epoch_text: bool = True) -> DataFrame:
-    """Cleaned, validated and scored rows with their `errors`: one projection over the scan."""
+def prepare(mapped: DataFrame, batch_ts: Column, model: GBTRegressionModel | None = None, epoch_text: bool = True) -> DataFrame:
+    """Cleaned, validated and scored rows with their `errors`: one projection over the scan. With a `model` its
+    prediction is the score."""
     cleaned = clean.check_contract(clean.clean_leads(mapped, epoch_text))
-    return score.score(validate.validate(cleaned, batch_ts, cleaned=True), model)
+    valid = validate.validate(cleaned, batch_ts, cleaned=True)
+    if model is None:
+        return score.score(valid)
+    return score.score(scorer.predict(model, valid), F.col("prediction")).drop("prediction")
 
 
 def process(
@@ -36,7 +44,7 @@ def process(
     batch_ts: Column,
     stored: DataFrame | None = None,
     scope: str = dedup.DATASET,
-    model: Column | None = None,
+    model: GBTRegressionModel | None = None,
 ) -> Batch:
     """Run a batch of mapped records (`ord`, `source`, `dataset_id` and canonical text columns).
 
@@ -63,6 +71,101 @@ def map_records(records: DataFrame, memory: DataFrame, resolver: DataFrame | Non
     return mapping.apply_mapping(records, decisions), decisions
 
 
+def positions(store: Store, records: DataFrame, batch_id: str, now: Column) -> DataFrame:
+    """`records` with `ord` moved to a range of the batch's own, so that no two batches share a position or a lead id.
+
+    The range is taken once and logged; the batch gets it again when it is retried, unless it has outgrown it.
+    Within a batch, positions follow the order in which the files are read.
+    """
+    log = store.read("batches").groupBy("batch_id").agg(F.max_by("first_ord", "logged_at").alias("first_ord"), F.max_by("next_ord", "logged_at").alias("next_ord"))
+    need = records.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
+    own = log.filter(F.col("batch_id") == batch_id).first()
+    if own and own["first_ord"] + need <= own["next_ord"]:
+        first = own["first_ord"]
+    else:
+        first = store.read("batches").agg(F.coalesce(F.max("next_ord"), F.lit(0))).first()[0]
+        row = store.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(first).alias("first_ord"), F.lit(first + need).alias("next_ord"), now.alias("logged_at"))
+        store.append("batches", row)
+    return records.withColumn("ord", F.col("ord") + first)
+
+
+def write(batch: Batch, store: Store, batch_id: str) -> None:
+    store.append("duplicate_leads", batch.duplicates, batch_id)
+    store.append("invalid_leads", batch.invalid, batch_id)
+    store.append("leads", batch.leads, batch_id)
+
+
+def summary(store: Store, batch_id: str) -> DataFrame:
+    """What became of the rows of one batch, per dataset."""
+    own = [store.read(t).filter(F.col("batch_id") == batch_id) for t in ("leads", "duplicate_leads", "invalid_leads")]
+    return analytics.batch_summary(*own)
+
+
+def run_mapped(
+    mapped: DataFrame,
+    bad: DataFrame,
+    store: Store,
+    dataset_id: str,
+    batch_id: str,
+    batch_ts: datetime,
+    scope: str = dedup.DATASET,
+    source_kind: str | None = None,
+    name: str | None = None,
+    file_name: str | None = None,
+    clock: Callable[[], datetime] = datetime.now,
+    model: GBTRegressionModel | None = None,
+) -> None:
+    """Process mapped records as one batch of a dataset and keep its books.
+
+    The dataset is opened unless it exists, the run is started, and both are closed with what is in the tables. A new
+    dataset in which nothing landed is taken back. A failure is logged as an event, the run and the dataset as
+    failed, and the error goes on. Running a batch again leaves all tables as if it had run once: it never meets its
+    own earlier rows and replaces them all.
+    """
+    spark, now = store.spark, lambda: timestamp(clock())
+    known = datasets.get_dataset(store.read("datasets"), dataset_id)
+    is_new = known.isEmpty()
+    one = spark.range(1)
+    if is_new:
+        title = display.import_name(F.lit(name).cast("string"), F.lit(file_name).cast("string"), F.lit(source_kind).cast("string"))
+        row = one.select(F.lit(dataset_id).alias("dataset_id"), title.alias("name"), F.lit(file_name).cast("string").alias("file_name"), F.lit(source_kind).cast("string").alias("source_kind"))
+        store.append("datasets", datasets.open_rows(row, now()))
+    run_row = one.select(F.lit(batch_id).alias("run_id"), F.lit(source_kind).cast("string").alias("source"))
+    store.append("pipeline_runs", datasets.start_run_rows(run_row, now()))
+    status, landed = "failed", 0
+    try:
+        rows = positions(store, mapped.withColumn("dataset_id", F.lit(dataset_id)), batch_id, now())
+        stored = store.read("leads").filter(F.col("batch_id") != batch_id)
+        if scope == dedup.DATASET:
+            stored = stored.filter(F.col("dataset_id") == dataset_id)
+        write(process(rows, timestamp(batch_ts), stored, scope, model), store, batch_id)
+        store.append("quarantine", bad, batch_id)
+        status = "completed"
+    except Exception as error:
+        event = one.select(
+            F.lit(None).cast("long").alias("ord"), F.lit(source_kind).cast("string").alias("source"), F.lit(1).alias("attempt"),
+            F.lit(type(error).__name__).alias("exception_type"), F.lit(str(error)).alias("message"), F.lit(dataset_id).alias("dataset_id"),
+        )
+        store.append("healing_events", event, batch_id)
+        raise
+    finally:
+        counts = summary(store, batch_id).groupBy().agg(
+            F.coalesce(F.sum("scored"), F.lit(0)).alias("processed"), F.coalesce(F.sum("invalid"), F.lit(0)).alias("failed"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates")
+        )
+        counts = counts.select("*", (F.col("processed") + F.col("failed") + F.col("duplicates")).alias("total_records"), F.lit(batch_id).alias("run_id"))
+        row = counts.first()
+        landed = row["total_records"]
+        store.append("pipeline_runs", datasets.finish_run_rows(spark.createDataFrame([row], counts.schema), now(), status))
+        if not datasets.keep_dataset(is_new, landed, status == "failed"):
+            store.append("datasets", datasets.delete_rows(store.read("datasets"), one.select(F.lit(dataset_id).alias("dataset_id")), now()))
+        else:
+            own = [scoped(store.read(t), dataset_id) for t in ("leads", "duplicate_leads", "invalid_leads")]
+            totals = one.select(F.lit(dataset_id).alias("dataset_id")).join(datasets.dataset_counts(*own), "dataset_id", "left")
+            # the log is read and written here, so the new rows are made first
+            done = datasets.finish_rows(store.read("datasets"), totals, now(), status)
+            store.append("datasets", spark.createDataFrame(done.collect(), done.schema))
+
+
 def run(
     feed: Feed,
     store: Store,
@@ -72,16 +175,21 @@ def run(
     batch_ts: datetime,
     resolver: DataFrame | None = None,
     scope: str = dedup.DATASET,
+    **options,
 ) -> DataFrame:
-    """Read a feed, process it and append the outcome to the store. Gives the column decisions."""
+    """Read a feed, process it and append the outcome to the store. Gives the column decisions.
+
+    Decisions worth keeping are added to the store's mapping memory, which goes over `memory`.
+    """
     records = staged(numbered(feed.records.withColumn("dataset_id", F.lit(dataset_id))), "records")
-    mapped, decisions = map_records(records, memory, resolver)
-    write(process(mapped, timestamp(batch_ts), store.read("leads"), scope), store, batch_id)
-    store.append("quarantine", feed.quarantine)
+    learned = store.read("mapping_memory")
+    mapped, decisions = map_records(records, mapping.upsert(memory.select(*learned.columns).unionByName(learned)), resolver)
+    new = mapping.confirmed(decisions, timestamp(batch_ts)).join(learned, ["source", "field_name", "canonical_field"], "left_anti")
+    store.append("mapping_memory", new)
+    run_mapped(mapped, feed.quarantine, store, dataset_id, batch_id, batch_ts, scope, **options)
     return decisions
 
 
-def write(batch: Batch, store: Store, batch_id: str) -> None:
-    store.append("duplicate_leads", batch.duplicates, batch_id)
-    store.append("invalid_leads", batch.invalid, batch_id)
-    store.append("leads", batch.leads, batch_id)
+def dry_run(feed: Feed, memory: DataFrame, resolver: DataFrame | None = None) -> DataFrame:
+    """How the columns of a feed would be mapped; nothing is processed or stored."""
+    return mapping.resolve_mapping(mapping.profile_fields(numbered(feed.records)), memory, resolver)

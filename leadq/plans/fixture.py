@@ -52,16 +52,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def widened(scan: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores is dealt out to all of them; any larger scan
-    is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return spark.sql(SUBMISSIONS_SQL, orders=widened(orders))
+    return spark.sql(SUBMISSIONS_SQL, orders=orders)
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

