@@ -106,34 +106,53 @@ def survivors(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_RO
     )
 
 
-def deduplicate(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> Resolved:
-    """Best lead of every cluster, and the others marked as duplicates of it.
+def losers(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """`(ord, duplicate_of_lead_id)` of the leads that a better one of their cluster stands for.
 
     `leads` is read several times; stage it first when it is expensive to compute.
     """
-    losers = (
-        survivors(leads, scope, heavy_rows)
-        .filter("ord != best_ord")
-        .select("ord", F.col("best_lead_id").alias("duplicate_of_lead_id"))
-    )
-    losers = cut(losers)
-    kept = leads.join(losers, "ord", "left_anti").withColumns(
-        {"status": F.lit(S.CLEAN), "duplicate_of_lead_id": F.lit(None).cast("string")}
-    )
-    duplicates = leads.join(losers, "ord").withColumn("status", F.lit(S.DUPLICATE))
-    return Resolved(kept, duplicates)
+    found = survivors(leads, scope, heavy_rows).filter("ord != best_ord")
+    return cut(found.select("ord", F.col("best_lead_id").alias("duplicate_of_lead_id")))
+
+
+def decided(leads: DataFrame, stored: DataFrame | None = None, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """`(ord, duplicate_of_lead_id)` of all duplicates: repeats within the batch first, then repeats of what is stored.
+    Only identifiers move; whole rows meet the answer once, in `marked`."""
+    within = losers(leads, scope, heavy_rows)
+    if stored is None:
+        return within
+    slim = leads.select("ord", "email", "phone_e164", "dataset_id").join(within, "ord", "left_anti")
+    return cut(within.unionByName(stored_matches(slim, stored, scope, heavy_rows)))
+
 
+def marked(leads: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """All leads with their status: clean, or a duplicate of the lead that `duplicates` names."""
+    bare = leads.drop("status", "duplicate_of_lead_id").join(duplicates, "ord", "left")
+    return bare.withColumn("status", F.when(F.col("duplicate_of_lead_id").isNull(), S.CLEAN).otherwise(S.DUPLICATE))
 
-def stored_keys(stored: DataFrame, scope: str = DATASET) -> DataFrame:
-    """Identifier -> first lead stored under it."""
-    keys = match_keys(stored, scope, ["lead_id"])
-    return keys.groupBy("key").agg(F.min_by("lead_id", "ord").alias("stored_lead_id"))
+
+def _split(leads: DataFrame) -> Resolved:
+    return Resolved(leads.filter(F.col("status") != S.DUPLICATE), leads.filter(F.col("status") == S.DUPLICATE))
+
+
+def deduplicate(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> Resolved:
+    """Best lead of every cluster, and the others marked as duplicates of it."""
+    return _split(marked(leads, losers(leads, scope, heavy_rows)))
+
+
+def stored_keys(stored: DataFrame, wanted: DataFrame, scope: str = DATASET) -> DataFrame:
+    """Identifier -> first lead stored under it, for the identifiers in `wanted(key)`.
+
+    The first position is a fixed-width aggregate with a map-side combine; only the few that are wanted look up their lead.
+    """
+    first = match_keys(stored, scope).groupBy("key").agg(F.min("ord").alias("ord")).join(wanted, "key", "left_semi")
+    return first.join(stored.select("ord", F.col("lead_id").alias("stored_lead_id")), "ord").select("key", "stored_lead_id")
 
 
 def existing_keys(incoming: DataFrame, stored: DataFrame, scope: str = DATASET) -> DataFrame:
     """`(key, stored_lead_id)` of the identifiers of `incoming` that are already stored."""
     wanted = match_keys(incoming, scope).select("key").distinct()
-    return stored_keys(stored, scope).join(wanted, "key", "left_semi")
+    return stored_keys(stored, wanted, scope)
 
 
 def stored_matches(
@@ -143,7 +162,7 @@ def stored_matches(
     goes before a phone match. The stored lead is never rewritten."""
     keys = match_keys(incoming, scope)
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
-    known = stored_keys(stored, scope).join(sizes, "key")
+    known = stored_keys(stored, sizes.select("key"), scope).join(sizes, "key")
     hits = join_groups(keys, known, "key", "size", heavy_rows)
     # 'email:' sorts before 'phone:', and a lead has one key of each kind at most
     return hits.groupBy("ord").agg(F.min_by("stored_lead_id", "key").alias("duplicate_of_lead_id"))
@@ -153,19 +172,10 @@ def against_stored(
     incoming: DataFrame, stored: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS
 ) -> Resolved:
     """First write wins: incoming leads that are already stored become duplicates of the stored one."""
-    matches = cut(stored_matches(incoming, stored, scope, heavy_rows))
-    bare = incoming.drop("status", "duplicate_of_lead_id")
-    kept = bare.join(matches, "ord", "left_anti").withColumns(
-        {"status": F.lit(S.CLEAN), "duplicate_of_lead_id": F.lit(None).cast("string")}
-    )
-    return Resolved(kept, bare.join(matches, "ord").withColumn("status", F.lit(S.DUPLICATE)))
+    return _split(marked(incoming, cut(stored_matches(incoming, stored, scope, heavy_rows))))
 
 
 def resolve(leads: DataFrame, stored: DataFrame | None = None, scope: str = DATASET) -> Resolved:
     """Repeats within the batch first, then repeats of what is stored."""
     leads = staged(leads, "scored")
-    within = deduplicate(leads, scope)
-    if stored is None:
-        return within
-    new = against_stored(within.kept, stored, scope)
-    return Resolved(new.kept, within.duplicates.unionByName(new.duplicates))
+    return _split(marked(leads, decided(leads, stored, scope)))

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadq import model as scorer
+from leadq import schema as S
 from leadq.functions import display
 from leadq.operators import analytics, clean, datasets, dedup, mapping, score, validate
 from leadq.operators.store import Store, scoped
-from leadq.session import staged
+from leadq.session import staged, temporary
 from leadq.sources.feeds import Feed, numbered
 
 
@@ -50,24 +51,22 @@ def process(
 
     Scores come before duplicates are resolved, because the best score survives; flags and
     texts come after. The scored rows are written once and read back by column, since resolving
-    duplicates passes over their identifiers several times.
+    duplicates passes over their identifiers several times. Whole rows meet the decision on them in one join,
+    and the finished rows are written once for the tables to be split from.
     """
     rows = prepare(mapped, batch_ts, model).withColumn("is_valid", F.size("errors") == 0)
     rows = staged(rows, "scored")
     parts = validate.split(rows)
     valid = parts.valid.drop("is_valid")
-    resolved = dedup.deduplicate(valid, scope)
-    kept, duplicates = resolved.kept, resolved.duplicates
-    if stored is not None:
-        new = dedup.against_stored(kept, stored, scope)
-        kept, duplicates = new.kept, duplicates.unionByName(new.duplicates)
-    return Batch(score.finish(kept), score.finish(duplicates), parts.invalid)
+    done = staged(score.finish(dedup.marked(valid, dedup.decided(valid, stored, scope))), "finished")
+    is_duplicate = F.col("status") == S.DUPLICATE
+    return Batch(done.filter(~is_duplicate), done.filter(is_duplicate), parts.invalid)
 
 
 def map_records(records: DataFrame, memory: DataFrame, resolver: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw records -> mapped records, and the decisions on their columns."""
     decisions = mapping.resolve_mapping(mapping.profile_fields(records), memory, resolver)
-    decisions = staged(decisions, "mapping")
+    decisions = staged(decisions, "mapping", keep=True)
     return mapping.apply_mapping(records, decisions), decisions
 
 
@@ -138,7 +137,8 @@ def run_mapped(
         stored = store.read("leads").filter(F.col("batch_id") != batch_id)
         if scope == dedup.DATASET:
             stored = stored.filter(F.col("dataset_id") == dataset_id)
-        write(process(rows, timestamp(batch_ts), stored, scope, model), store, batch_id)
+        with temporary(spark):
+            write(process(rows, timestamp(batch_ts), stored, scope, model), store, batch_id)
         store.append("quarantine", bad, batch_id)
         status = "completed"
     except Exception as error:
@@ -181,12 +181,13 @@ def run(
 
     Decisions worth keeping are added to the store's mapping memory, which goes over `memory`.
     """
-    records = staged(numbered(feed.records.withColumn("dataset_id", F.lit(dataset_id))), "records")
-    learned = store.read("mapping_memory")
-    mapped, decisions = map_records(records, mapping.upsert(memory.select(*learned.columns).unionByName(learned)), resolver)
-    new = mapping.confirmed(decisions, timestamp(batch_ts)).join(learned, ["source", "field_name", "canonical_field"], "left_anti")
-    store.append("mapping_memory", new)
-    run_mapped(mapped, feed.quarantine, store, dataset_id, batch_id, batch_ts, scope, **options)
+    with temporary(store.spark):
+        records = staged(numbered(feed.records.withColumn("dataset_id", F.lit(dataset_id))), "records")
+        learned = store.read("mapping_memory")
+        mapped, decisions = map_records(records, mapping.upsert(memory.select(*learned.columns).unionByName(learned)), resolver)
+        new = mapping.confirmed(decisions, timestamp(batch_ts)).join(learned, ["source", "field_name", "canonical_field"], "left_anti")
+        store.append("mapping_memory", new)
+        run_mapped(mapped, feed.quarantine, store, dataset_id, batch_id, batch_ts, scope, **options)
     return decisions
 
 

@@ -96,24 +96,20 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = submissions(spark, sf_dir)
     c = F.col
     full = F.when(c("fname").isNotNull() | c("lname").isNotNull(), F.concat_ws(" ", "fname", "lname"))
-    shapes = {
-        "facebook": {"full_name": full, "email": c("email"), "phone_number": c("phone"), "consent": c("consent"), "form_id": c("campaign"), "created_time": c("ts_raw")},
-        "instagram": {"Full Name": full, "E-mail": c("email"), "Phone #": c("phone"), "Date": c("ts_raw"), "Ad ID": c("campaign"), "Opted In": c("consent")},
-        "google_form": {
-            "Timestamp": c("ts_raw"), "What's your name?": full, "Your email address": c("email"),
-            "Best number to reach you": c("phone"), "Do you agree to be contacted?": c("consent"),
-            "How did you hear about us?": c("campaign"),
-        },
-        "landing_page": {
-            "fname": c("fname"), "lname": c("lname"), "email_addr": c("email"), "mobile": c("phone"), "opt_in": c("consent"),
-            "utm_campaign": c("campaign"), "utm_source": F.lit("landing_page"), "ts": c("ts_raw"),
-        },
-        "csv_upload": {"Full Name": full, "Work Email": c("email"), "Email Address": c("email"), "Cell": c("phone"), "Company": c("campaign")},
+    values = [full, c("fname"), c("lname"), c("email"), c("email"), c("phone"), c("consent"), c("campaign"), F.lit("landing_page"), c("ts_raw")]
+    headers = {  # under which header each value stands, if it does
+        "facebook": ["full_name", None, None, "email", None, "phone_number", "consent", "form_id", None, "created_time"],
+        "instagram": ["Full Name", None, None, "E-mail", None, "Phone #", "Opted In", "Ad ID", None, "Date"],
+        "google_form": [
+            "What's your name?", None, None, "Your email address", None, "Best number to reach you",
+            "Do you agree to be contacted?", "How did you hear about us?", None, "Timestamp",
+        ],
+        "landing_page": [None, "fname", "lname", "email_addr", None, "mobile", "opt_in", "utm_campaign", "utm_source", "ts"],
+        "csv_upload": ["Full Name", None, None, "Work Email", "Email Address", "Cell", None, "Company", None, None],
     }
-    raw = None
-    for source, columns in shapes.items():
-        record = F.create_map(*[x for name, value in columns.items() for x in (F.lit(name), value)])
-        raw = F.when(c("source") == source, record) if raw is None else raw.when(c("source") == source, record)
+    names = F.create_map(*[x for s_, hs in headers.items() for x in (F.lit(s_), F.array(*[F.lit(h) for h in hs]))])
+    cells = F.zip_with(names[c("source")], F.array(*values), lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    raw = F.map_from_entries(F.filter(cells, lambda cell: cell["n"].isNotNull()))
     return s.select("ord", "source", "dataset_id", raw.alias("raw"))
 
 

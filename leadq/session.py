@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ def builder(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession.Build
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
@@ -30,13 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session without that
     setting gets a temporary folder of its own.
     """
+    local = spark.sparkContext.master.split("[")[0] == "local"
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
         if path:
             path = path.rsplit("/", 1)[0]  # Spark appends a folder per application
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         path = "file:" + tempfile.mkdtemp(prefix="leadq-")
         spark.conf.set(CHECKPOINT_CONF, path)
@@ -55,11 +59,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end, unless it is staged to be kept."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for folder in _open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that later passes over it read
     only the columns they need and never repeat the work that produced it."""
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _open and not keep:
+        _open[-1].append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

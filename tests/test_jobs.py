@@ -35,7 +35,7 @@ def test_generated_feeds_become_leads(spark, tmp_path):
 
 def test_scorer_learns_the_rules(spark):
     leads = X.scored(spark, "/root/testdata/sf0.001").cache()
-    trees, error = model.train(model.training_set(leads), rounds=8)
+    trees, error = model.train(model.training_set(leads), rounds=8, step=0.2)
     assert error < 8
     predicted = model.predict(trees, leads)
     assert predicted.count() == leads.count() and "prediction" in predicted.columns
