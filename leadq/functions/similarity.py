@@ -48,11 +48,6 @@ def best_possible_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100.0).otherwise(F.least(F.length(a), F.length(b)) * 200.0 / total)
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """`indel_ratio` of two texts after sorting their words."""
-    return indel_ratio(sorted_tokens(a), sorted_tokens(b))
-
-
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)

@@ -241,6 +241,16 @@ def signal_completeness(leads: DataFrame, top: int | None = 3) -> DataFrame:
     return long.select("source", "signal", F.round(F.col("leads") * 100.0 / F.col("total"), 0).cast("long").alias("pct"))
 
 
+def scored_completeness(leads: DataFrame) -> DataFrame:
+    """The same for every source, over its scored leads: a signal is there if its field has any value."""
+    scored = leads.filter(F.col("quality_score").isNotNull() & F.col("source").isNotNull())
+    fields = {"email": "email", "phone": "phone_e164", "campaign": "campaign_id", "name": "first_name"}
+    shares = [F.count(c).alias(n) for n, c in fields.items()] + [F.count_if("consent").alias("consent")]
+    counts = scored.groupBy("source").agg(F.count("*").alias("total"), *shares)
+    long = counts.unpivot(["source", "total"], [*fields, "consent"], "signal", "leads")
+    return long.select("source", "signal", F.round(F.col("leads") * 100.0 / F.col("total"), 0).cast("long").alias("pct"))
+
+
 def top_failures(invalid: DataFrame, limit: int = 8) -> DataFrame:
     """Most frequent reasons for a rejected row."""
     errors = F.from_json("errors", "array<struct<loc:array<string>,msg:string>>")
@@ -306,11 +316,6 @@ def band_counts(leads: DataFrame) -> DataFrame:
     return leads.groupBy(band_or_unscored(F.col("quality_score")).alias("band")).agg(F.count("*").alias("leads"))
 
 
-def scored_band_counts(leads: DataFrame) -> DataFrame:
-    scored = leads.filter(F.col("quality_score").isNotNull())
-    return scored.groupBy(band(F.col("quality_score")).alias("band")).agg(F.count("*").alias("leads"))
-
-
 def failure_types(events: DataFrame) -> DataFrame:
     return events.groupBy("exception_type").agg(F.count("*").alias("events")).orderBy(F.desc("events"), "exception_type")
 

@@ -139,6 +139,11 @@ def call_list(leads: DataFrame, dispositions: DataFrame, limit: int = 20, datase
     return queue.orderBy(urgent, *_best_first()).limit(limit).select("ord", *S.VIEW_COLUMNS, "disposition")
 
 
+def without_consent(leads: DataFrame, limit: int = 25) -> DataFrame:
+    """The first leads that were collected without consent."""
+    return leads.filter(~F.col("consent")).orderBy("ord").limit(limit).select("ord", "first_name", "last_name", "email", "source", "quality_score", "status")
+
+
 def lead_by_id(leads: DataFrame, lead_id: str) -> DataFrame:
     return leads.filter(F.col("lead_id") == lead_id).select("ord", *S.VIEW_COLUMNS)
 

@@ -56,10 +56,6 @@ def _explain(df: DataFrame) -> DataFrame:
     )
 
 
-def annotate(df: DataFrame) -> DataFrame:
-    return explain(df).drop("positive_signals", "negative_signals")
-
-
 def finish(df: DataFrame) -> DataFrame:
     """Status and texts of resolved leads, from one evaluation of the signals."""
     flagged = with_signals(df)

@@ -1,7 +1,7 @@
 """SQL counterparts of the registered queries, for DuckDB over the same tables.
 
-Written from the rules, not from the DataFrame code: each step is a common table expression
-and a query names the steps it needs.
+Each step is a common table expression and a query names the steps it needs. The SQL shares the fixed value lists
+(`leadq.schema`) and the fixture with the package; the rules around them are written out anew.
 """
 
 from __future__ import annotations
@@ -442,6 +442,14 @@ def sql() -> dict[str, str]:
             UNION ALL SELECT 'range:high', {_n('quality_score BETWEEN 70 AND 100')} FROM leads
             UNION ALL SELECT 'range:medium', {_n('quality_score BETWEEN 40 AND 69')} FROM leads
             UNION ALL SELECT 'range:low', {_n('quality_score BETWEEN 0 AND 39')} FROM leads""", "leads"),
+        "export_filtered": q("SELECT lead_id, source, status, quality_score FROM leads WHERE source IN ('facebook', 'csv_upload') AND status IN ('clean', 'flagged') AND quality_score BETWEEN 40 AND 80", "leads"),
+        "preview_without_consent": q("SELECT ord, first_name, last_name, email, source, quality_score, status FROM leads WHERE NOT consent ORDER BY ord LIMIT 25", "leads"),
+        "preview_invalid": q("SELECT ord, source, dataset_id FROM invalid ORDER BY ord DESC LIMIT 25", "invalid"),
+        "raw_payload": q("SELECT ord, email, email AS work_email, phone AS cell FROM sub WHERE source = 'csv_upload'", "sub"),
+        "scored_completeness": q("""SELECT source, signal, CAST(round(100.0 * n / total, 0) AS BIGINT) AS pct FROM
+            (SELECT source, count(*) AS total, count(email) AS email, count(phone_e164) AS phone, count(campaign_id) AS campaign, count(first_name) AS name, count(*) FILTER (WHERE consent) AS consent
+             FROM leads WHERE quality_score IS NOT NULL GROUP BY source) t,
+            LATERAL (VALUES ('email', email), ('phone', phone), ('consent', consent), ('campaign', campaign), ('name', name)) v(signal, n)""", "leads"),
         "recent_rows": q("SELECT ord, lead_id, duplicate_of_lead_id FROM dups ORDER BY ord DESC LIMIT 25", "dups"),
         "export_csv": q("SELECT lead_id, email, phone_e164, quality_score, status FROM leads WHERE dataset_id = 'd1'", "leads"),
         # aggregates

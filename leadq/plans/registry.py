@@ -327,6 +327,31 @@ def export_csv(spark, sf):
     )
 
 
+@register
+def export_filtered(spark, sf):
+    path = new_folder(spark, "export")
+    files.export_filtered(X.leads(spark, sf), path, sources=["facebook", "csv_upload"], statuses=[S.CLEAN, S.FLAGGED], low=40, high=80)
+    return spark.read.option("header", True).option("escape", '"').csv(path).select("lead_id", "source", "status", F.col("quality_score").cast("double"))
+
+
+@register
+def preview_without_consent(spark, sf):
+    return ranking.without_consent(X.leads(spark, sf))
+
+
+@register
+def preview_invalid(spark, sf):
+    return store.recent(X.invalid(spark, sf), 25).select("ord", "source", "dataset_id")
+
+
+@register
+def raw_payload(spark, sf):
+    """The raw record of an upload beside its canonical fields."""
+    raw = X.raw_records(spark, sf).filter("source = 'csv_upload'")
+    mapped = mapping.apply_mapping(raw, staged(_decisions(spark, sf), "mapping"))
+    return mapped.select("ord", "email", F.get_json_object("raw_payload", "$['Work Email']").alias("work_email"), F.get_json_object("raw_payload", "$.Cell").alias("cell"))
+
+
 # --- aggregates ---------------------------------------------------------------------------
 
 
@@ -352,6 +377,7 @@ _over_leads("score_histogram20", A.histogram)
 _over_leads("avg_by_source", A.average_by_source)
 _over_leads("quality_funnel", A.quality_funnel)
 _over_leads("signal_completeness", A.signal_completeness)
+_over_leads("scored_completeness", A.scored_completeness)
 _over_leads("compliance_gaps", A.compliance_gaps)
 _over_leads("band_counts", A.band_counts)
 _over_tables("source_performance", A.source_performance)
@@ -822,6 +848,26 @@ def stream_ingest(spark, sf):
     return _resolved(dedup.Resolved(tables.read("leads"), tables.read("duplicate_leads")))
 
 
+@register
+def stream_feeds(spark, sf):
+    """The landing page and upload feeds as streams of files, and what a batch over the same files leaves."""
+    s = X.submissions(spark, sf)
+    paths = {"landing_page": _written(spark, "landing", _landing_lines(s)), "csv_upload": _write_csv_feeds(spark, s)["csv_upload"]}
+    now, left = batch.datetime.fromisoformat(X.BATCH_TS), []
+    for name in ("stream", "batch"):
+        tables, memory = store.Store(spark, new_folder(spark, name)), mapping.starter_memory(spark)
+        for source, path in paths.items():
+            if name == "batch":
+                batch.run(feeds.ingest(spark, {source: path}), tables, memory, source, source, now, clock=_clock)
+            else:
+                headers = list(_UPLOAD.values()) if source == "csv_upload" else None
+                job = jobs.ingest_feed(tables, source, path, memory, source, new_folder(spark, "at"), now, headers, clock=_clock)
+                job.trigger(availableNow=True).start().awaitTermination()
+        counts = [tables.read(t).groupBy("dataset_id").agg(F.count("*").alias(name)).withColumn("table", F.lit(t)) for t in ("leads", "duplicate_leads", "invalid_leads")]
+        left.append(store.union_by_name(counts))
+    return left[0].join(left[1], ["dataset_id", "table"], "full")
+
+
 @register
 def stream_kpis(spark, sf):
     leads = X.stored(spark, sf)

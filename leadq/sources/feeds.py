@@ -55,9 +55,9 @@ def flatten_webhook(payloads: DataFrame) -> DataFrame:
     return change.select(last_entries(F.concat(F.array(*base), submitted)).alias("raw"))
 
 
-def read_facebook(spark: SparkSession, path: str, layout: str = "auto") -> Feed:
+def facebook_feed(bodies: DataFrame) -> Feed:
     """Webhook deliveries: one document, an array of them, or one per line."""
-    items = json_items(read_bodies(spark, path, layout))
+    items = json_items(bodies)
     payload = F.expr(f"try_variant_get(item, '$', '{_WEBHOOK}')")
     items = items.withColumn("payload", F.when(F.col("problem").isNull(), payload))
     misshapen = F.col("problem").isNull() & F.col("payload").isNull()
@@ -67,10 +67,14 @@ def read_facebook(spark: SparkSession, path: str, layout: str = "auto") -> Feed:
     return Feed(records, _quarantined(items, "facebook"))
 
 
-def read_landing_page(spark: SparkSession, path: str, layout: str = "auto") -> Feed:
+def read_facebook(spark: SparkSession, path: str, layout: str = "auto") -> Feed:
+    return facebook_feed(read_bodies(spark, path, layout))
+
+
+def landing_page_feed(bodies: DataFrame) -> Feed:
     """Flat JSON submissions: one object, an array of them, or one per line. Fields that hold
     something other than text are listed in `not_text`."""
-    items = json_items(read_bodies(spark, path, layout))
+    items = json_items(bodies)
     fields = F.expr("try_variant_get(item, '$', 'map<string,variant>')")
     good = items.filter(F.col("problem").isNull()).select(fields.alias("fields"))
     texts = F.transform_values("fields", lambda _, v: v.try_cast("string"))
@@ -80,6 +84,10 @@ def read_landing_page(spark: SparkSession, path: str, layout: str = "auto") -> F
     return Feed(records, _quarantined(items, "landing_page"))
 
 
+def read_landing_page(spark: SparkSession, path: str, layout: str = "auto") -> Feed:
+    return landing_page_feed(read_bodies(spark, path, layout))
+
+
 def na_to_null(value: Column, tokens: list[str] = S.NA_TOKENS) -> Column:
     """Text that a CSV reader takes as missing."""
     return F.when(~value.isin(tokens), value)
@@ -116,10 +124,15 @@ def _read_csv(spark: SparkSession, paths: list[str], source: str, multi_line: bo
     # without pruning, because the parser would not notice values beyond the columns it was asked for
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("columnPruning", False)
     header = reader.csv(paths[:1])
-    names = header.columns
-    clean = [n.lstrip("﻿") for n in names]
     schema = header.schema.add("_bad_row", "string")
     rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad_row").option("mode", "PERMISSIVE").csv(paths)
+    return csv_feed(rows, source, na_tokens)
+
+
+def csv_feed(rows: DataFrame, source: str, na_tokens: list[str] = S.NA_TOKENS) -> Feed:
+    """A feed from the text columns of a CSV scan, the last of which is `_bad_row`, the text of a row that doesn't fit."""
+    names = rows.columns[:-1]
+    clean = [n.lstrip("\ufeff") for n in names]
     # a scan may not read the bad-row column alone, so a bit of the first one goes with it
     bad_row = F.concat("_bad_row", F.coalesce(F.substring(F.col(f"`{names[0]}`"), 1, 0), F.lit("")))
     values = F.size(F.split(F.regexp_replace(bad_row, r'"(?:[^"]|"")*"', ""), ","))

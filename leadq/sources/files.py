@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadq import schema as S
+from leadq.operators.ranking import filter_leads
 from leadq.operators.store import scoped
 
 
@@ -36,6 +37,11 @@ def safe_file_name(name: str | None) -> str:
     return (kept or "dataset") + ".csv"
 
 
+def export_filtered(leads: DataFrame, path: str, **filters) -> None:
+    """The leads that `ranking.filter_leads` keeps as CSV with a header, without a limit on rows."""
+    write_csv(filter_leads(leads, **filters).select(*S.VIEW_COLUMNS), path)
+
+
 def export_dataset(leads: DataFrame, dataset_id: str, path: str) -> None:
     """All leads of a dataset as CSV with a header, without a limit on rows."""
     write_csv(scoped(leads, dataset_id).select(*S.VIEW_COLUMNS), path)

@@ -114,3 +114,10 @@ def test_epochs_of_other_lengths(spark):
     got = [str(r[0]) for r in df.select(cleaning.parse_timestamp(F.col("t"))).collect()]
     assert got[:3] == ["2000-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-02 00:00:00"] or got[:2] == ["2000-01-01 00:00:00", "2024-01-01 00:00:00"]
     assert got[3] != "None"
+
+
+def test_streams_of_files_leave_what_a_batch_leaves(spark):
+    from leadq.plans.registry import QUERIES
+
+    got = QUERIES["stream_feeds"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) >= 4 and all(r.stream == r.batch for r in got)
