@@ -258,7 +258,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, chunk: int = CORP
     merged into the running best k.
     """
     chunks = -(-corpus.count() // chunk) or 1
-    best = F.array().cast("array<struct<similarity:double,corpus_id:string>>")
+    best = F.array().cast("array<struct<away:double,corpus_id:string>>")
     df = queries.withColumn("_best", best)
     part = F.pmod(F.xxhash64(F.col("corpus_id")), F.lit(chunks))
     for i in range(chunks):
@@ -269,21 +269,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, chunk: int = CORP
         scored = F.transform(
             "_corpus",
             lambda e: F.struct(
-                F.round(cosine(F.col("vector"), e["vector"]), 9).alias("similarity"), e["corpus_id"].alias("corpus_id")
+                (-F.round(cosine(F.col("vector"), e["vector"]), 9)).alias("away"), e["corpus_id"].alias("corpus_id")
             ),
         )
-        ranked = F.array_sort(
-            F.concat(F.col("_best"), scored),
-            lambda x, y: F.when(x["similarity"] > y["similarity"], -1)
-            .when(x["similarity"] < y["similarity"], 1)
-            .when(x["corpus_id"] < y["corpus_id"], -1)
-            .when(x["corpus_id"] > y["corpus_id"], 1)
-            .otherwise(0),
-        )
-        df = df.withColumn("_best", F.slice(ranked, 1, k))
+        # the best k of this constant, then of these and the best so far, in the natural order of the struct
+        df = df.withColumn("_best", F.slice(F.array_sort(F.concat("_best", F.slice(F.array_sort(scored), 1, k))), 1, k))
     keep = [c for c in queries.columns if c != "vector"]
     return df.select(*keep, F.posexplode("_best").alias("_pos", "_hit")).select(
-        *keep, (F.col("_pos") + 1).alias("rank"), F.col("_hit.corpus_id").alias("corpus_id"), F.col("_hit.similarity").alias("similarity")
+        *keep, (F.col("_pos") + 1).alias("rank"), F.col("_hit.corpus_id").alias("corpus_id"), (-F.col("_hit.away")).alias("similarity")
     )
 
 
