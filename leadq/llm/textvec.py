@@ -67,11 +67,12 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `size` bytes of text each, one row at least."""
+    """Slices of the batches with about `size` bytes in a string or binary column each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = bytes_of(batch.column(text))
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
