@@ -12,14 +12,15 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from leadq.llm import textvec as V
 
 #: Characters that are pre-tokenised at once.
 STRETCH = 1 << 20
-#: Pre-tokens that a task remembers.
-REMEMBERED = 600_000
+#: Pre-tokens that a worker remembers, about; the least recently used go first.
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,18 +111,23 @@ def merge(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[int]:
 
 
 class _Remembered(dict):
-    """str pre-token -> its ids as little-endian 32-bit integers; what isn't remembered is worked out."""
+    """str pre-token -> its ids as little-endian 32-bit integers; what isn't remembered is worked out. When half of the
+    entries are new, those not used since the last time are forgotten."""
 
     def __init__(self, vocabulary: PerfectHash, ranks: dict[bytes, int], most: int):
         super().__init__()
         self.vocabulary, self.rank_of, self.most = vocabulary, ranks.get, most
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
-        piece = token.encode()
-        whole = self.vocabulary.get(piece)
-        ids = [whole] if whole is not None else merge(piece, self.rank_of)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= self.most:
+        out = self.before.get(token)
+        if out is None:
+            piece = token.encode()
+            whole = self.vocabulary.get(piece)
+            ids = [whole] if whole is not None else merge(piece, self.rank_of)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.most // 2:
+            self.before = dict(self)
             self.clear()
         self[token] = out
         return out
@@ -172,9 +178,16 @@ def load(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def shared(docs: DataFrame, codec: Codec):
-    """The codec for tasks: a broadcast of the vocabulary, whose size is that of its file whatever the corpus."""
-    return docs.sparkSession.sparkContext.broadcast(codec)
+_sent: dict[tuple[str, int], tuple[Codec, Broadcast]] = {}
+
+
+def shared(docs: DataFrame, codec: Codec) -> Broadcast:
+    """The codec for tasks: one broadcast per application, whose size is that of the vocabulary file whatever the corpus."""
+    context = docs.sparkSession.sparkContext
+    key = (context.applicationId, id(codec))
+    if key not in _sent:
+        _sent[key] = codec, context.broadcast(codec)
+    return _sent[key][1]
 
 
 def encode(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -203,28 +216,33 @@ def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in V.pieces(batches, "ids", 4 * V.PIECE):
             decoded = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.drop("decoded").mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, codec: Codec) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, decoded again, both digested."""
+def digests(docs: DataFrame, codec: Codec, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, decoded again, both digested in one pass.
+    Also the ids themselves if asked for."""
     sent = shared(docs, codec)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in V.pieces(batches, "text", 4 * V.PIECE):
-            counts, of_ids, of_text = [], [], []
+            counts, of_ids, of_text, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = own.encode(text or "")
                 counts.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_text.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(ids)
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.array(all_ids, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

@@ -21,6 +21,8 @@ RECALL = 0.999
 HASHES = 144
 #: Documents of a block. Two blocks meet in one group of rows, so no group holds more than two.
 BLOCK = 256
+#: Candidate pairs that a task works on at once.
+PAIRS = 1 << 17
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -77,6 +79,17 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, a long, b long, bands array<long>")
 
 
+def _portions(table: pa.Table) -> Iterator[pa.Table]:
+    """Parts of a table of whole groups that stand for about PAIRS pairs each, one group at least."""
+    bounds = V.group_bounds(*(table.column(c).to_numpy() for c in ("h", "i", "j")))
+    pairs = np.cumsum(np.diff(bounds) ** 2 // 2)
+    at, done = 0, 0
+    while at < len(pairs):
+        end = max(at + 1, int(np.searchsorted(pairs, done + PAIRS, side="right")))
+        yield table.slice(bounds[at], bounds[end] - bounds[at])
+        at, done = end, pairs[end - 1]
+
+
 def _pair_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs that the groups of a table stand for. A group is a bucket, or two blocks of one."""
     h, i, j, own = (table.column(c).to_numpy() for c in ("h", "i", "j", "block"))
@@ -119,7 +132,7 @@ def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in V.whole_groups(batches, ["h", "i", "j"]):
+        for table in (part for whole in V.whole_groups(batches, ["h", "i", "j"]) for part in _portions(whole)):
             a, b = _pair_rows(table)
             rep, home, part = (table.column(c).to_numpy() for c in ("rep", "home", "home_block"))
             a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
