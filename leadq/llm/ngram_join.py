@@ -23,8 +23,8 @@ HASHES = 144
 BLOCK = 256
 #: Candidate pairs that a task works on at once.
 PAIRS = 1 << 17
-#: Stands for a null doc_id.
-NO_ID = -(2**63)
+#: Word sequences that a task remembers, so that copies of one text leave it once.
+SEEN = 1 << 16
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,21 +60,27 @@ def band_hashes(hashes: np.ndarray, own: np.ndarray, bands: int, rows: int) -> n
     return out
 
 
+def sequence_hashes(words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the word sequence of each text. Texts without words get different ones: they are no copies."""
+    first = np.cumsum(counts) - counts
+    keys = [V.mix64(V.spans(words, first, first + counts, b)).view(np.int64) for b in (V.BASE, V.BASE2)]
+    bare = np.flatnonzero(counts == 0)
+    for key in keys:
+        key[bare] = bare
+    return keys
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """id, n_words, two hashes of the word sequence, and the band hashes of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.pieces(batches, "text"):
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             hashes, own, words, counts = shingles(batch.column("text"), width)
-            first = np.cumsum(counts) - counts
-            keys = [V.mix64(V.spans(words, first, first + counts, b)).view(np.int64) for b in (V.BASE, V.BASE2)]
-            for key, alone in zip(keys, (ids, ~ids), strict=True):  # a text without words is alone
-                key[counts == 0] = alone[counts == 0]
+            keys = sequence_hashes(words, counts)
             found = band_hashes(hashes, own, bands, rows).view(np.int64).ravel() if own.any() else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum((own > 0) * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(found, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64)), *map(pa.array, keys), lists], ["id", "n_words", "a", "b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts.astype(np.int64)), *map(pa.array, keys), lists], ["id", "n_words", "a", "b", "bands"])
 
     return docs.mapInArrow(run, "id long, n_words long, a long, b long, bands array<long>")
 
@@ -186,17 +192,42 @@ def _needed(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "group long, node long")
 
 
+def _sequences(docs: DataFrame, seen: int | None = None) -> DataFrame:
+    """`docs` plus __n, the number of words, and __a and __b, two hashes of the word sequence. With `seen`, copies of one text leave a task about once:
+    it remembers so many of them."""
+    schema = docs.select("*").schema.add("__n", "long").add("__a", "long").add("__b", "long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int, int]] = set()
+        for batch in V.pieces(batches, "text"):
+            words, counts = V.word_hashes(*V.bytes_of(batch.column("text")))
+            added = [pa.array(c.astype(np.int64)) for c in (counts, *sequence_hashes(words, counts))]
+            batch = pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
+            if seen is not None:
+                new = []
+                for i, key in enumerate(zip(*(c.to_pylist() for c in added), strict=True)):
+                    if key not in known:
+                        if len(known) >= seen:
+                            known.clear()
+                        known.add(key)
+                        new.append(i)
+                batch = batch.take(pa.array(new, pa.int64()))
+            yield batch
+
+    return docs.mapInArrow(run, schema)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """id and its sorted distinct shingle hashes."""
+    """node and its sorted distinct shingle hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.pieces(batches, "text"):
             hashes, own, _, _ = shingles(batch.column("text"), width)
             ends = np.cumsum(own)
             sets = [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(ends, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "node long, shingles binary")
 
 
 def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -232,8 +263,7 @@ def _linked(table: pa.Table, threshold: float) -> tuple[list[int], list[int], li
             xs.append(np.frombuffer(row["xs"], dtype=np.int64))
             ys.append(np.frombuffer(row["ys"], dtype=np.int64))
         else:
-            own = np.frombuffer(row["shingles"], dtype=np.uint64)
-            sets[row["node"]] = np.union1d(sets[row["node"]], own) if row["node"] in sets else own
+            sets[row["node"]] = np.frombuffer(row["shingles"], dtype=np.uint64)
             copies[row["node"]] = row["copies"]
     nodes = np.array(sorted(sets), dtype=np.int64)
     x, y = np.searchsorted(nodes, np.concatenate(xs)), np.searchsorted(nodes, np.concatenate(ys))
@@ -261,7 +291,7 @@ def _linked(table: pa.Table, threshold: float) -> tuple[list[int], list[int], li
 
 def _verified(pairs: DataFrame, needed: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
     """node, links, low for every group and linked node in it."""
-    sent = needed.join(sets.withColumnRenamed("id", "node"), "node").join(copies.withColumnRenamed("rep", "node"), "node")
+    sent = needed.join(sets, "node").join(copies.withColumnRenamed("rep", "node"), "node")
     empty = F.lit(None)
     both = sent.select("group", "node", "copies", "shingles", empty.cast("binary").alias("xs"), empty.cast("binary").alias("ys")).unionByName(
         pairs.select("group", empty.cast("long").alias("node"), empty.cast("long").alias("copies"), empty.cast("binary").alias("shingles"), "xs", "ys")
@@ -279,45 +309,78 @@ def _verified(pairs: DataFrame, needed: DataFrame, sets: DataFrame, copies: Data
     return both.repartition(partitions(pairs), "group").sortWithinPartitions("group").mapInArrow(run, "node long, links long, low long")
 
 
+def _resolved(docs: DataFrame, width: int, threshold: float, recall: float, hashes: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_words, a, b of every row; a, b, n_words, rep, copies, low, nameless, links, component of every class of
+    equal word sequences). A node of the graph is a class under a number of its own, so what rows have as doc_id, or
+    whether they have one, changes no link. Numbers hold because the classes are staged."""
+    bands, rows = bands_for(threshold, recall, hashes)
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    signed = staged(signatures(own, width, bands, rows), "signatures")
+    key = ["a", "b", "n_words"]
+    classes = signed.filter("n_words > 0").groupBy(*key).agg(
+        F.min("id").alias("low"), F.count_if(F.col("id").isNull()).alias("nameless"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")
+    )
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    pairs = staged(_once(candidates(classes.select("rep", "bands"), block)), "pairs")
+    needed = staged(_needed(pairs), "needed")
+    marks = ["__a", "__b", "__n"]
+    wanted = classes.select(*[F.col(k).alias(m) for k, m in zip(key, marks, strict=True)], F.col("rep").alias("node"))
+    wanted = wanted.join(needed.select("node").distinct(), "node", "left_semi")
+    texts = _sequences(own.select("text"), SEEN).join(wanted, marks).groupBy(*marks).agg(F.any_value("node").alias("node"), F.any_value("text").alias("text"))
+    linked = staged(_verified(pairs, needed, _sets(texts.select("node", "text"), width), classes.select("rep", "copies"), threshold), "linked")
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = connected_components(linked.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    nodes = links.join(groups, "node", "left").withColumnRenamed("node", "rep")
+    return signed.drop("bands"), classes.drop("bands").join(nodes, "rep", "left")
+
+
 def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, n_links, group_id of every row of `docs`.
 
     Two documents are linked if the Jaccard similarity of their sets of `width`-word n-grams reaches `threshold`. class_id is the
     smallest doc_id with the same words; n_links counts the documents linked with this one, copies included;
     group_id is the smallest doc_id reached over links. A text of 1 to `width` - 1 words is one n-gram; a text without
-    words (null, empty) is linked with nothing. Rows without a doc_id are one document of that name; rows that
-    share a doc_id are copies if their texts are equal and else one document with the n-grams of all of them. Other
+    words (null, empty) is linked with nothing. Every row is a document of its own, also if it has no doc_id or shares
+    it with others; class_id and group_id are null only where no document of the class or group has a doc_id. Other
     columns are ignored; an empty table gives an empty result.
 
     Bands and rows are the most selective ones that reach `recall` at the threshold with so many hashes. Copies
     are one representative before any band is shuffled. Candidate pairs and full sets meet in groups of two blocks at
     most, packed, and every candidate is verified. A shingle is a 64-bit hash.
     """
-    bands, rows = bands_for(threshold, recall, hashes)
-    own = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    signed = staged(signatures(own.select("id", "text"), width, bands, rows), "signatures")
-    classes = staged(signed.groupBy("a", "b", "n_words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    pairs = staged(_once(candidates(classes.select("rep", "bands"), block)), "pairs")
-    needed = staged(_needed(pairs), "needed")
-    texts = own.select("id", "text").join(needed.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    linked = staged(_verified(pairs, needed, _sets(texts, width).dropDuplicates(["id", "shingles"]), copies, threshold), "linked")
-    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = connected_components(linked.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    nodes = links.join(groups, "node", "left").withColumnRenamed("node", "rep")
-    known = classes.drop("bands").join(nodes, "rep", "left")
+    signed, known = _resolved(docs, width, threshold, recall, hashes, block)
+    lows = known.filter("component is not null").groupBy("component").agg(F.min("low").alias("group_low"))
+    known = known.join(lows, "component", "left")
     id_kind = docs.schema["doc_id"].dataType
-    named = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(id_kind)
-    return signed.select("id", "a", "b", "n_words").join(known, ["a", "b", "n_words"]).select(
-        named("id").alias("doc_id"),
-        named("rep").alias("class_id"),
+    doc_id = F.col("id").cast(id_kind).alias("doc_id")
+    told = signed.filter("n_words > 0").join(known, ["a", "b", "n_words"]).select(
+        doc_id,
+        F.col("low").cast(id_kind).alias("class_id"),
         (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce(named("component"), named("rep")).alias("group_id"),
+        F.coalesce("group_low", "low").cast(id_kind).alias("group_id"),
     )
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents in whose group one has a smaller doc_id (null is the smallest). Repeated rows of
-    the one that stays all stay: exact duplicates are another operator's."""
-    gone = join(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    bare = signed.filter("n_words = 0")
+    return told.unionByName(bare.select(doc_id, doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links"), doc_id.alias("group_id")))
+
+
+def keep_one(
+    docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK
+) -> DataFrame:
+    """`docs` without the documents in whose group one has a smaller doc_id (null is the smallest). Of different texts that
+    share the smallest one, one stays. Repeated rows of the one that stays all stay: exact duplicates are
+    another operator's."""
+    _, known = _resolved(docs, width, threshold, recall, hashes, block)
+    # a class as (has an id, smallest id, hashes): the smallest of a group stays
+    first = F.struct(F.col("nameless") == 0, F.when(F.col("nameless") == 0, F.col("low")), "a", "b", "n_words")
+    firsts = known.filter("component is not null").groupBy("component").agg(F.min(first).alias("first"))
+    known = known.join(firsts, "component", "left").select(
+        *["a", "b", "n_words"],
+        F.coalesce(F.col("first") == first, F.lit(True)).alias("__stays"),
+        F.when(F.col("nameless") == 0, F.col("low")).alias("__low"),
+        "copies",
+    )
+    known = known.filter("not __stays or copies > 1")
+    known = known.select(F.struct("a", "b", "n_words", "__stays", "__low").alias("__class"))  # no name of a column of `docs`
+    same = (F.col("__class.a") == F.col("__a")) & (F.col("__class.b") == F.col("__b")) & (F.col("__class.n_words") == F.col("__n"))
+    stays = F.col("__class.__stays") & F.col("doc_id").cast("long").eqNullSafe(F.col("__class.__low"))
+    return _sequences(docs).join(known, same & ~stays, "left_anti").select(*docs.columns)

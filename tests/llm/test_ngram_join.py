@@ -90,3 +90,19 @@ def test_banding_reaches_the_recall():
     for threshold, recall, most in ((0.8, 0.999, 144), (0.5, 0.95, 128), (0.95, 0.99, 64)):
         bands, rows = frames.bands_for(threshold, recall, most)
         assert bands * rows <= most and 1 - (1 - threshold**rows) ** bands >= recall
+
+
+def test_rows_without_an_id_or_with_one_in_common_are_documents_of_their_own(spark):
+    near, other, third = (family(3, 120, 2, seed) for seed in (11, 12, 13))
+    rows = [(None, near[0]), (None, other[0]), (None, third[0]), (None, "alone here"), (1, near[1]), (1, near[0]), (2, near[2])]
+    rows += [(5, other[1]), (5, third[1]), (6, third[2]), (None, None), (None, ""), (7, None), (7, " ")]
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    named = [None if r[0] is None else r[0] for r in rows]
+    low = lambda i, c: min((named[k] for k in range(len(rows)) if want[k][c] == want[i][c] and named[k] is not None), default=None)
+    expected = [(named[i], low(i, 1), want[i][2], low(i, 3)) for i in range(len(rows))]
+    order = lambda r: tuple((v is not None, v or 0) for v in r)
+    got = map(tuple, ngram_join.join(found, recall=0.9999, hashes=400).collect())
+    assert sorted(got, key=order) == sorted(expected, key=order)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(found, recall=0.9999, hashes=400).collect()), key=str)
+    assert kept == sorted([*rows[:4], *rows[-4:]], key=str)
