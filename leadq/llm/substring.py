@@ -43,16 +43,26 @@ def _rows(bucket: int, docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray
     }
 
 
-def _sent(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray, buckets: np.ndarray) -> Iterator[dict]:
+def _by_home(docs: np.ndarray, starts: np.ndarray, homes: int, first_home: int = 0) -> Iterator[dict]:
+    """Rows for places known to go, one per home of their documents. Homes are numbered from `first_home`."""
+    home = (V.mix64(docs.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
+    order = np.lexsort((starts, docs, home))
+    docs, starts, home = docs[order], starts[order], home[order]
+    bounds = V.group_bounds(home)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield _rows(first_home + int(home[a]), docs[a:b], starts[a:b], None)
+
+
+def _sent(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray, buckets: np.ndarray, n_buckets: int, homes: int) -> Iterator[dict]:
     """Rows for the windows of a chunk, given by document and start. A window that repeats in the chunk is sent
-    once, from where it starts first; its later places are known to go and are sent without a hash."""
+    once, from where it starts first; its later places are known to go and are sent without a hash to the homes
+    of their documents, which are numbered from `n_buckets`."""
     order = np.argsort(hashes, kind="stable")
     bounds = V.group_bounds(hashes[order])
     first = np.repeat(order[bounds[:-1]], np.diff(bounds))
     again = order[(docs[order] != docs[first]) | (starts[order] != starts[first])]
-    again.sort()
     if len(again):
-        yield _rows(int(buckets[again[0]]), docs[again], starts[again], None)
+        yield from _by_home(docs[again], starts[again], homes, n_buckets)
     sent = order[bounds[:-1]]
     sent.sort()
     sent = sent[np.argsort(buckets[sent], kind="stable")]
@@ -62,7 +72,7 @@ def _sent(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray, buckets: np.
         yield _rows(int(buckets[at[0]]), docs[at], starts[at], hashes[at])
 
 
-def _windows(batches: Iterable[pa.RecordBatch], width: int, n_buckets: int, chunk: int) -> Iterator[dict]:
+def _windows(batches: Iterable[pa.RecordBatch], width: int, n_buckets: int, homes: int, chunk: int) -> Iterator[dict]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -71,7 +81,7 @@ def _windows(batches: Iterable[pa.RecordBatch], width: int, n_buckets: int, chun
         if (np.diff(docs) < 0).any():
             order = np.lexsort((starts, docs))
             docs, starts, hashes, buckets = docs[order], starts[order], hashes[order], buckets[order]
-        return _sent(docs, starts, hashes, buckets)
+        return _sent(docs, starts, hashes, buckets, n_buckets, homes)
 
     for batch in V.pieces(batches, "text"):
         words, counts = V.word_hashes(*V.bytes_of(batch.column("text")))
@@ -96,40 +106,27 @@ _SENT = "bucket int, n_docs int, places binary, n int, hashes binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("n_docs", pa.int32()), ("places", pa.binary()), ("n", pa.int32()), ("hashes", pa.binary())])
 
 
-def _later_places(table: pa.Table, homes: int) -> pa.Table:
-    """Of the windows of a bucket, those whose hash also stands at a smaller document or start; a row per home."""
-    ids, starts, hashes, gone_ids, gone_starts = [], [], [], [], []
+def _later_places(table: pa.Table, n_buckets: int, homes: int) -> pa.Table:
+    """Of the windows of a bucket, those whose hash also stands at a smaller document or start; a row per home. Rows
+    that are on their way home go on as they are."""
+    bucket = table.column("bucket")[0].as_py()
+    if bucket >= n_buckets:
+        return table.set_column(0, "bucket", pa.array(np.full(len(table), bucket - n_buckets, dtype=np.int32)))
+    ids, starts, hashes = [], [], []
     for row in table.select(["n_docs", "places", "n", "hashes"]).to_pylist():
         docs, counts, at = _unpack(row["places"], row["n_docs"], row["n_docs"], row["n"])
-        docs = np.repeat(docs, counts)
-        if row["hashes"] is None:
-            gone_ids.append(docs)
-            gone_starts.append(at.astype(np.int32))
-        else:
-            ids.append(docs)
-            starts.append(at.astype(np.int32))
-            hashes.append(np.frombuffer(row["hashes"], dtype=np.uint64))
-    if ids:
-        d, s, h = np.concatenate(ids), np.concatenate(starts), np.concatenate(hashes)
-        order = np.argsort(h)
-        bounds = V.group_bounds(h[order])
-        several = order[np.repeat(np.diff(bounds) > 1, np.diff(bounds))]
-        several = several[np.lexsort((s[several], d[several], h[several]))]
-        bounds = V.group_bounds(h[several])
-        first = np.repeat(several[bounds[:-1]], np.diff(bounds))
-        later = several[(d[several] != d[first]) | (s[several] != s[first])]
-        gone_ids.append(d[later])
-        gone_starts.append(s[later])
-    if gone_ids:
-        d, s = np.concatenate(gone_ids), np.concatenate(gone_starts)
-        home = (V.mix64(d.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
-        order = np.lexsort((s, d, home))
-        d, s, home = d[order], s[order], home[order]
-        bounds = V.group_bounds(home)
-        sent = [_rows(int(home[a]), d[a:b], s[a:b], None) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    else:
-        sent = []
-    return pa.Table.from_pylist(sent, schema=_SENT_ARROW)
+        ids.append(np.repeat(docs, counts))
+        starts.append(at.astype(np.int32))
+        hashes.append(np.frombuffer(row["hashes"], dtype=np.uint64))
+    d, s, h = np.concatenate(ids), np.concatenate(starts), np.concatenate(hashes)
+    order = np.argsort(h)
+    bounds = V.group_bounds(h[order])
+    several = order[np.repeat(np.diff(bounds) > 1, np.diff(bounds))]
+    several = several[np.lexsort((s[several], d[several], h[several]))]
+    bounds = V.group_bounds(h[several])
+    first = np.repeat(several[bounds[:-1]], np.diff(bounds))
+    later = several[(d[several] != d[first]) | (s[several] != s[first])]
+    return pa.Table.from_pylist(list(_by_home(d[later], s[later], homes)), schema=_SENT_ARROW)
 
 
 def _cover(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,19 +157,19 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None =
     Each window of `width` words has a 64-bit Rabin-Karp hash and, by a second hash, a bucket; both
     together identify it. With 2 buckets per shuffle partition the chance that any two different windows of n share
     both is n^2 / (2^65 * buckets). A task sends a hash that repeats within a chunk of its windows
-    once, so the most common window arrives in its bucket once per chunk, not once per document. What a bucket
-    finds goes back packed by the home of the document, a hash of its id.
+    once, so the most common window arrives in its bucket once per chunk, not once per document. Its other places
+    and what a bucket finds go back packed by the home of the document, a hash of its id.
     """
     homes = partitions(docs)
     n_buckets = buckets or 2 * homes
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _windows(batches, width, n_buckets, chunk):
+        for row in _windows(batches, width, n_buckets, homes, chunk):
             yield pa.RecordBatch.from_pylist([row], schema=_SENT_ARROW)
 
     def judge(table: pa.Table) -> pa.Table:
-        return _later_places(table, homes)
+        return _later_places(table, n_buckets, homes)
 
     def merge(table: pa.Table) -> pa.Table:
         return _merged(table, width)

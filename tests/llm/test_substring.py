@@ -1,4 +1,7 @@
+from collections import Counter
+
 import hypothesis.strategies as st
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 
@@ -61,6 +64,17 @@ def test_empty_table_and_extra_columns(spark):
     assert answer(spark, rows, "doc_id int, text string, kept_text string, n_words int", width=3)[2] == (3, 3, "")
 
 
+def test_known_repeats_of_a_chunk_meet_in_no_bucket():
+    text = " ".join(f"p{i}" for i in range(60))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": [text] * 400})
+    places = Counter()
+    for row in substring._windows([batch], 20, n_buckets=4, homes=8, chunk=10**6):
+        places[row["bucket"], row["hashes"] is None] += row["n"]
+    assert all((bucket >= 4) == known for bucket, known in places)
+    known = [n for (_, known), n in places.items() if known]
+    assert sum(known) == 399 * 41 and len(known) == 8 and max(known) < 2 * np.mean(known)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\t\n ", max_size=30), max_size=6))
 def test_words_and_windows(texts):
