@@ -58,6 +58,18 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (1, 0), (2, 25)]
 
 
+def test_different_texts_without_an_id_or_with_one_are_documents_of_their_own(spark):
+    passage, other = (" ".join(f"{c}{i}" for i in range(25)) for c in "pq")
+    clean = " ".join(f"c{i}" for i in range(60))
+    for doc_id in (None, 7):
+        rows = [(doc_id, passage + " one end"), (doc_id, passage + " another end"), (doc_id, clean), (doc_id, other), (doc_id, other), (9, other)]
+        found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk=40).collect()
+        got = sorted((r.doc_id == 9, r.n_words, r.n_removed) for r in found)
+        assert sorted(r[2] for r in got if r[1] == 27) == [0, 25]  # of the passage at the same start, one stays
+        assert [r for r in got if r[1] != 27] == [(False, 25, 0), (False, 25, 0), (False, 60, 0), (True, 25, 25)]
+        assert {r.kept_text for r in found if r.n_words == 60} == {clean}
+
+
 def test_empty_table_and_extra_columns(spark):
     assert answer(spark, []) == {}
     rows = [(1, "a b c", "x", 1), (2, "a b c", "y", 2)]
@@ -66,7 +78,7 @@ def test_empty_table_and_extra_columns(spark):
 
 def test_known_repeats_of_a_chunk_meet_in_no_bucket():
     text = " ".join(f"p{i}" for i in range(60))
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": [text] * 400})
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text_key": pa.array([1] * 400, pa.int64()), "text": [text] * 400})
     places = Counter()
     for row in substring._windows([batch], 20, n_buckets=4, homes=8, chunk=10**6):
         places[row["bucket"], row["hashes"] is None] += row["n"]
