@@ -20,24 +20,36 @@ def shingle_hashes(words: Column, width: int = WIDTH) -> Column:
     return F.when(n >= width, runs).otherwise(short)
 
 
+def with_shingles(df: DataFrame, text: str, name: str = "shingles", width: int = WIDTH) -> DataFrame:
+    """`df` plus `name`: the sorted distinct hashes of all shingles of `text`."""
+    # each value is used more than once and so has a column of its own
+    return (
+        df.withColumn("__words", words_of(F.col(text)))
+        .withColumn(name, F.array_sort(F.array_distinct(shingle_hashes(F.col("__words"), width))))
+        .drop("__words")
+    )
+
+
+def _threshold(scale: int) -> Column:
+    return F.lit(-(2**63) + 2**64 // scale)
+
+
+def sketch_of(shingles: Column, scale: int = SCALE) -> Column:
+    """Of sorted shingle hashes those below one `scale`-th of the hash range, or the smallest if none is."""
+    low = F.filter(shingles, lambda h: h < _threshold(scale))
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(shingles, 1, 1))
+
+
 def with_sketch(df: DataFrame, text: str, name: str = "sketch", width: int = WIDTH, scale: int = SCALE) -> DataFrame:
     """`df` plus `name`: the sorted distinct shingle hashes of `text` below one `scale`-th of the hash range.
 
     Because the threshold is the same for every text, the sketch of a union of texts is the union of their
-    sketches, and the share of one sketch found in another estimates containment whatever their
-    lengths. A text with no hash below the threshold retains its smallest, so only a text without
-    words has an empty sketch.
+    sketches (`merged`), and the share of one sketch found in another estimates containment whatever their
+    lengths. A text with no hash below the threshold retains its smallest, a fallback, so only a text without
+    words has an empty sketch. A fallback says which text it is, but other sketches don't hold it: `containment` and `likeness`
+    give null for it. Texts of few words need their full sets (`with_shingles`).
     """
-    threshold = -(2**63) + 2**64 // scale
-    # each value is used more than once and so has a column of its own
-    return (
-        df.withColumn("__words", words_of(F.col(text)))
-        .withColumn("__hashes", shingle_hashes(F.col("__words"), width))
-        .withColumn("__low", F.filter("__hashes", lambda h: h < F.lit(threshold)))
-        .withColumn("__low", F.when(F.size("__low") > 0, F.col("__low")).otherwise(F.slice(F.array_sort("__hashes"), 1, 1)))
-        .withColumn(name, F.array_sort(F.array_distinct("__low")))
-        .drop("__words", "__hashes", "__low")
-    )
+    return with_shingles(df, text, "__hashes", width).withColumn(name, sketch_of(F.col("__hashes"), scale)).drop("__hashes")
 
 
 def as_text(sketched: Column) -> Column:
@@ -45,21 +57,33 @@ def as_text(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+def _is_fallback(sketched: Column, scale: int | None) -> Column:
+    return F.lit(False) if scale is None else (F.size(sketched) == 1) & (F.get(sketched, F.lit(0)) >= _threshold(scale))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of `a`'s shingles that `b` has, 0 to 1; 1 if `a` is empty."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Sketch of the shingles of two documents together."""
+    return sketch_of(F.array_sort(F.array_union(a, b)), scale)
+
+
+def containment(a: Column, b: Column, scale: int | None = SCALE, b_shingles: Column | None = None) -> Column:
+    """Share of `a`'s shingles that `b` has, 0 to 1; 1 if `a` is empty. Both are sketches of one scale, or full sets (scale None).
+
+    A fallback `a` is looked up in the full set `b_shingles`; without that it is null unless `b` is the same fallback.
+    """
+    share = F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    alone = F.when(a == b, 1.0) if b_shingles is None else F.array_contains(b_shingles, F.get(a, F.lit(0))).cast("double")
+    return F.when(_is_fallback(a, scale), alone).otherwise(share)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate, 0 to 1; two empty sketches are alike."""
+def likeness(a: Column, b: Column, scale: int | None = SCALE) -> Column:
+    """Jaccard similarity, 0 to 1, estimated from sketches of one scale or exact from full sets (scale None); two empty
+    ones are alike. Null if one is a fallback and the other another sketch with words."""
     common = F.size(F.array_intersect(a, b))
     together = F.size(a) + F.size(b) - common
-    return F.when(together == 0, 1.0).otherwise(common / together)
+    known = F.when(together == 0, 1.0).otherwise(common / together)
+    blind = (_is_fallback(a, scale) | _is_fallback(b, scale)) & (a != b) & (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(~blind, known)
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str], ranges: int | None = None) -> DataFrame:
@@ -103,20 +127,24 @@ def edit_report(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> Data
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends with the beginning of the next document by doc_id instead of its own last quarter.
+    The fingerprints are sketches; near_edited and near_next are Jaccard similarities of the full shingle sets,
+    because all texts are at hand there, so short texts lose nothing.
     Null texts count as empty; rows with one doc_id are documents of their own, in the order of their texts;
     a single row is its own next; other columns are ignored; an empty table gives an empty result.
     """
-    told = with_next(fingerprints(docs, width, scale), "doc_id", ["text", "sketch"])
+    told = with_next(docs.select("doc_id", text_of().alias("text")), "doc_id", ["text"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    told = with_sketch(told.withColumn("edited", edited), "edited", "edited_sketch", width, scale)
+    told = told.withColumn("edited", edited)
+    for text, name in (("text", "own"), ("edited", "changed"), ("next_text", "next")):
+        told = with_shingles(told, text, name, width)
     return told.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(sketch_of(F.col("own"), scale)).alias("fingerprint"),
+        as_text(sketch_of(F.col("changed"), scale)).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed"), None).alias("near_edited"),
+        likeness(F.col("own"), F.col("next"), None).alias("near_next"),
     )

@@ -149,6 +149,37 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprint.edit_report(df.filter("doc_id = 8")).count() == 0
 
 
+def test_short_texts_are_compared_by_all_their_shingles(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" if k >= 8 else f"w{i // 2}y{k}" for k in range(12 + i % 5))) for i in range(60)]
+    grams = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set()
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    got = {r.doc_id: r for r in fingerprint.edit_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        after = rows[(i + 1) % len(rows)][1]
+        m = len(text) // 4
+        edited = text[: len(text) - m] + after[:m]
+        assert got[i].near_edited == jaccard(grams(text.split()), grams(edited.split()))
+        assert got[i].near_next == jaccard(grams(text.split()), grams(after.split()))
+
+
+def test_fallback_hashes_are_not_compared_with_sketches(spark):
+    short = [" ".join(f"s{i}w{k}" for k in range(6)) for i in range(40)]
+    long = " ".join(short) + " " + " ".join(f"l{k}" for k in range(500))
+    df = spark.createDataFrame([(t, long) for t in short], "a string, b string")
+    for name in ("a", "b"):
+        df = fingerprint.with_shingles(fingerprint.with_sketch(df, name, f"{name}_sketch"), name, f"{name}_all")
+    a, b, a_all, b_all = (F.col(c) for c in ("a_sketch", "b_sketch", "a_all", "b_all"))
+    union = fingerprint.sketch_of(F.array_sort(F.array_union("a_all", "b_all")))
+    rows = df.select(
+        fingerprint.containment(a, b).alias("blind"),
+        fingerprint.containment(a, b, b_shingles=b_all).alias("looked_up"),
+        fingerprint.containment(a_all, b_all, None).alias("full"),
+        (fingerprint.merged(a, b) == union).alias("whole"),
+    ).collect()
+    assert {r.blind for r in rows} == {None, 1.0}
+    assert all(r.looked_up == r.full == 1.0 and r.whole for r in rows)
+
+
 # --- chat ---
 
 
