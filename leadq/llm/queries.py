@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadq.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, quality, substring, token_counts
+from leadq.llm import bpe, chat, decontam, exact_dedup, fingerprint, langid, mixing, ngram_join, quality, repair, substring, token_counts, whitening
 from leadq.llm.frames import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +83,42 @@ def op10_substring_dedup(spark, sf):
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register
+def op11_benchmark_decontamination(spark, sf):
+    return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register
+def op12_embedding_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@register
+def op13_conversation_repair(spark, sf):
+    return repair.damage_report(table(spark, sf, "conversations"))
+
+
 SQL = {
+    "op11_benchmark_decontamination": r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+runs AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS run
+  FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM runs),
+starts AS (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM docs, lengths),
+found AS (
+  SELECT r, i, s.n, item FROM (SELECT r, n, i, array_to_string(w[i + 1 : i + n], ' ') AS run FROM starts) s JOIN runs USING (n, run)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS told FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(told, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+""",
     "op5_chat_formatting": """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
