@@ -42,7 +42,7 @@ def windows(items: DataFrame, width: int = WIDTH, item_id: str = "item_id", text
     runs = staged(runs.withColumn("run", F.array_join("run", " ")), "decontam-runs")  # words hold no blanks
     named = staged(runs.select("run").distinct().withColumn("wid", F.monotonically_increasing_id()), "decontam-windows")
     owners = staged(runs.join(named, "run").select("wid", "item"), "decontam-owners")
-    placed = named.select("wid", F.posexplode(F.split("run", " ")).alias("at", "term")).join(terms, "term").select("wid", "at", "tid")
+    placed = named.select("wid", F.posexplode(F.split("run", " ")).alias("at", "term")).join(_small(terms), "term").select("wid", "at", "tid")
     return terms, staged(placed, "decontam-placed"), owners
 
 
@@ -65,7 +65,7 @@ def _by_rarity(postings: DataFrame, placed: DataFrame) -> DataFrame:
     """wid, at, tid, length, rarity (1: the rarest) of the windows all of whose terms occur. Postings are counted with a map-side combine."""
     counts = postings.filter("tid is not null").groupBy("tid").agg(F.count("*").alias("n"))
     own = Window.partitionBy("wid")  # at most the words of one window
-    known = placed.join(counts, "tid", "left").withColumns({"length": F.count("*").over(own), "known": F.count("n").over(own)})
+    known = placed.join(_small(staged(counts, "decontam-counts")), "tid", "left").withColumns({"length": F.count("*").over(own), "known": F.count("n").over(own)})
     ranked = known.filter("known = length").withColumn("rarity", F.row_number().over(own.orderBy("n", "at")))
     return staged(ranked.select("wid", "at", "tid", "length", "rarity"), "decontam-rarity")
 
