@@ -172,7 +172,7 @@ def damage(conversations: DataFrame) -> DataFrame:
 
 
 def _rows(rows: DataFrame, conv_ids: DataFrame | None, block_rows: int) -> DataFrame:
-    """Rows in order, staged: conv_id, turn, role, text, ord, node, code, fault. Each conversation ends with a row of code `.`.
+    """Rows in order, staged: conv_id, turn, role, text, ord, node, and last, the last visible character. Each conversation has an end row.
 
     One range-cut shuffle orders them, so a long conversation spans several tasks. Its last key is the row's number, which cuts
     equal rows apart; they are interchangeable. A node is a block of at most `block_rows` rows.
@@ -192,35 +192,33 @@ def _rows(rows: DataFrame, conv_ids: DataFrame | None, block_rows: int) -> DataF
     order = ["conv_id", "end", "turn", *keys]
     dealt = said.unionByName(ends).withColumns(keys).repartitionByRange(*order).sortWithinPartitions(*order)
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
-    told = dealt.withColumn("ord", F.monotonically_increasing_id()).withColumn("last", last)
-    return _with_nodes(staged(told.drop("__role", "__text", "__row"), "repair-rows"), block_rows)
-
-
-def _with_nodes(told: DataFrame, block_rows: int) -> DataFrame:
+    told = dealt.withColumn("ord", F.monotonically_increasing_id()).withColumn("last", last).drop("__role", "__text", "__row")
+    told = staged(told, "repair-rows")
     inside = F.col("ord").bitwiseAND(F.lit((1 << 33) - 1))
     bits = block_rows.bit_length() - 1
     most = told.agg(F.max(F.shiftright(inside, bits))).first()[0] or 0
-    node = F.shiftleft(F.shiftright("ord", 33), most.bit_length()) + F.shiftright(inside, bits)
+    return told.withColumn("node", F.shiftleft(F.shiftright("ord", 33), most.bit_length()) + F.shiftright(inside, bits))
+
+
+def _judged(told: DataFrame) -> DataFrame:
+    """conv_id, turn, ord, node, code, fault of every row: narrow, no text moves."""
+    rows = told.select("conv_id", "turn", "end", "ord", "node", "a", "b", "last", F.substring("role", 1, 1).alias("initial"))
     # only a row whose words and role come more than once in its conversation needs to know the first
-    firsts = told.filter("not end").groupBy("conv_id", "a", "b").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = rows.filter("not end").groupBy("conv_id", "a", "b").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
     firsts = firsts.select(F.col("conv_id").alias("__id"), F.col("a").alias("__a"), F.col("b").alias("__b"), "first")
     same = F.col("conv_id").eqNullSafe(F.col("__id")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")) & ~F.col("end")
-    initial = F.substring("role", 1, 1)
     fault = (
         F.when(F.col("end"), None).when(F.col("last") == "", "blank").when(F.col("ord") > F.col("first"), "duplicate").when(~F.col("last").isin(".", "!", "?"), "truncated")
     )
-    place = F.when(initial.isin("s", "u", "a"), F.instr(F.lit("sua"), initial)).otherwise(4)
+    place = F.when(F.col("initial").isin("s", "u", "a"), F.instr(F.lit("sua"), F.col("initial"))).otherwise(4)
     code = (
         F.when(F.col("end"), ".")
         .when(F.col("fault").isin("blank", "duplicate"), F.substring(F.lit("0123"), place, F.lit(1)))
         .when(F.col("fault") == "truncated", F.substring(F.lit("SUAX"), place, F.lit(1)))
         .otherwise(F.substring(F.lit("suax"), place, F.lit(1)))
     )
-    return (
-        told.join(firsts, same, "left")
-        .withColumn("fault", fault)
-        .select("conv_id", "turn", "role", "text", "end", "ord", node.alias("node"), code.alias("code"), "fault")
-    )
+    judged = rows.join(firsts, same, "left").withColumn("fault", fault)
+    return judged.select("conv_id", "turn", "ord", "node", code.alias("code"), "fault")
 
 
 def _mapped(df: DataFrame, work: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
@@ -298,11 +296,12 @@ def repair(rows: DataFrame, conv_ids: DataFrame | None = None, block_rows: int =
     another or no initial can't be kept.
 
     Null role and text count as one space; rows without conv_id are one conversation; repeated rows are duplicates. Other columns are ignored. No
-    rows: no report, unless conv_ids names some, which then have zeros and an empty audit. Long texts pass through one shuffle and one join and
+    rows: no report, unless conv_ids names some, which then have zeros and an empty audit. Long texts pass through the sort and one join and
     are never gathered. A conversation is cut into blocks of `block_rows` rows; a task holds the codes of one block, or 64 tables of the
     tree above, whatever the conversation's length. The audit is one letter a row, so it is limited to 2^31 rows.
     """
-    told = staged(_rows(rows, conv_ids, block_rows), "repair-told")
+    ordered = _rows(rows, conv_ids, block_rows)
+    told = staged(_judged(ordered), "repair-judged")
     entry = F.struct("ord", "code")
     blocks = told.groupBy("conv_id", "node").agg(F.sort_array(F.collect_list(entry)).alias("rows"), F.min("ord").alias("first"))
     blocks = staged(blocks.select("conv_id", "node", "first", F.array_join(F.transform("rows", lambda r: r["code"]), "").alias("codes")), "repair-blocks")
@@ -324,12 +323,12 @@ def repair(rows: DataFrame, conv_ids: DataFrame | None = None, block_rows: int =
         .join(audits, F.col("conv_id").eqNullSafe(F.col("__a")))
         .drop("__c", "__a")
     )
-    return _repaired(told, ways), report
+    return _repaired(ordered, ways), report
 
 
-def _repaired(told: DataFrame, ways: DataFrame) -> DataFrame:
+def _repaired(ordered: DataFrame, ways: DataFrame) -> DataFrame:
     done = ways.select(F.col("conv_id").alias("__id"), F.col("node").alias("__node"), "first", "made")
-    rows = told.join(done, F.col("conv_id").eqNullSafe(F.col("__id")) & (F.col("node") == F.col("__node")))
+    rows = ordered.join(done, F.col("conv_id").eqNullSafe(F.col("__id")) & (F.col("node") == F.col("__node")))
     made = F.get("made", (F.col("ord") - F.col("first")).cast("int"))
     each = rows.withColumn("__made", made).filter("__made != ''").select("*", F.posexplode(F.split("__made", "")).alias("step", "__turn"))
     new = F.col("__turn").isin("u", "a")
