@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadq.llm.frames import text_of
+from leadq.llm.frames import small, text_of
 from leadq.session import staged
 
 WIDTH = 10
 #: Everything that is no digit, no lower-case ASCII letter and no character beyond ASCII, once A-Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a side that is broadcast, at most; a larger one is joined by a shuffle.
-SMALL_ROWS = 500_000
 
 
 def terms_of(text: Column) -> Column:
@@ -23,11 +21,6 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
 
 
-def _small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """`df`, written out; broadcast if it turns out to have at most `rows` rows, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def windows(items: DataFrame, width: int = WIDTH, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(terms, windows, items of windows) of test items, written out.
 
@@ -42,7 +35,7 @@ def windows(items: DataFrame, width: int = WIDTH, item_id: str = "item_id", text
     runs = staged(runs.withColumn("run", F.array_join("run", " ")), "decontam-runs")  # words hold no blanks
     named = staged(runs.select("run").distinct().withColumn("wid", F.monotonically_increasing_id()), "decontam-windows")
     owners = staged(runs.join(named, "run").select("wid", "item"), "decontam-owners")
-    placed = named.select("wid", F.posexplode(F.split("run", " ")).alias("at", "term")).join(_small(terms), "term").select("wid", "at", "tid")
+    placed = named.select("wid", F.posexplode(F.split("run", " ")).alias("at", "term")).join(small(terms), "term").select("wid", "at", "tid")
     return terms, staged(placed, "decontam-placed"), owners
 
 
@@ -57,7 +50,7 @@ def index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str =
     # the entry before the first word stands for the document itself; no word is empty
     each = told.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "term"))
     own = terms.select("term", "tid").unionByName(terms.sparkSession.createDataFrame([("", -1)], "term string, tid long"))
-    found = each.join(_small(staged(own, "decontam-vocabulary")), "term")
+    found = each.join(small(staged(own, "decontam-vocabulary")), "term")
     return staged(found.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), F.when(F.col("tid") >= 0, F.col("tid")).alias("tid")), "decontam-index")
 
 
@@ -65,7 +58,7 @@ def _by_rarity(postings: DataFrame, placed: DataFrame) -> DataFrame:
     """wid, at, tid, length, rarity (1: the rarest) of the windows all of whose terms occur. Postings are counted with a map-side combine."""
     counts = postings.filter("tid is not null").groupBy("tid").agg(F.count("*").alias("n"))
     own = Window.partitionBy("wid")  # at most the words of one window
-    known = placed.join(_small(staged(counts, "decontam-counts")), "tid", "left").withColumns({"length": F.count("*").over(own), "known": F.count("n").over(own)})
+    known = placed.join(small(staged(counts, "decontam-counts")), "tid", "left").withColumns({"length": F.count("*").over(own), "known": F.count("n").over(own)})
     ranked = known.filter("known = length").withColumn("rarity", F.row_number().over(own.orderBy("n", "at")))
     return staged(ranked.select("wid", "at", "tid", "length", "rarity"), "decontam-rarity")
 
@@ -82,7 +75,7 @@ def phrases(postings: DataFrame, placed: DataFrame) -> DataFrame:
     rare = ranked.filter("rarity <= 2").select("wid", "at", "tid", "length", "rarity")
     shifted = (
         postings.select("row", "pos", "tid")
-        .join(_small(rare), "tid")
+        .join(small(rare), "tid")
         .select("row", "wid", "length", (F.col("pos") - F.col("at")).alias("start"), "rarity")
         .filter("start >= 0")
     )
@@ -90,8 +83,8 @@ def phrases(postings: DataFrame, placed: DataFrame) -> DataFrame:
     found = both.filter("seen = 3 or (length = 1 and seen = 1)").select("row", "wid", "start", "length")
     found = staged(found, "decontam-candidates")
     others = ranked.filter("rarity > 2").select("wid", "at", "tid")
-    asked = found.filter("length > 2").join(_small(others), "wid").select("row", "wid", "start", "length", (F.col("start") + F.col("at")).alias("pos"), "tid")
-    where = _small(staged(found.filter("length > 2").select("row").distinct(), "decontam-rows"))
+    asked = found.filter("length > 2").join(small(others), "wid").select("row", "wid", "start", "length", (F.col("start") + F.col("at")).alias("pos"), "tid")
+    where = small(staged(found.filter("length > 2").select("row").distinct(), "decontam-rows"))
     there = postings.filter("tid is not null").select("row", "pos", "tid").join(where, "row", "left_semi")
     # a place that many candidates ask for is looked up once
     held = staged(asked.select("row", "pos", "tid").distinct().join(there, ["row", "pos", "tid"], "left_semi"), "decontam-held")
@@ -108,11 +101,11 @@ def proximity(postings: DataFrame, placed: DataFrame, span: int) -> DataFrame:
     terms = placed.groupBy("wid", "tid").agg(F.min("at").alias("at"))  # a window's distinct terms
     ranked = _by_rarity(postings, terms)
     rare = ranked.filter("rarity = 1").select("wid", "tid", "length")
-    anchors = staged(postings.select("row", "pos", "tid").join(_small(rare), "tid").select("row", "wid", "length", "pos"), "decontam-anchors")
+    anchors = staged(postings.select("row", "pos", "tid").join(small(rare), "tid").select("row", "wid", "length", "pos"), "decontam-anchors")
     others = ranked.filter("rarity > 1").select("wid", "tid")
     cell = F.floor(F.col("pos") / span)
-    asked = anchors.join(_small(others), "wid").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    where = _small(staged(anchors.select("row").distinct(), "decontam-rows"))
+    asked = anchors.join(small(others), "wid").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    where = small(staged(anchors.select("row").distinct(), "decontam-rows"))
     there = postings.filter("tid is not null").join(where, "row", "left_semi").select("row", F.col("pos").alias("at"), "tid", cell.alias("cell"))
     near = asked.join(there, ["row", "tid", "cell"]).filter(F.abs(F.col("at") - F.col("pos")) <= span)
     whole = near.select("row", "wid", "length", "pos", "tid").distinct().groupBy("row", "wid", "length", "pos").agg(F.count("*").alias("n")).filter("n = length - 1")
@@ -135,7 +128,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     found = phrases(postings, placed)
     hit = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
     hits = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
-    named = found.select("row", "wid").distinct().join(_small(owners), "wid").select("row", "item").distinct()
+    named = found.select("row", "wid").distinct().join(small(owners), "wid").select("row", "item").distinct()
     named = named.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
     none = F.coalesce(F.col("n_hit"), F.lit(0))
     return (

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of a side that is broadcast, at most; a larger one is joined by a shuffle.
+SMALL_ROWS = 500_000
 
 
 def text_of(column: str = "text") -> Column:
@@ -35,6 +37,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def small(df: DataFrame, rows: int | None = None, tell: bool = False):
+    """`df` marked for a broadcast if it has at most `rows` rows (SMALL_ROWS), else as it is; with `tell` also which of both. It is
+    counted for that, up to the bound, so it should be written out."""
+    rows = SMALL_ROWS if rows is None else rows
+    bounded = df.limit(rows + 1).count() <= rows
+    df = F.broadcast(df) if bounded else df
+    return (df, bounded) if tell else df
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadq.llm import bpe, chat, decontam, exact_dedup, fingerprint, langid, mixing, ngram_join, quality, repair, substring, token_counts, whitening
-from leadq.llm.frames import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,8 +62,8 @@ def op6_language_id(spark, sf):
 
 @register
 def op7_exact_dedup(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.sha2(text_of(), 256).alias("text_sha256"))
-    return exact_dedup.mark_duplicates(docs, drop_text=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return exact_dedup.mark_duplicates(docs, drop_text=True, sha="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 @register

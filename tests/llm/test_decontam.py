@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from leadq.llm import decontam  # noqa: E402
+from leadq.llm import decontam, frames  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -50,8 +50,7 @@ def test_odd_rows(spark, monkeypatch):
     for width in (1, 3, 5, 10):
         got = sorted(map(tuple, decontam.report(*tables(spark), width).collect()), key=repr)
         assert got == brute(DOCS, ITEMS, width)
-    monkeypatch.setattr(decontam, "SMALL_ROWS", 0)  # beyond the bound for a broadcast
-    monkeypatch.setattr(decontam._small, "__defaults__", (0,))
+    monkeypatch.setattr(frames, "SMALL_ROWS", 0)  # beyond the bound for a broadcast
     assert sorted(map(tuple, decontam.report(*tables(spark), 3).collect()), key=repr) == brute(DOCS, ITEMS, 3)
 
 

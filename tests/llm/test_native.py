@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 import sys
 
 import duckdb
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from leadq.llm import chat, exact_dedup, fingerprint, mixing, queries  # noqa: E402
+from leadq.llm import chat, exact_dedup, fingerprint, frames, mixing, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +31,10 @@ def test_queries_match_sql(spark, name):
 # --- exact duplicates ---
 
 
-def test_exact_duplicates_of_odd_rows(spark):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_exact_duplicates_of_odd_rows(spark, monkeypatch, bound):
+    if bound is not None:
+        monkeypatch.setattr(frames, "SMALL_ROWS", bound)  # more groups than are broadcast
     long = "x" * 1_000_000
     rows = [(1, "a"), (2, "b"), (3, "a"), (3, "a"), (4, None), (5, ""), (6, long + "1"), (7, long + "2"), (8, long + "1"), (None, "b"), (None, "lone"), (9, "é"), (10, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("x"), "count": F.lit(1)})
@@ -43,6 +47,25 @@ def test_exact_duplicates_of_odd_rows(spark):
     ]
     assert exact_dedup.drop_duplicates(df).count() == 8 and exact_dedup.drop_duplicates(df).columns == df.columns
     assert exact_dedup.mark_duplicates(df.filter("doc_id = -1")).count() == 0
+    told = exact_dedup.mark_duplicates(df, drop_text=True, sha="sha").collect()
+    assert len(told) == len(rows) and "text" not in told[0].asDict()
+    assert {(r.doc_id, r.sha) for r in told} == {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+def test_exact_dedup_moves_no_text(spark, monkeypatch):
+    plans = []
+    stage = exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stage(df, name))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for bound in (1000, 0):
+        monkeypatch.setattr(frames, "SMALL_ROWS", bound)
+        last = exact_dedup.mark_duplicates(docs, drop_text=True, sha="sha")
+        for plan in [*plans, last._jdf.queryExecution().executedPlan().toString()]:
+            assert "Python" not in plan
+            for exchange in re.finditer(r"Exchange hashpartitioning\(([^)]*)\)", plan):
+                assert "text" not in exchange[1]
+            below = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+            assert not below or not re.search(r"Exchange.*\n.*Project \[[^\]]*(?<!_)\btext#", plan)
 
 
 # --- mixing ---
