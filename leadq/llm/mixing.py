@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadq.llm.frames import text_of, without, word_count
@@ -43,6 +43,16 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int
     )
 
 
+def random_key(doc_id: str = "doc_id", text: str = "text", seed: str = "mix") -> Column:
+    """A digest of `seed`, doc_id and text, so that rows that share a doc_id or have none spread too."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text))))
+
+
+def range_of(key: str, ranges: Column) -> Column:
+    """Which of so many equal ranges a random key lies in."""
+    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * ranges, 32)
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -56,14 +66,16 @@ def mix(
     """All rows and columns of `docs` plus size, source_size, target, taken.
 
     The size of a document is its number of words (null text: 0). Each document gets a random key,
-    a digest of `seed` and doc_id. Within its source a document is taken whole once per full epoch of
+    a digest of `seed`, doc_id and text. Within its source a document is taken whole once per full epoch of
     the target, and the remaining budget takes documents in key order; the one at the
     cut gives the words that are left, so a source's `taken` add up to its rounded target. Ties go by doc_id,
     then size; rows equal in both are interchangeable. Documents without a source form one source. An input column
     named like a result column is replaced. An empty table gives an empty result.
 
     Keys are uniform, so equal ranges of them hold about `range_rows` documents each, of a hot source
-    as of any other. Prefix sums run inside a range and over the sums of the ranges.
+    as of any other, and of rows that share a doc_id or have none. Only rows equal in doc_id and text are in one range, whose running
+    sum streams over sorted rows. Prefix sums run inside a range and over the sums of the ranges. Very long texts are counted and hashed
+    where they are read.
     """
     rows = without(docs, *RESULT).withColumn("size", word_count(text_of(text)))
     sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -74,12 +86,10 @@ def mix(
         "source_size",
         "target",
     )
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    point = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
     keyed = (
-        rows.withColumn("__key", digest)
+        rows.withColumn("__key", random_key(doc_id, text, seed))
         .join(plan, F.col(source).eqNullSafe(F.col("__source")))
-        .withColumn("__range", F.shiftright(point * F.col("__ranges"), 32))
+        .withColumn("__range", range_of("__key", F.col("__ranges")))
     )
     sums = keyed.groupBy("__rank", "__range").agg(F.sum("size").alias("__sum"))
     before = Window.partitionBy("__rank").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +109,8 @@ def mix(
 
 def take(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed corpus with the columns of `docs`: a row for each epoch that takes the document, and
-    for a document at the cut a row with its first words, white space as it is."""
+    for a document at the cut a row with its first words, white space as it is. Nulls, ties, repeated rows, clashing columns and empty tables
+    are as in `mix`; documents without words, null ones among them, are never taken. A very long text at the cut is split in one task."""
     mixed = mix(docs, text=text, **options)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")

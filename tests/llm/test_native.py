@@ -98,6 +98,16 @@ def test_mix_cuts_exactly_whatever_the_ranges(spark):
     assert mixing.mix(df.filter("doc_id < -5")).count() == 0
 
 
+def test_mix_where_a_third_of_all_rows_have_no_id(spark):
+    rows = [(None if i % 3 == 0 else i, f"s{i % 2}", f"w {i} " + "w " * (i % 5)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(df, range_rows=100)
+    per = df.withColumn("key", mixing.random_key()).withColumn("range", mixing.range_of("key", F.lit(30))).groupBy("source", "range").count()
+    assert per.agg(F.max("count")).first()[0] < 160 and per.count() == 60
+    plan = {r.source: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(r.taken == int(r.target + 0.5) for r in plan.values())
+
+
 def test_take_repeats_and_cuts_texts(spark):
     rows = [(1, "a", " one two\nthree  four five"), (2, "b", "x"), (3, "c", "y " * 90)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")

@@ -42,7 +42,7 @@ def mixed(rows):
     for s in names:
         budget = int(target[s] + 0.5)
         epochs, rest = divmod(budget, size[s])
-        for d, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()):
+        for d, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"mix:{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()):
             words = t.split()
             out += [(d, t)] * epochs
             if rest > 0:
