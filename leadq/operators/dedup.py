@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 
 from leadq import schema as S
 from leadq.functions.scoring import completeness
-from leadq.functions.strings import present
 from leadq.operators.graph import connected_components
+from leadq.operators.keys import DATASET, GLOBAL, KeyIndex, identifiers, known_keys, scoped_key  # noqa: F401
 from leadq.operators.skew import HEAVY_ROWS, join_groups
 from leadq.session import cut, staged
 
-DATASET, GLOBAL = "dataset", "global"
-
 
 @dataclass
 class Resolved:
@@ -23,22 +21,13 @@ class Resolved:
     duplicates: DataFrame
 
 
-def _scoped(kind: str, value: Column, scope: str) -> Column:
-    """Key text. A dataset is a world of its own unless the scope is global."""
-    parts = [F.lit(kind)] + ([F.col("dataset_id")] if scope == DATASET else []) + [value]
-    return F.when(present(value), F.concat_ws(":", *parts))
-
-
 def match_keys(leads: DataFrame, scope: str = DATASET, keep: list[str] | None = None) -> DataFrame:
     """One row per lead and identifier: `ord`, `key`, kept columns. Missing identifiers give no row."""
-    keys = F.array_compact(
-        F.array(
-            _scoped("email", F.lower("email"), scope),
-            _scoped("phone", F.col("phone_e164"), scope),
-        )
-    )
     # explode_outer: the optimizer would repeat the cleaning in a filter on explode's input
-    return leads.select("ord", *(keep or []), F.explode_outer(keys).alias("key")).filter(F.col("key").isNotNull())
+    world = [F.col("dataset_id").alias("_dataset")] if scope == DATASET else [F.lit(None).cast("string").alias("_dataset")]
+    each = leads.select("ord", *(keep or []), *world, F.explode_outer(identifiers()).alias("_key")).filter(F.col("_key").isNotNull())
+    key = scoped_key(F.col("_key.kind"), F.col("_key.value"), F.col("_dataset"), scope)
+    return each.select("ord", *(keep or []), key.alias("key"))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -115,7 +104,7 @@ def losers(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS)
     return cut(found.select("ord", F.col("best_lead_id").alias("duplicate_of_lead_id")))
 
 
-def decided(leads: DataFrame, stored: DataFrame | None = None, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def decided(leads: DataFrame, stored: DataFrame | KeyIndex | None = None, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """`(ord, duplicate_of_lead_id)` of all duplicates: repeats within the batch first, then repeats of what is stored.
     Only identifiers move; whole rows meet the answer once, in `marked`."""
     within = losers(leads, scope, heavy_rows)
@@ -140,42 +129,32 @@ def deduplicate(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_
     return _split(marked(leads, losers(leads, scope, heavy_rows)))
 
 
-def stored_keys(stored: DataFrame, wanted: DataFrame, scope: str = DATASET) -> DataFrame:
-    """Identifier -> first lead stored under it, for the identifiers in `wanted(key)`.
-
-    The first position is a fixed-width aggregate with a map-side combine; only the few that are wanted look up their lead.
-    """
-    first = match_keys(stored, scope).groupBy("key").agg(F.min("ord").alias("ord")).join(wanted, "key", "left_semi")
-    return first.join(stored.select("ord", F.col("lead_id").alias("stored_lead_id")), "ord").select("key", "stored_lead_id")
-
-
-def existing_keys(incoming: DataFrame, stored: DataFrame, scope: str = DATASET) -> DataFrame:
-    """`(key, stored_lead_id)` of the identifiers of `incoming` that are already stored."""
-    wanted = match_keys(incoming, scope).select("key").distinct()
-    return stored_keys(stored, wanted, scope)
+def existing_keys(incoming: DataFrame, stored: DataFrame | KeyIndex, scope: str = DATASET) -> DataFrame:
+    """`(key, stored_lead_id)` of the identifiers of `incoming` that are already stored, by a store's index or by its leads."""
+    return known_keys(incoming, match_keys(incoming, scope).select("key").distinct(), stored, scope)
 
 
 def stored_matches(
-    incoming: DataFrame, stored: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS
+    incoming: DataFrame, stored: DataFrame | KeyIndex, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """`(ord, duplicate_of_lead_id)` of incoming leads that are already stored; an email match
     goes before a phone match. The stored lead is never rewritten."""
     keys = match_keys(incoming, scope)
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
-    known = stored_keys(stored, sizes.select("key"), scope).join(sizes, "key")
+    known = known_keys(incoming, sizes.select("key"), stored, scope).join(sizes, "key")
     hits = join_groups(keys, known, "key", "size", heavy_rows)
     # 'email:' sorts before 'phone:', and a lead has one key of each kind at most
     return hits.groupBy("ord").agg(F.min_by("stored_lead_id", "key").alias("duplicate_of_lead_id"))
 
 
 def against_stored(
-    incoming: DataFrame, stored: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS
+    incoming: DataFrame, stored: DataFrame | KeyIndex, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS
 ) -> Resolved:
     """First write wins: incoming leads that are already stored become duplicates of the stored one."""
     return _split(marked(incoming, cut(stored_matches(incoming, stored, scope, heavy_rows))))
 
 
-def resolve(leads: DataFrame, stored: DataFrame | None = None, scope: str = DATASET) -> Resolved:
+def resolve(leads: DataFrame, stored: DataFrame | KeyIndex | None = None, scope: str = DATASET) -> Resolved:
     """Repeats within the batch first, then repeats of what is stored."""
     leads = staged(leads, "scored")
     return _split(marked(leads, decided(leads, stored, scope)))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadq import schema as S
+from leadq.operators.keys import BUCKETS, KEYS, KeyIndex, index_rows
 from leadq.operators.logs import latest
 from leadq.operators.mapping import MEMORY
 from leadq.operators.skew import join_groups
 
 #: Tables whose rows belong to a batch, with their partition columns. A batch is replaced as a whole.
-PARTITIONS = {t: ["dataset_id", "batch_id"] for t in S.DATA_TABLES} | {"quarantine": ["batch_id"]}
+PARTITIONS = {t: ["dataset_id", "batch_id"] for t in S.DATA_TABLES} | {"quarantine": ["batch_id"], "lead_keys": ["dataset_id", "bucket", "batch_id"]}
 
 HEALING = T.StructType(
     [
@@ -100,6 +101,7 @@ SCHEMAS = {
     "pipeline_runs": RUN,
     "mapping_memory": MEMORY,
     "batches": BATCHES,
+    "lead_keys": KEYS,
 }
 
 
@@ -107,9 +109,10 @@ class Store:
     """Tables under one root folder. There is one writer per table: a batch job, or the
     micro-batches of one stream."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.key_buckets = key_buckets
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -138,7 +141,7 @@ class Store:
     def append(self, table: str, df: DataFrame, batch_id: str | None = None) -> None:
         """Add rows. Tables with batches need the name of theirs: writing a batch again replaces all its rows in the table, in
         every dataset, so a repeated micro-batch or a retried job leaves the table as if it ran once, also when it
-        now has fewer rows."""
+        now has fewer rows. The identifiers of leads go into the key index with them."""
         if table not in PARTITIONS:
             df.select(*SCHEMAS[table].fieldNames()).write.mode("append").parquet(self.path(table))
             return
@@ -153,7 +156,7 @@ class Store:
         before = self._batch_files(table, batch_id)
         (
             rows.select(*columns, *extra, *partitions)
-            .hint("rebalance", partitions[0])  # whole files per dataset; a big dataset is split over many tasks
+            .hint("rebalance", *partitions[:-1] or partitions)  # whole files per dataset; a big dataset is split over many tasks
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partitions)
@@ -163,6 +166,20 @@ class Store:
             if before.get(folder) == files:  # of the earlier attempt: nothing replaced it
                 fs, path = self._fs(folder)
                 fs.delete(path, True)
+        if table == "leads":
+            written = self.read("leads").filter(F.col("batch_id") == batch_id)
+            self.append("lead_keys", index_rows(written, self.key_buckets), batch_id)
+
+    def key_index(self, but: str | None = None, dataset_id: str | None = None) -> KeyIndex:
+        """The index over all stored leads, or one dataset's, without the batch `but`, which is about to be written again."""
+        rows = self.read("lead_keys")
+        return KeyIndex(rows if but is None else rows.filter(F.col("batch_id") != but), self.key_buckets, dataset_id)
+
+    def rebuild_key_index(self) -> None:
+        """Maintenance: make the index anew from the stored leads, for a store that was written without one."""
+        partitions = PARTITIONS["lead_keys"]
+        rows = index_rows(self.read("leads"), self.key_buckets, ["batch_id"]).select(*KEYS.fieldNames())
+        rows.hint("rebalance", *partitions[:-1]).write.mode("overwrite").partitionBy(*partitions).parquet(self.path("lead_keys"))
 
     def _batch_files(self, table: str, batch_id: str) -> dict[str, list[str]]:
         """Files of a batch by partition folder."""
@@ -184,11 +201,13 @@ class Store:
                 writer = writer.partitionBy(*PARTITIONS[table])
             writer.parquet(self.path(table))
             outcome[table] = "cleared"
+            if table == "leads" and self.exists("lead_keys"):
+                self.clear(["lead_keys"])
         return outcome
 
     def drop_partitions(self, dataset_id: str) -> None:
         """Maintenance: remove the files of one dataset from every lead table."""
-        for table in S.DATA_TABLES:
+        for table in [*S.DATA_TABLES, "lead_keys"]:
             fs, path = self._fs(f"{self.path(table)}/dataset_id={dataset_id}")
             if fs.exists(path):
                 fs.delete(path, True)

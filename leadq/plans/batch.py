@@ -14,6 +14,7 @@ from leadq import model as scorer
 from leadq import schema as S
 from leadq.functions import display
 from leadq.operators import analytics, clean, datasets, dedup, mapping, score, validate
+from leadq.operators.positions import dense
 from leadq.operators.store import Store, scoped
 from leadq.session import staged, temporary
 from leadq.sources.feeds import Feed, numbered
@@ -43,7 +44,7 @@ def prepare(mapped: DataFrame, batch_ts: Column, model: GBTRegressionModel | Non
 def process(
     mapped: DataFrame,
     batch_ts: Column,
-    stored: DataFrame | None = None,
+    stored: DataFrame | dedup.KeyIndex | None = None,
     scope: str = dedup.DATASET,
     model: GBTRegressionModel | None = None,
 ) -> Batch:
@@ -74,7 +75,8 @@ def positions(store: Store, records: DataFrame, batch_id: str, now: Column) -> D
     """`records` with `ord` moved to a range of the batch's own, so that no two batches share a position or a lead id.
 
     The range is taken once and logged; the batch gets it again when it is retried, unless it has outgrown it.
-    Within a batch, positions follow the order in which the files are read.
+    Within a batch, positions follow the order in which the files are read. Records that `run` numbers are dense, so a batch of n
+    records takes n positions and the 2^63 there are don't run out.
     """
     log = store.read("batches").groupBy("batch_id").agg(F.max_by("first_ord", "logged_at").alias("first_ord"), F.max_by("next_ord", "logged_at").alias("next_ord"))
     need = records.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
@@ -134,9 +136,7 @@ def run_mapped(
     status, landed = "failed", 0
     try:
         rows = positions(store, mapped.withColumn("dataset_id", F.lit(dataset_id)), batch_id, now())
-        stored = store.read("leads").filter(F.col("batch_id") != batch_id)
-        if scope == dedup.DATASET:
-            stored = stored.filter(F.col("dataset_id") == dataset_id)
+        stored = store.key_index(batch_id, dataset_id if scope == dedup.DATASET else None)
         with temporary(spark):
             write(process(rows, timestamp(batch_ts), stored, scope, model), store, batch_id)
         store.append("quarantine", bad, batch_id)
@@ -182,7 +182,7 @@ def run(
     Decisions worth keeping are added to the store's mapping memory, which goes over `memory`.
     """
     with temporary(store.spark):
-        records = staged(numbered(feed.records.withColumn("dataset_id", F.lit(dataset_id))), "records")
+        records = dense(feed.records.withColumn("dataset_id", F.lit(dataset_id)))
         learned = store.read("mapping_memory")
         mapped, decisions = map_records(records, mapping.upsert(memory.select(*learned.columns).unionByName(learned)), resolver)
         new = mapping.confirmed(decisions, timestamp(batch_ts)).join(learned, ["source", "field_name", "canonical_field"], "left_anti")

@@ -554,6 +554,9 @@ def sql() -> dict[str, str]:
               (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, corpus_id) AS rank FROM sims) x WHERE rank <= 3""",
         "get_dataset": f"WITH log AS ({_DS_LOG['log']}), state AS ({_DS_STATE['state']}) SELECT dataset_id, name, file_name, status, notes, tags FROM state WHERE dataset_id = 'ds-7' AND NOT coalesce(deleted, FALSE)",
         "get_lead": q(f"SELECT lead_id, email, phone_e164, quality_score, status, {_TS} FROM leads WHERE lead_id = (SELECT max(lead_id) FROM leads)", "leads"),
+        "dense_positions": q("""SELECT dataset_id AS batch_id, figure, CASE WHEN figure = 'changed lead ids' THEN 0 ELSE count(*) END AS n
+            FROM sub, (VALUES ('records'), ('positions'), ('span'), ('taken'), ('changed lead ids')) f(figure)
+            WHERE dataset_id = 'd1' OR figure != 'changed lead ids' GROUP BY dataset_id, figure""", "sub"),
         "two_batches_one_dataset": q("SELECT count(*) AS valid, count(*) AS lead_ids, count(*) AS positions FROM scored", "scored"),
     }
     whole = out["dataset_summary"]

@@ -244,23 +244,30 @@ def _halves(spark, sf):
     return leads.filter(F.col("order_day") > X.STORED_UNTIL), leads.filter(F.col("order_day") <= X.STORED_UNTIL)
 
 
+def _indexed(spark, leads):
+    """The key index of a store that holds these leads."""
+    tables = store.Store(spark, new_folder(spark, "indexed"))
+    tables.append("leads", leads, "b0")
+    return tables.key_index()
+
+
 @register
 def existing_keys(spark, sf):
     incoming, stored = _halves(spark, sf)
-    return dedup.existing_keys(incoming, stored, dedup.GLOBAL)
+    return dedup.existing_keys(staged(incoming, "incoming"), _indexed(spark, stored), dedup.GLOBAL)
 
 
 @register
 def cross_batch_dedup(spark, sf):
     incoming, stored = _halves(spark, sf)
-    return _resolved(dedup.against_stored(incoming, stored, dedup.GLOBAL)).drop("dataset_id")
+    return _resolved(dedup.against_stored(staged(incoming, "incoming"), _indexed(spark, stored), dedup.GLOBAL)).drop("dataset_id")
 
 
 @register
 def dataset_scoped_dedup(spark, sf):
     rows, until = X.mapped(spark, sf), F.col("order_day") <= X.STORED_UNTIL
     first = batch.process(rows.filter(until), X.batch_ts())
-    second = batch.process(rows.filter(~until), X.batch_ts(), stored=first.leads)
+    second = batch.process(rows.filter(~until), X.batch_ts(), stored=_indexed(spark, first.leads))
     return _resolved(dedup.Resolved(second.leads, second.duplicates)).drop("dataset_id")
 
 
@@ -537,6 +544,25 @@ def two_batches_one_dataset(spark, sf):
     return valid.agg(F.count("*").alias("valid"), F.count_distinct("lead_id").alias("lead_ids"), F.count_distinct("ord").alias("positions"))
 
 
+@register
+def dense_positions(spark, sf):
+    """Two uploads, the first of them run twice: each takes as many positions as it has records, and a retry gives the same lead ids."""
+    tables, raw = store.Store(spark, new_folder(spark, "dense")), X.raw_records(spark, sf)
+    ids = []
+    for batch_id in ("d1", "d2", "d1"):
+        own = raw.filter(F.col("dataset_id") == batch_id).repartition(7, "ord").sortWithinPartitions("ord")
+        feed = feeds.Feed(own.select("source", "raw", F.array().cast("array<string>").alias("not_text")), quarantine.empty(spark))
+        batch.run(feed, tables, mapping.starter_memory(spark), "d", batch_id, batch.datetime.fromisoformat(X.BATCH_TS), clock=_clock)
+        ids.append(staged(tables.read("leads").filter(F.col("batch_id") == "d1").select("lead_id"), "ids", keep=True))
+    placed = store.union_by_name([t.select("batch_id", "ord") for t in map(tables.read, ("leads", "duplicate_leads", "invalid_leads"))])
+    figures = placed.groupBy("batch_id").agg(
+        F.count("*").alias("records"), F.count_distinct("ord").alias("positions"), (F.max("ord") - F.min("ord") + 1).alias("span")
+    )
+    taken = tables.read("batches").select("batch_id", F.lit("taken").alias("figure"), (F.col("next_ord") - F.col("first_ord")).alias("n"))
+    changed = ids[0].exceptAll(ids[2]).unionByName(ids[2].exceptAll(ids[0])).agg(F.lit("d1").alias("batch_id"), F.lit("changed lead ids").alias("figure"), F.count("*").alias("n"))
+    return figures.unpivot("batch_id", ["records", "positions", "span"], "figure", "n").unionByName(taken).unionByName(changed)
+
+
 @register
 def batch_retry(spark, sf):
     """A batch that is run again with fewer rows leaves the tables as if only the second run had been."""

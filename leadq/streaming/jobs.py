@@ -32,7 +32,7 @@ def ingest_stream(
 
     def one_batch(rows: DataFrame, batch_id: int) -> None:
         name = f"stream-{batch_id:012d}"
-        stored = store.read("leads").filter(F.col("batch_id") != name)
+        stored = store.key_index(name)
         with temporary(store.spark):
             write(process(rows, timestamp(batch_ts), stored, scope), store, name)
 
