@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from leadq import schema as S
 from leadq.functions.strings import last_entries
 from leadq.operators import quarantine
+from leadq.sources.records import opens, read_records
 from leadq.sources.text import first_lines, json_items, read_bodies
 
 _WEBHOOK = (
@@ -93,46 +95,66 @@ def na_to_null(value: Column, tokens: list[str] = S.NA_TOKENS) -> Column:
     return F.when(~value.isin(tokens), value)
 
 
-def _csv_groups(spark: SparkSession, path: str | list[str], multi_line: bool | None) -> list[tuple[list[str], bool]]:
-    """Files that share a header line, and whether they need `multi_line`, from one scan of the text. The paths of the
+def _csv_groups(spark: SparkSession, path: str | list[str], multi_line: bool | None) -> list[tuple[str, list[str], bool]]:
+    """Header line, files that share it, and whether a quoted value of them has a line break, from one scan of the text. The paths of the
     files come to the driver, which has listed them for the scan anyway."""
     lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_or(quotes % 2 == 1).alias("broken"))
+    opened = F.contains("value", F.lit('"')) & opens(F.col("value"))
+    broken = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_or(opened).alias("broken"))
     files = first_lines(lines).join(broken, "path").select("first", "path", "broken").collect()
     groups: dict[tuple[str, bool], list[str]] = {}
     for r in files:
         wanted = r["broken"] if multi_line is None else multi_line
         groups.setdefault((r["first"], wanted), []).append(r["path"])
-    return [(sorted(paths), wanted) for (_, wanted), paths in sorted(groups.items())]
+    return [(first, sorted(paths), wanted) for (first, wanted), paths in sorted(groups.items())]
+
+
+def header_names(line: str) -> list[str]:
+    """Names in a header line. A name that comes again gets a number (`Email`, `Email.1`); one without text is `_c` and its place, which
+    no profile looks at."""
+    names: list[str] = []
+    for i, text in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
+        name, n = text or f"_c{i}", 0
+        while name in names:
+            n += 1
+            name = f"{text}.{n}"
+        names.append(name)
+    return names
 
 
 def read_csv(spark: SparkSession, path: str | list[str], source: str, multi_line: bool | None = None, na_tokens: list[str] = S.NA_TOKENS) -> Feed:
     """CSV exports with a header row and any columns, all of them text. The files of a folder may have different headers.
 
-    A file is read in splits unless a line of it has an odd number of quotes, that is, a quoted value with a line break;
-    such a file is one task (`multi_line` decides for all files instead). A short row is
-    filled with NULL, a row with too many values goes to quarantine.
+    All files are read in splits. Those in which a quoted value has a line break, as a scan of the text tells (a quote inside a bare value,
+    like `5"`, opens none), are first put together from lines to records (`multi_line` decides for all files instead). A short row is
+    filled with NULL, a row with too many values goes to quarantine, and so do the lines of a record that never closes its quote.
     """
-    parts = [_read_csv(spark, paths, source, wanted, na_tokens) for paths, wanted in _csv_groups(spark, path, multi_line)]
+    parts = [_read_csv(spark, first, paths, source, wanted, na_tokens) for first, paths, wanted in _csv_groups(spark, path, multi_line)]
     if not parts:
         return Feed(spark.createDataFrame([], f"source string, raw map<string,string>, not_text {_NO_FIELDS}"), quarantine.empty(spark))
     return _together(parts)
 
 
-def _read_csv(spark: SparkSession, paths: list[str], source: str, multi_line: bool, na_tokens: list[str]) -> Feed:
+def _read_csv(spark: SparkSession, first: str, paths: list[str], source: str, multi_line: bool, na_tokens: list[str]) -> Feed:
+    names = header_names(first)
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "_bad_row string"])  # names may differ in case only
+    options = {"escape": '"', "columnNameOfCorruptRecord": "_bad_row", "mode": "PERMISSIVE"}
+    if multi_line:
+        records, unclosed = read_records(spark, paths)
+        parsed = records.filter(~F.col("header")).select(F.from_csv("value", schema, {**options, "multiLine": "true"}).alias("row"))
+        feed = csv_feed(parsed.select("row.*"), source, na_tokens, names)
+        lost = quarantine.entries(unclosed, source, F.col("value"), F.lit("unreadable row"), F.lit("unclosed quote"))
+        return Feed(feed.records, feed.quarantine.unionByName(lost))
     # without pruning, because the parser would not notice values beyond the columns it was asked for
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("columnPruning", False)
-    header = reader.csv(paths[:1])
-    schema = header.schema.add("_bad_row", "string")
-    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad_row").option("mode", "PERMISSIVE").csv(paths)
-    return csv_feed(rows, source, na_tokens)
+    reader = spark.read.options(header=True, columnPruning=False, **options)
+    return csv_feed(reader.schema(schema).csv(paths), source, na_tokens, names)
 
 
-def csv_feed(rows: DataFrame, source: str, na_tokens: list[str] = S.NA_TOKENS) -> Feed:
-    """A feed from the text columns of a CSV scan, the last of which is `_bad_row`, the text of a row that doesn't fit."""
+def csv_feed(rows: DataFrame, source: str, na_tokens: list[str] = S.NA_TOKENS, headers: list[str] | None = None) -> Feed:
+    """A feed from the text columns of a CSV scan, the last of which is `_bad_row`, the text of a row that doesn't fit. `headers` are the
+    columns' names, if they have others there."""
     names = rows.columns[:-1]
-    clean = [n.lstrip("\ufeff") for n in names]
+    clean = headers or [n.lstrip("\ufeff") for n in names]
     # a scan may not read the bad-row column alone, so a bit of the first one goes with it
     bad_row = F.concat("_bad_row", F.coalesce(F.substring(F.col(f"`{names[0]}`"), 1, 0), F.lit("")))
     values = F.size(F.split(F.regexp_replace(bad_row, r'"(?:[^"]|"")*"', ""), ","))
