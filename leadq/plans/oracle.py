@@ -525,6 +525,10 @@ def sql() -> dict[str, str]:
             FROM sub WHERE source IN ('instagram', 'google_form', 'csv_upload')""", "sub"),
         "scan_csv_folder": q(f"""SELECT {_feed(_FULL)} AS name, {_feed('email')} AS email, {_feed('phone')} AS phone, {_feed('consent')} AS consent, {_feed('ts_raw')} AS ts
             FROM sub WHERE source IN ('instagram', 'google_form', 'csv_upload')""", "sub"),
+        "scan_csv_quotes": q("""SELECT CAST(ord AS STRING) AS ref, CASE WHEN ord % 3 = 0 THEN concat('said "', order_day, '",', chr(10), 'then "', coalesce(email, ''), chr(10), chr(10), 'end')
+            ELSE concat(order_day, '"') END AS note, CASE WHEN email != '' OR email IS NULL THEN coalesce(email, '?') END AS mail FROM sub""", "sub"),
+        "scan_bad_first_line": q("""SELECT CAST(ord AS STRING) AS ord_text, email FROM sub
+            UNION ALL SELECT '{"ord_text": "', 'malformed JSON' FROM (SELECT DISTINCT ord % 4 FROM sub) f""", "sub"),
         "scan_json_array": q("SELECT CAST(ord AS STRING) AS ord_text, email FROM sub", "sub"),
         "scan_json_shapes": q("SELECT CAST(ord AS STRING) AS ord_text, email FROM sub", "sub"),
         "ingest_union": q(f"SELECT source, source AS tag, {_feed('email')} AS email, {_feed('phone')} AS phone FROM sub", "sub"),

@@ -705,6 +705,34 @@ def scan_csv_folder(spark, sf):
     return records.select(*[F.coalesce(*[_field(h[k]) for h in _CSV_FEEDS.values()]).alias(k) for k in _FORM])
 
 
+@register
+def scan_csv_quotes(spark, sf):
+    """Submissions as CSV files whose values hold line breaks, quotes and commas, read in splits."""
+    s = X.submissions(spark, sf)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.concat(F.lit("said "), F.lit('"'), "order_day", F.lit('",\nthen "'), F.coalesce("email", F.lit("")), F.lit("\n\nend"))
+    cells = [F.col("ord").cast("string"), F.when(F.col("ord") % 3 == 0, quoted(note)).otherwise(F.concat("order_day", F.lit('"'))), quoted(F.coalesce("email", F.lit("?")))]
+    path = new_folder(spark, "quotes")
+    rows = s.repartition(4, "ord").sortWithinPartitions("ord").select(F.concat_ws(",", *cells).alias("value"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    headers = rows.select("part").distinct().select(F.lit("Ref,Note,Mail").alias("value"), "part", F.lit(-1).cast("long").alias("at"))
+    rows.unionByName(headers).repartition(4, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    records = feeds.read_csv_upload(spark, path).records
+    return records.select(*[_field(h).alias(h.lower()) for h in ("Ref", "Note", "Mail")])
+
+
+@register
+def scan_bad_first_line(spark, sf):
+    """Submissions as JSON lines in files whose first line is cut off."""
+    s = X.submissions(spark, sf).select("ord", "email", F.pmod("ord", F.lit(4)).alias("file"))
+    lines = s.select("file", "ord", F.to_json(F.struct(F.col("ord").cast("string").alias("ord_text"), "email")).alias("value"))
+    bad = s.select("file").distinct().select("file", F.lit(-1).cast("long").alias("ord"), F.lit('{"ord_text": "').alias("value"))
+    path = new_folder(spark, "cut")
+    lines.unionByName(bad).repartition(4, "file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
+    feed = feeds.read_landing_page(spark, path)
+    rows = feed.records.select(_field("ord_text").alias("ord_text"), _field("email").alias("email"))
+    return rows.unionByName(feed.quarantine.select(F.col("raw_data").alias("ord_text"), F.col("error_message").alias("email")))
+
+
 @register
 def scan_json_array(spark, sf):
     """Submissions as eight files of one pretty-printed array each."""

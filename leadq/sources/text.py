@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,29 +16,47 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decode_text(F.col("content")).alias("text"))
 
 
-def first_lines(lines: DataFrame) -> DataFrame:
-    """`(path, first)`: the first line of every file that isn't blank, from a scan of text files."""
+#: Lines of a file that tell its layout.
+LEADING = 9
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """`(path, at, value)` of the lines that aren't blank in the splits at the start of files; others can't hold a first line."""
     named = lines.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
         decode_text(F.col("value")).alias("value"),
     )
-    # only the split at the start of a file can hold its first line
-    return named.filter((F.col("start") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.min_by("value", "at").alias("first"))
+    return named.filter((F.col("start") == 0) & (F.trim("value") != "")).drop("start")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """`(path, first)`: the first line of every file that isn't blank, from a scan of text files."""
+    return _named(lines).groupBy("path").agg(F.min_by("value", "at").alias("first"))
+
+
+def by_lines(lines: DataFrame) -> DataFrame:
+    """`(path, by_lines)`: whether a file of JSON is one record a line: its first line is an object or array by itself, or most of
+    the next ones are, so that one bad line at the top doesn't make a document of it. The rank limit is applied before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy("at"))
+    leading = _named(lines).withColumn("place", place).filter(F.col("place") <= LEADING)
+    kind = F.schema_of_variant(_document(F.col("value")))
+    told = leading.withColumn("record", F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False)))
+    first, later = F.col("place") == 1, F.col("place") > 1
+    most = 2 * F.count_if(later & F.col("record")) > F.count_if(later)
+    return told.groupBy("path").agg((F.bool_or(first & F.col("record")) | most).alias("by_lines"))
 
 
 def read_bodies(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
     """`(value, whole)` rows of text: whole files, or single lines.
 
     `layout`: 'document' = one document per file, 'lines' = one per line, 'auto' = by content, whatever the size: a file
-    whose first line is a JSON object or array by itself is read by lines, in splits, any other as one document. The
+    whose first line, or most of the next ones, is a JSON object or array by itself is read by lines, in splits, any other as one document. The
     paths of the documents come to the driver, which has listed all files for the scan anyway.
     """
     if layout == "auto":
-        kind = F.schema_of_variant(_document(F.col("first")))
-        by_lines = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
-        found = first_lines(spark.read.text(path)).select("path", by_lines.alias("by_lines")).collect()
+        found = by_lines(spark.read.text(path)).collect()
         documents = [r["path"] for r in found if not r["by_lines"]]
         lines = [r["path"] for r in found if r["by_lines"]]
     else:

@@ -173,3 +173,13 @@ def test_csv_files_with_different_headers_in_one_folder(spark, tmp_path):
     got = sorted((r.raw.get("Name") or r.raw.get("Full Name"), r.raw.get("Cell") or r.raw.get("Phone #")) for r in feed.records.collect())
     assert got == [("Ada Li", "201"), ("Bo Ray", "202"), ("Di\nLow", "204"), ("Ed Poe", "205")]
     assert feed.quarantine.count() == 1
+
+
+def test_layout_of_json_files(spark, tmp_path):
+    shapes = {
+        '{"a": 1}\n{"a": 2}\n': True, '{"a": \n{"a": 1}\n{"a": 2}\n{"a": 3}\n': True, 'x\n{"a": 1}\n': True, '[\n{"a": 1}\n]\n': False,
+        '[\n{"a": 1},\n{"a": 2}\n]': False, '{\n "a": 1\n}\n': False, '{"a":\n{"b": 1}\n}': False, "17\n": False, '\n\n[{"a": 1}]\n': True,
+    }
+    for i, (body, lines) in enumerate(shapes.items()):
+        path = put(tmp_path, f"l{i}", body)
+        assert [r.by_lines for r in text.by_lines(spark.read.text(path)).collect()] == [lines], body
