@@ -138,10 +138,10 @@ class Store:
         """Every column that any file of the table has."""
         return self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
 
-    def append(self, table: str, df: DataFrame, batch_id: str | None = None) -> None:
+    def append(self, table: str, df: DataFrame, batch_id: str | None = None, keep: bool = False) -> None:
         """Add rows. Tables with batches need the name of theirs: writing a batch again replaces all its rows in the table, in
         every dataset, so a repeated micro-batch or a retried job leaves the table as if it ran once, also when it
-        now has fewer rows. The identifiers of leads go into the key index with them."""
+        now has fewer rows; with `keep` its earlier rows stay too. The identifiers of leads go into the key index with them."""
         if table not in PARTITIONS:
             df.select(*SCHEMAS[table].fieldNames()).write.mode("append").parquet(self.path(table))
             return
@@ -153,16 +153,16 @@ class Store:
         rows = df.withColumn("batch_id", F.lit(batch_id))
         missing = [c for c in columns if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast(SCHEMAS[table][c].dataType) for c in missing}) if missing else rows
-        before = self._batch_files(table, batch_id)
+        before = {} if keep else self._batch_files(table, batch_id)
         (
             rows.select(*columns, *extra, *partitions)
             .hint("rebalance", *partitions[:-1] or partitions)  # whole files per dataset; a big dataset is split over many tasks
-            .write.mode("overwrite")
+            .write.mode("append" if keep else "overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partitions)
             .parquet(self.path(table))
         )
-        for folder, files in self._batch_files(table, batch_id).items():
+        for folder, files in ({} if keep else self._batch_files(table, batch_id)).items():
             if before.get(folder) == files:  # of the earlier attempt: nothing replaced it
                 fs, path = self._fs(folder)
                 fs.delete(path, True)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -102,26 +103,26 @@ def summary(store: Store, batch_id: str) -> DataFrame:
     return analytics.batch_summary(*own)
 
 
-def run_mapped(
-    mapped: DataFrame,
-    bad: DataFrame,
-    store: Store,
-    dataset_id: str,
-    batch_id: str,
-    batch_ts: datetime,
-    scope: str = dedup.DATASET,
-    source_kind: str | None = None,
-    name: str | None = None,
-    file_name: str | None = None,
-    clock: Callable[[], datetime] = datetime.now,
-    model: GBTRegressionModel | None = None,
-) -> None:
-    """Process mapped records as one batch of a dataset and keep its books.
+def _log_failure(store: Store, error: Exception, dataset_id: str, batch_id: str, source_kind: str | None) -> None:
+    """Add an event to the log, with the number of this attempt of the batch. Events of earlier attempts stay."""
+    earlier = store.read("healing_events").filter(F.col("batch_id") == batch_id)
+    attempt = earlier.agg(F.coalesce(F.max("attempt"), F.lit(0)) + 1).first()[0]
+    event = store.spark.range(1).select(
+        F.lit(None).cast("long").alias("ord"), F.lit(source_kind).cast("string").alias("source"), F.lit(attempt).cast("int").alias("attempt"),
+        F.lit(type(error).__name__).alias("exception_type"), F.lit(str(error)).alias("message"), F.lit(dataset_id).alias("dataset_id"),
+    )
+    store.append("healing_events", event, batch_id, keep=True)
+
+
+@contextmanager
+def books(
+    store: Store, dataset_id: str, batch_id: str, source_kind: str | None = None, name: str | None = None, file_name: str | None = None, clock: Callable[[], datetime] = datetime.now
+) -> Iterator[None]:
+    """Keep the books of what is done inside: one batch of a dataset.
 
     The dataset is opened unless it exists, the run is started, and both are closed with what is in the tables. A new
-    dataset in which nothing landed is taken back. A failure is logged as an event, the run and the dataset as
-    failed, and the error goes on. Running a batch again leaves all tables as if it had run once: it never meets its
-    own earlier rows and replaces them all.
+    dataset in which nothing landed is taken back. A failure, of reading and mapping too, is added to the log of events, the run and the dataset
+    are closed as failed, and the error goes on.
     """
     spark, now = store.spark, lambda: timestamp(clock())
     known = datasets.get_dataset(store.read("datasets"), dataset_id)
@@ -135,18 +136,10 @@ def run_mapped(
     store.append("pipeline_runs", datasets.start_run_rows(run_row, now()))
     status, landed = "failed", 0
     try:
-        rows = positions(store, mapped.withColumn("dataset_id", F.lit(dataset_id)), batch_id, now())
-        stored = store.key_index(batch_id, dataset_id if scope == dedup.DATASET else None)
-        with temporary(spark):
-            write(process(rows, timestamp(batch_ts), stored, scope, model), store, batch_id)
-        store.append("quarantine", bad, batch_id)
+        yield
         status = "completed"
     except Exception as error:
-        event = one.select(
-            F.lit(None).cast("long").alias("ord"), F.lit(source_kind).cast("string").alias("source"), F.lit(1).alias("attempt"),
-            F.lit(type(error).__name__).alias("exception_type"), F.lit(str(error)).alias("message"), F.lit(dataset_id).alias("dataset_id"),
-        )
-        store.append("healing_events", event, batch_id)
+        _log_failure(store, error, dataset_id, batch_id, source_kind)
         raise
     finally:
         counts = summary(store, batch_id).groupBy().agg(
@@ -166,8 +159,39 @@ def run_mapped(
             store.append("datasets", spark.createDataFrame(done.collect(), done.schema))
 
 
+def _land(mapped: DataFrame, bad: DataFrame, store: Store, dataset_id: str, batch_id: str, batch_ts: datetime, scope: str, model: GBTRegressionModel | None, now: Column) -> None:
+    rows = positions(store, mapped.withColumn("dataset_id", F.lit(dataset_id)), batch_id, now)
+    stored = store.key_index(batch_id, dataset_id if scope == dedup.DATASET else None)
+    with temporary(store.spark):
+        write(process(rows, timestamp(batch_ts), stored, scope, model), store, batch_id)
+    store.append("quarantine", bad, batch_id)
+
+
+def run_mapped(
+    mapped: DataFrame,
+    bad: DataFrame,
+    store: Store,
+    dataset_id: str,
+    batch_id: str,
+    batch_ts: datetime,
+    scope: str = dedup.DATASET,
+    source_kind: str | None = None,
+    name: str | None = None,
+    file_name: str | None = None,
+    clock: Callable[[], datetime] = datetime.now,
+    model: GBTRegressionModel | None = None,
+) -> None:
+    """Process mapped records as one batch of a dataset and keep its books.
+
+    Running a batch again leaves all tables as if it had run once: it never meets its
+    own earlier rows and replaces them all. Only the log of failures keeps what earlier attempts met.
+    """
+    with books(store, dataset_id, batch_id, source_kind, name, file_name, clock):
+        _land(mapped, bad, store, dataset_id, batch_id, batch_ts, scope, model, timestamp(clock()))
+
+
 def run(
-    feed: Feed,
+    feed: Feed | Callable[[], Feed],
     store: Store,
     memory: DataFrame,
     dataset_id: str,
@@ -175,19 +199,25 @@ def run(
     batch_ts: datetime,
     resolver: DataFrame | None = None,
     scope: str = dedup.DATASET,
-    **options,
+    source_kind: str | None = None,
+    name: str | None = None,
+    file_name: str | None = None,
+    clock: Callable[[], datetime] = datetime.now,
+    model: GBTRegressionModel | None = None,
 ) -> DataFrame:
     """Read a feed, process it and append the outcome to the store. Gives the column decisions.
 
+    A feed that is given as a function is read inside the run, so that a failure to read is in the books like one of mapping or processing.
     Decisions worth keeping are added to the store's mapping memory, which goes over `memory`.
     """
-    with temporary(store.spark):
+    with books(store, dataset_id, batch_id, source_kind, name, file_name, clock), temporary(store.spark):
+        feed = feed() if callable(feed) else feed
         records = dense(feed.records.withColumn("dataset_id", F.lit(dataset_id)))
         learned = store.read("mapping_memory")
         mapped, decisions = map_records(records, mapping.upsert(memory.select(*learned.columns).unionByName(learned)), resolver)
         new = mapping.confirmed(decisions, timestamp(batch_ts)).join(learned, ["source", "field_name", "canonical_field"], "left_anti")
         store.append("mapping_memory", new)
-        run_mapped(mapped, feed.quarantine, store, dataset_id, batch_id, batch_ts, scope, **options)
+        _land(mapped, feed.quarantine, store, dataset_id, batch_id, batch_ts, scope, model, timestamp(clock()))
     return decisions
 
 

@@ -568,6 +568,8 @@ def sql() -> dict[str, str]:
     out["run_lifecycle"] = f"""SELECT concat('run-', dataset_id) AS run_id, 'csv_upload' AS source, 'completed' AS status, total_leads + invalid + duplicates AS total_records,
         total_leads AS processed, invalid AS failed, duplicates FROM ({whole}) x UNION ALL SELECT 'run-d3', 'csv_upload', 'completed', 0, 0, 0, 0"""
     out["run_summary"] = f"SELECT * FROM ({out['batch_summary']}) x WHERE dataset_id = 'd2'"
+    out["failure_log"] = f"""WITH s AS (SELECT * FROM ({whole}) x WHERE dataset_id = 'd1') SELECT 'b' AS batch_id, 'attempt 1' AS figure, 1 AS n UNION ALL SELECT 'b', 'attempt 2', 1
+        UNION ALL SELECT 'b', 'run completed', total_leads + invalid + duplicates FROM s UNION ALL SELECT 'b', 'dataset completed', total_leads FROM s"""
     out["batch_retry"] = f"""WITH s AS (SELECT * FROM ({whole}) x WHERE dataset_id = 'd1') SELECT 'leads' AS "table", total_leads AS rows FROM s UNION ALL SELECT 'duplicate_leads', duplicates FROM s
         UNION ALL SELECT 'invalid_leads', invalid FROM s UNION ALL SELECT 'quarantine', total_leads + duplicates + invalid FROM s"""
     out["mapping_persisted"] = f"SELECT * FROM ({out['resolve_mapping']}) x WHERE canonical_field IS NOT NULL"

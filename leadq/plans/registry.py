@@ -7,6 +7,7 @@ from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadq import generate, model
@@ -544,6 +545,27 @@ def two_batches_one_dataset(spark, sf):
     return valid.agg(F.count("*").alias("valid"), F.count_distinct("lead_id").alias("lead_ids"), F.count_distinct("ord").alias("positions"))
 
 
+@register
+def failure_log(spark, sf):
+    """A batch that fails to be read, then fails to be processed, then succeeds: the events of both attempts and what landed."""
+    tables, rows = store.Store(spark, new_folder(spark, "failing")), X.mapped(spark, sf).filter("dataset_id = 'd1'")
+    now, none = batch.datetime.fromisoformat(X.BATCH_TS), quarantine.empty(spark)
+    for go in (
+        lambda: batch.run(lambda: feeds.ingest(spark, {"fax": sf}), tables, mapping.starter_memory(spark), "d1", "b", now, source_kind="csv_upload", clock=_clock),
+        lambda: batch.run_mapped(rows.drop("ord"), none, tables, "d1", "b", now, source_kind="csv_upload", clock=_clock),
+        lambda: _run(rows, tables, "d1", "b"),
+    ):
+        try:
+            go()
+        except Exception as error:  # the batch has logged it
+            failed = type(error).__name__
+            assert tables.read("healing_events").filter(F.col("exception_type") == failed).count() == 1
+    events = tables.read("healing_events").select("batch_id", F.concat(F.lit("attempt "), F.col("attempt").cast("string")).alias("figure"), F.count("*").over(W.partitionBy("attempt")).alias("n"))
+    runs = datasets.current_runs(tables.read("pipeline_runs")).select(F.col("run_id").alias("batch_id"), F.concat(F.lit("run "), "status").alias("figure"), F.col("total_records").alias("n"))
+    state = datasets.current_datasets(tables.read("datasets")).select(F.lit("b").alias("batch_id"), F.concat(F.lit("dataset "), "status").alias("figure"), F.col("total_leads").alias("n"))
+    return events.unionByName(runs).unionByName(state)
+
+
 @register
 def dense_positions(spark, sf):
     """Two uploads, the first of them run twice: each takes as many positions as it has records, and a retry gives the same lead ids."""

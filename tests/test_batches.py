@@ -8,6 +8,7 @@ from leadq.operators import datasets, mapping, quarantine
 from leadq.operators.store import Store
 from leadq.plans import batch
 from leadq.plans import fixture as X
+from leadq.sources import feeds
 from leadq.sources.feeds import Feed
 
 NOW = datetime(2024, 1, 1)
@@ -85,6 +86,30 @@ def test_books_of_good_empty_and_failed_batches(spark, tmp_path):
     assert [(r.dataset_id, r.scored, r.invalid) for r in batch.summary(store, "b1").collect()] == [("d", 2, 1)]
 
 
+def test_failures_are_logged_by_attempt_from_reading_on(spark, tmp_path):
+    store = Store(spark, f"file:{tmp_path}/s")
+    memory = mapping.starter_memory(spark)
+    good = tmp_path / "in"
+    good.mkdir()
+    (good / "f").write_text('{"fname": "Ada", "email_addr": "a@x.com"}\n')
+
+    def attempt(path):
+        batch.run(lambda: feeds.ingest(spark, {"landing_page": str(path)}), store, memory, "d", "b1", NOW, source_kind="landing_page", clock=clock)
+
+    with pytest.raises(Exception):
+        attempt(tmp_path / "missing")
+    with pytest.raises(ValueError):
+        batch.run(lambda: feeds.ingest(spark, {"nowhere": "x"}), store, memory, "d", "b1", NOW, clock=clock)
+    state = datasets.get_dataset(store.read("datasets"), "d").first()
+    assert state.status == "failed" and datasets.get_run(store.read("pipeline_runs"), "b1").first().status == "failed"
+    attempt(good)
+    with pytest.raises(ValueError):
+        batch.run(lambda: feeds.ingest(spark, {"nowhere": "x"}), store, memory, "d", "b2", NOW, clock=clock)
+    events = sorted((e.batch_id, e.attempt, e.source, bool(e.message)) for e in store.read("healing_events").collect())
+    assert events == [("b1", 1, "landing_page", True), ("b1", 2, None, True), ("b2", 1, None, True)]
+    assert datasets.get_run(store.read("pipeline_runs"), "b1").first().status == "completed" and store.read("leads").count() == 1
+
+
 def test_memory_lasts_and_goes_before_spelling(spark, tmp_path):
     store = Store(spark, f"file:{tmp_path}/s")
     records = spark.createDataFrame([("csv_upload", {"Kontakt": "ann@x.com", "Name": "Ann Li", "zz": "q"}, [])], "source string, raw map<string,string>, not_text array<string>")
