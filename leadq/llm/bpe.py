@@ -173,9 +173,9 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=4)
-def load(path: str, pattern: str) -> Codec:
+def load(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
     """The codec of a vocabulary file that the driver can read."""
-    return Codec(load_ranks(path), pattern)
+    return Codec(load_ranks(path), pattern, remembered)
 
 
 _sent: dict[tuple[str, int], tuple[Codec, Broadcast]] = {}
