@@ -9,6 +9,10 @@ from leadq.llm import bpe, exact_dedup, mixing, ngram_join, quality, queries
 from leadq.session import new_folder
 
 
+#: Pre-tokens that a worker remembers here, where it still holds what earlier stages left in it. No result depends on it.
+REMEMBERED = 120_000
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that a scorer, trained on the labellers' agreement on these documents, holds for good."""
     return quality.keep_good(docs)
@@ -31,7 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row, and digests of the ids and of what they decode to."""
-    return bpe.digests(docs, queries.codec(), with_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.digests(docs, queries.codec(REMEMBERED), with_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
