@@ -50,6 +50,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(df: DataFrame, n: int) -> list[int]:
+    """n integers, of which hash partitioning by an int column deals number p to partition p of n: no two parts meet in
+    one task and none stays empty. At most n numbers reach the driver."""
+    tried, found = 16 * n, {}
+    while len(found) < n:
+        ids = df.sparkSession.range(tried).select(F.col("id").cast("int").alias("key"))
+        rows = ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key")).collect()
+        found, tried = {r["p"]: r["key"] for r in rows}, 2 * tried
+    return [found[p] for p in range(n)]
+
+
 def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
     """(bands, rows): the most selective banding that finds a pair at `threshold` with at least
     `recall`, using at most `most_hashes` hash functions."""

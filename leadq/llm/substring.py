@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadq.llm import textvec as V
-from leadq.llm.frames import partitions, text_of
+from leadq.llm.frames import even_keys, partitions, text_of
 
 WIDTH = 20
 #: Windows that a task gathers before it sends them on.
 CHUNK = 1 << 21
+#: Bytes of text whose windows meet in one task, and buckets that they are dealt to there. A text of n bytes has at most
+#: n / 2 windows, so a bucket, which a task holds whole, has 2 million of them at most and a third of that in common prose.
+TASK_BYTES = 1 << 24
+TASK_BUCKETS = 4
 #: Stands for a null doc_id: the smallest.
 NO_ID = -(2**63)
 
@@ -131,16 +135,21 @@ def _windows(batches: Iterable[pa.RecordBatch], width: int, n_buckets: int, home
         yield from flush()
 
 
-_SENT = "bucket int, n_docs int, places binary, keys binary, n int, hashes binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("n_docs", pa.int32()), ("places", pa.binary()), ("keys", pa.binary()), ("n", pa.int32()), ("hashes", pa.binary())])
+_SENT = "part int, bucket int, n_docs int, places binary, keys binary, n int, hashes binary"
+_SENT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n_docs", pa.int32()), ("places", pa.binary()), ("keys", pa.binary()), ("n", pa.int32()), ("hashes", pa.binary())])
 
 
-def _later_places(table: pa.Table, n_buckets: int, homes: int) -> pa.Table:
+def _dealt(rows: Iterable[dict], parts: np.ndarray) -> list[dict]:
+    """Rows with the part that their bucket or home belongs to."""
+    return [{"part": int(parts[row["bucket"] % len(parts)]), **row} for row in rows]
+
+
+def _later_places(table: pa.Table, n_buckets: int, parts: np.ndarray) -> pa.Table:
     """Of the windows of a bucket, those whose hash also stands at a smaller document or start; a row per home. Rows
     that are on their way home go on as they are."""
     bucket = table.column("bucket")[0].as_py()
     if bucket >= n_buckets:
-        return table.set_column(0, "bucket", pa.array(np.full(len(table), bucket - n_buckets, dtype=np.int32)))
+        return table.set_column(1, "bucket", pa.array(np.full(len(table), bucket - n_buckets, dtype=np.int32)))
     rows = table.to_pylist()
     names, d, s = _unpacked(rows)
     h = np.concatenate([np.frombuffer(row["hashes"], dtype=np.uint64) for row in rows])
@@ -151,7 +160,7 @@ def _later_places(table: pa.Table, n_buckets: int, homes: int) -> pa.Table:
     bounds = V.group_bounds(h[several])
     first = np.repeat(several[bounds[:-1]], np.diff(bounds))
     later = several[(d[several] != d[first]) | (s[several] != s[first])]
-    return pa.Table.from_pylist(list(_by_home(names, d[later], s[later], homes)), schema=_SENT_ARROW)
+    return pa.Table.from_pylist(_dealt(_by_home(names, d[later], s[later], len(parts)), parts), schema=_SENT_ARROW)
 
 
 def _cover(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,37 +187,51 @@ def _text_key() -> Column:
     return F.xxhash64(text_of())
 
 
-def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def task_parts(docs: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks among which the windows of `docs` are dealt: one for each `task_bytes` of text, but not fewer than there are
+    shuffle partitions."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
+    return max(partitions(docs), -(-size // task_bytes))
+
+
+def removal_intervals(docs: DataFrame, width: int = WIDTH, task_bytes: int = TASK_BYTES, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_key and the document's maximal intervals of words to remove, as arrays `begins` and `ends` (end exclusive).
 
     A document is a doc_id (null: NO_ID) and a text, named by a 64-bit hash of it, so rows share intervals
     only if their texts are equal.
 
     Each window of `width` words has a 64-bit Rabin-Karp hash and, by a second hash, a bucket; both
-    together identify it. With 2 buckets per shuffle partition the chance that any two different windows of n share
+    together identify it. The number of buckets follows the bytes of all texts, TASK_BUCKETS for each `task_bytes`, so what a
+    task holds at once doesn't grow with the corpus; the chance that any two different windows of n share
     both is n^2 / (2^65 * buckets). A task sends a hash that repeats within a chunk of its windows
     once, so the most common window arrives in its bucket once per chunk, not once per document. Its other places
-    and what a bucket finds go back packed by the home of the document, a hash of its name.
+    and what a bucket finds go back packed by the home of the document, a hash of its name. Buckets and homes are dealt
+    to tasks in turn, not by hash. A row carries what a chunk has for one bucket: far beyond
+    10^5 parts, raise `task_bytes` and `chunk` together.
     """
-    homes = partitions(docs)
-    n_buckets = buckets or 2 * homes
+    n_parts = task_parts(docs, task_bytes)
+    n_buckets = TASK_BUCKETS * n_parts
+    parts = np.array(even_keys(docs, n_parts), dtype=np.int32)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), _text_key().alias("text_key"), "text")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _windows(batches, width, n_buckets, homes, chunk):
-            yield pa.RecordBatch.from_pylist([row], schema=_SENT_ARROW)
+        for row in _windows(batches, width, n_buckets, n_parts, chunk):
+            yield pa.RecordBatch.from_pylist(_dealt([row], parts), schema=_SENT_ARROW)
 
     def judge(table: pa.Table) -> pa.Table:
-        return _later_places(table, n_buckets, homes)
+        return _later_places(table, n_buckets, parts)
 
     def merge(table: pa.Table) -> pa.Table:
         return _merged(table, width)
 
-    later = rows.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(judge, _SENT)
-    return later.groupBy("bucket").applyInArrow(merge, "doc_id long, text_key long, begins array<int>, ends array<int>")
+    def met(sent: DataFrame):
+        return sent.repartition(n_parts, "part").groupBy("part", "bucket")
+
+    later = met(rows.mapInArrow(send, _SENT)).applyInArrow(judge, _SENT)
+    return met(later).applyInArrow(merge, "doc_id long, text_key long, begins array<int>, ends array<int>")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, task_bytes: int = TASK_BYTES, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_words, n_removed, begins, ends, kept_text of every row of `docs`.
 
     A word goes if a window of `width` words covers it whose words also start earlier: in a document with a
@@ -230,7 +253,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
     # texts travel to their intervals compressed, which takes a third less than the shuffle's own compression
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), _text_key().alias("__key"), "text")
     rows = rows.mapInArrow(pack, f"doc_id {kind}, __id long, __key long, packed binary")
-    gone = removal_intervals(docs, width, buckets, chunk).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    gone = removal_intervals(docs, width, task_bytes, chunk).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

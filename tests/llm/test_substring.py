@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 
-from leadq.llm import substring, textvec
+from pyspark.sql import functions as F
+
+from leadq.llm import frames, substring, textvec
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,7 +41,7 @@ def test_removes_later_copies_only(spark):
 def test_small_chunks_and_buckets_agree(spark):
     rows = [(i, " ".join("abc"[(i * j * j) % 3] for j in range(80))) for i in range(20)]
     want = brute(rows, 5)
-    assert answer(spark, rows, width=5, chunk=50, buckets=3) == want
+    assert answer(spark, rows, width=5, chunk=50, task_bytes=150) == want
     assert answer(spark, rows[::-1], width=5) == want
 
 
@@ -76,6 +78,16 @@ def test_empty_table_and_extra_columns(spark):
     assert answer(spark, rows, "doc_id int, text string, kept_text string, n_words int", width=3)[2] == (3, 3, "")
 
 
+def test_tasks_follow_the_size_of_the_texts_and_are_dealt_evenly(spark):
+    docs = spark.createDataFrame([(i, "é" * 500) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [substring.task_parts(docs, b) for b in (1000, 999, 10**9)] == [max(shuffle, n) for n in (40, 41, 1)]
+    for n in (1, 7, 41):
+        keys = spark.createDataFrame([(k,) for k in frames.even_keys(docs, n)], "key int")
+        found = keys.repartition(n, "key").select(F.spark_partition_id().alias("p"), "key").orderBy("p").collect()
+        assert [r.p for r in found] == list(range(n)) and [r.key for r in found] == frames.even_keys(docs, n)
+
+
 def test_known_repeats_of_a_chunk_meet_in_no_bucket():
     text = " ".join(f"p{i}" for i in range(60))
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text_key": pa.array([1] * 400, pa.int64()), "text": [text] * 400})
