@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from leadq import schema as S
 from leadq.operators.keys import BUCKETS, KEYS, KeyIndex, index_rows
-from leadq.operators.logs import latest
+from leadq.operators.logs import deciding, latest
 from leadq.operators.mapping import MEMORY
 from leadq.operators.skew import join_groups
 
@@ -103,6 +103,17 @@ SCHEMAS = {
     "batches": BATCHES,
     "lead_keys": KEYS,
 }
+#: Append-only logs: the key of a row, the order of the rows of a key, and the columns that keep their value where a later row leaves them open.
+#: All ranges of positions ever taken stay, because the next one starts above them.
+LOGS = {
+    "datasets": (["dataset_id"], ["logged_at"], [c for c in DATASET.fieldNames() if c not in ("dataset_id", "logged_at")]),
+    "pipeline_runs": (["run_id"], ["logged_at"], [c for c in RUN.fieldNames() if c not in ("run_id", "logged_at")]),
+    "batches": (["batch_id", "first_ord", "next_ord"], ["logged_at"], []),
+    "mapping_memory": (["source", "field_name"], ["decided_at", "canonical_field"], []),
+    "dispositions": (["lead_id"], ["decided_at", "seq"], []),
+}
+#: A log with as many files since its last snapshot gets a new one.
+TAIL_FILES = 64
 
 
 class Store:
@@ -132,7 +143,40 @@ class Store:
         schema = SCHEMAS[table]
         if not self.exists(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.fieldNames())
+        return self.spark.read.schema(schema).parquet(self.path(table), *self._snapshots(table)).select(*schema.fieldNames())
+
+    def _snapshots(self, table: str) -> list[str]:
+        """Finished snapshots of a log, oldest first. There is one, or two where a compaction did not come to its end."""
+        if table not in LOGS:
+            return []
+        fs, pattern = self._fs(f"{self.path(table)}_snapshots/*/_SUCCESS")
+        return sorted(str(x.getPath().getParent().toString()) for x in fs.globStatus(pattern) or [])
+
+    def _tail(self, table: str) -> list[str]:
+        """Files appended to a log since its last snapshot."""
+        fs, pattern = self._fs(f"{self.path(table)}/part-*")
+        return [str(x.getPath().toString()) for x in fs.globStatus(pattern) or []]
+
+    def compact(self, table: str) -> None:
+        """Maintenance: put the rows of a log that its state depends on into a snapshot, and delete the files they came from.
+
+        Reading a log costs its state and its tail from then on, not its history. A snapshot is made of the one before and the tail. It
+        counts once it is finished, and may stand beside the files it was made of, because its rows are theirs: a job that dies at
+        any point leaves the state as it was. Read a log again after this; what was read before names deleted files.
+        """
+        tail, old = self._tail(table), self._snapshots(table)
+        number = int(old[-1].rsplit("/", 1)[1]) + 1 if old else 0
+        deciding(self.read(table), *LOGS[table]).write.mode("overwrite").parquet(f"{self.path(table)}_snapshots/{number:012d}")
+        for file in tail + old:
+            fs, path = self._fs(file)
+            fs.delete(path, True)
+
+    def compact_logs(self, after: int = TAIL_FILES) -> list[str]:
+        """Compact the logs whose tail has `after` files or more; tells which."""
+        grown = [t for t in LOGS if len(self._tail(t)) >= after]
+        for table in grown:
+            self.compact(table)
+        return grown
 
     def read_as_written(self, table: str) -> DataFrame:
         """Every column that any file of the table has."""
@@ -200,6 +244,9 @@ class Store:
             if table in PARTITIONS:
                 writer = writer.partitionBy(*PARTITIONS[table])
             writer.parquet(self.path(table))
+            for snapshot in self._snapshots(table):
+                fs, path = self._fs(snapshot)
+                fs.delete(path, True)
             outcome[table] = "cleared"
             if table == "leads" and self.exists("lead_keys"):
                 self.clear(["lead_keys"])

@@ -215,7 +215,7 @@ def run(
         records = dense(feed.records.withColumn("dataset_id", F.lit(dataset_id)))
         learned = store.read("mapping_memory")
         mapped, decisions = map_records(records, mapping.upsert(memory.select(*learned.columns).unionByName(learned)), resolver)
-        new = mapping.confirmed(decisions, timestamp(batch_ts)).join(learned, ["source", "field_name", "canonical_field"], "left_anti")
+        new = mapping.confirmed(decisions, timestamp(batch_ts)).join(mapping.upsert(learned), ["source", "field_name", "canonical_field"], "left_anti")
         store.append("mapping_memory", new)
         _land(mapped, feed.quarantine, store, dataset_id, batch_id, batch_ts, scope, model, timestamp(clock()))
     return decisions

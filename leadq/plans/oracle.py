@@ -565,6 +565,7 @@ def sql() -> dict[str, str]:
     }
     whole = out["dataset_summary"]
     out["dataset_lifecycle"] = f"SELECT dataset_id, 'Csv Upload import' AS name, 'completed' AS status, total_leads, clean, flagged, invalid, duplicates, avg_score FROM ({whole}) x"
+    out["log_snapshots"] = out["dataset_lifecycle"]
     out["run_lifecycle"] = f"""SELECT concat('run-', dataset_id) AS run_id, 'csv_upload' AS source, 'completed' AS status, total_leads + invalid + duplicates AS total_records,
         total_leads AS processed, invalid AS failed, duplicates FROM ({whole}) x UNION ALL SELECT 'run-d3', 'csv_upload', 'completed', 0, 0, 0, 0"""
     out["run_summary"] = f"SELECT * FROM ({out['batch_summary']}) x WHERE dataset_id = 'd2'"

@@ -525,6 +525,17 @@ def run_lifecycle(spark, sf):
     return datasets.current_runs(_kept_books(spark, sf).read("pipeline_runs")).select("run_id", "source", "status", "total_records", "processed", "failed", "duplicates")
 
 
+@register
+def log_snapshots(spark, sf):
+    """What `dataset_lifecycle` shows, where logs are compacted before every batch: states come from snapshots and what was appended since."""
+    tables, rows = store.Store(spark, new_folder(spark, "compacted")), X.mapped(spark, sf)
+    for d in ("d1", "d2", "d3"):
+        tables.compact_logs(after=1)
+        _run(rows.filter(F.col("dataset_id") == d), tables, d, f"run-{d}")
+    state = datasets.current_datasets(tables.read("datasets"))
+    return state.select("dataset_id", "name", "status", "total_leads", "clean", "flagged", "invalid", "duplicates", "avg_score")
+
+
 @register
 def get_dataset(spark, sf):
     return datasets.get_dataset(X.dataset_log(spark, sf), "ds-7").select("dataset_id", "name", "file_name", "status", "notes", "tags")

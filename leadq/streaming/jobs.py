@@ -54,7 +54,7 @@ def ingest_feed(
     """Read files of a feed as they arrive, and run each micro-batch like an upload: read, map, process, quarantine, keep the books.
 
     The JSON feeds are read by lines. A CSV feed needs its `headers`, since a stream has one schema; files with a quoted
-    line break belong into a batch. Several feeds may go into one store, one stream after the other.
+    line break belong into a batch. The store's logs are compacted as they grow. Several feeds may go into one store, one stream after the other.
     """
     if source in JSON_FEEDS:
         arriving = store.spark.readStream.text(path)
@@ -72,6 +72,7 @@ def ingest_feed(
             feed = csv_feed(rows, source)
         feed.records = tagged(feed.records)
         run(feed, store, memory, dataset_id, f"stream-{source}-{batch_id:012d}", batch_ts, scope=scope, source_kind=source, **options)
+        store.compact_logs()
 
     return arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
 

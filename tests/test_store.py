@@ -1,5 +1,7 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadq.operators import analytics as A
@@ -132,3 +134,71 @@ def test_result_does_not_depend_on_partitioning(spark):
         out = batch.process(df, X.batch_ts())
         seen.add(tuple(sorted((r.lead_id, r.status) for r in out.leads.unionByName(out.duplicates).collect())))
     assert len(seen) == 1
+
+
+def _log_rows(spark, r, times):
+    """Rows of the log of datasets that set some columns and leave the others open, a time each."""
+    rows = []
+    for t in times:
+        row = {f: None for f in store.DATASET.fieldNames()}
+        row |= {"dataset_id": f"d{r.randrange(4)}", "logged_at": datetime(2024, 1, 1) + timedelta(seconds=t)}
+        row |= {"name": r.choice([None, f"n{t}"]), "notes": r.choice([None, None, f"o{t}"]), "total_leads": r.choice([None, t])}
+        rows.append(tuple((row | {"deleted": r.choice([None, None, t % 9 == 0])}).values()))
+    return spark.createDataFrame(rows, store.DATASET)
+
+
+@pytest.mark.parametrize("dies", [False, True])
+def test_compacted_logs_keep_their_state(spark, tmp_path, monkeypatch, dies):
+    r = random.Random(3)
+    plain, compacted = (store.Store(spark, str(tmp_path / n)) for n in "ab")
+    times = r.sample(range(36), 36)  # late rows arrive after a snapshot
+    kept = compacted._fs
+    for i in range(0, 36, 12):
+        for half in (times[i : i + 6], times[i + 6 : i + 12]):
+            rows = _log_rows(spark, r, half).coalesce(1)
+            for s in (plain, compacted):
+                s.append("datasets", rows)
+        states = [sorted(map(str, D.current_datasets(s.read("datasets")).collect())) for s in (plain, compacted)]
+        assert states[0] == states[1]
+        if dies:  # after the snapshot, before anything is deleted
+            real = compacted._fs
+            monkeypatch.setattr(compacted, "_fs", lambda p: _undeletable(*real(p)))
+            with pytest.raises(OSError):
+                compacted.compact("datasets")
+            monkeypatch.setattr(compacted, "_fs", kept)
+        else:
+            assert compacted.compact_logs(after=3) == [] and compacted.compact_logs(after=2) == ["datasets"]
+            assert compacted._tail("datasets") == [] and len(compacted._snapshots("datasets")) == 1
+        states = [sorted(map(str, D.current_datasets(s.read("datasets")).collect())) for s in (plain, compacted)]
+        assert states[0] == states[1]
+    if dies:
+        compacted.compact("datasets")
+        assert len(compacted._snapshots("datasets")) == 1 and compacted._tail("datasets") == []
+    assert compacted.read("datasets").count() <= 4 * 5 < plain.read("datasets").count()
+    compacted.clear(["datasets"])
+    assert compacted.read("datasets").isEmpty()
+
+
+class _undeletable:
+    """A file system that lists and does not delete."""
+
+    def __new__(cls, fs, path):
+        self = super().__new__(cls)
+        self.globStatus, self.exists = fs.globStatus, fs.exists
+        return self, path
+
+    def delete(self, path, recursive):
+        raise OSError("lost")
+
+
+def test_deciding_rows_of_whole_row_logs(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    t = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    s.append("dispositions", spark.createDataFrame([("L0", "contacted", t[0], 1), ("L0", "lost", t[1], 2), ("L1", "contacted", t[2], 3), ("L0", "contacted", t[1], 1)], store.DISPOSITION))
+    s.append("mapping_memory", spark.createDataFrame([("a", "h", "email", "x", None), ("a", "h", "phone_e164", "x", t[0]), (None, "h", "email", "x", None), ("a", "h", "email", "y", t[0])], store.MEMORY))
+    s.append("batches", spark.createDataFrame([("b", 0, 5, t[2]), ("b", 5, 12, t[0]), ("b", 0, 5, t[1])], store.BATCHES))
+    assert set(s.compact_logs(after=1)) == {"dispositions", "mapping_memory", "batches"}
+    assert {r.lead_id: r.disposition for r in store.current_dispositions(s.read("dispositions")).collect()} == {"L0": "lost", "L1": "contacted"}
+    assert {(r.source, r.canonical_field) for r in s.read("mapping_memory").collect()} == {("a", "phone_e164"), (None, "email")}
+    assert {(r.first_ord, r.next_ord, r.logged_at) for r in s.read("batches").collect()} == {(0, 5, t[2]), (5, 12, t[0])}
+    assert s.read("dispositions").count() == 2
