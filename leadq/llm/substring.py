@@ -16,23 +16,25 @@ from leadq.llm.frames import even_keys, partitions, text_of
 WIDTH = 20
 #: Windows that a task gathers before it sends them on.
 CHUNK = 1 << 21
-#: Bytes of text whose windows meet in one task, and buckets that they are dealt to there. A text of n bytes has at most
-#: n / 2 windows, so a bucket, which a task holds whole, has 2 million of them at most and a third of that in common prose.
-TASK_BYTES = 1 << 24
-TASK_BUCKETS = 4
+#: Bytes of text whose windows meet in one task. A text of n bytes has at most n / 2 windows, so a task holds
+#: 4 million of them at most and a third of that in common prose.
+TASK_BYTES = 1 << 23
 #: Stands for a null doc_id: the smallest.
 NO_ID = -(2**63)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as compressed differences."""
-    raw = b"".join(np.diff(a, prepend=0).astype(np.int64).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Integer arrays as compressed differences: the sign in the lowest bit, and the lowest bytes of all values first, then the next."""
+    steps = np.concatenate([np.diff(a, prepend=0).astype(np.int64) for a in arrays])
+    steps = (steps << 1) ^ (steps >> 63)
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpack(blob: bytes, *lengths: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64)
-    return [np.cumsum(part) for part in np.split(raw, np.cumsum(lengths)[:-1])]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    steps = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+    steps = ((steps >> 1) & np.int64(2**63 - 1)) ^ -(steps & 1)
+    return [np.cumsum(part) for part in np.split(steps, np.cumsum(lengths)[:-1])]
 
 
 def _rows(bucket: int, names: np.ndarray, docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None) -> dict:
@@ -144,12 +146,12 @@ def _dealt(rows: Iterable[dict], parts: np.ndarray) -> list[dict]:
     return [{"part": int(parts[row["bucket"] % len(parts)]), **row} for row in rows]
 
 
-def _later_places(table: pa.Table, n_buckets: int, parts: np.ndarray) -> pa.Table:
+def _later_places(table: pa.Table, parts: np.ndarray) -> pa.Table:
     """Of the windows of a bucket, those whose hash also stands at a smaller document or start; a row per home. Rows
     that are on their way home go on as they are."""
     bucket = table.column("bucket")[0].as_py()
-    if bucket >= n_buckets:
-        return table.set_column(1, "bucket", pa.array(np.full(len(table), bucket - n_buckets, dtype=np.int32)))
+    if bucket >= len(parts):
+        return table.set_column(1, "bucket", pa.array(np.full(len(table), bucket - len(parts), dtype=np.int32)))
     rows = table.to_pylist()
     names, d, s = _unpacked(rows)
     h = np.concatenate([np.frombuffer(row["hashes"], dtype=np.uint64) for row in rows])
@@ -201,7 +203,7 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, task_bytes: int = TAS
     only if their texts are equal.
 
     Each window of `width` words has a 64-bit Rabin-Karp hash and, by a second hash, a bucket; both
-    together identify it. The number of buckets follows the bytes of all texts, TASK_BUCKETS for each `task_bytes`, so what a
+    together identify it. There is a bucket for each `task_bytes` of all texts, so what a
     task holds at once doesn't grow with the corpus; the chance that any two different windows of n share
     both is n^2 / (2^65 * buckets). A task sends a hash that repeats within a chunk of its windows
     once, so the most common window arrives in its bucket once per chunk, not once per document. Its other places
@@ -210,16 +212,15 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, task_bytes: int = TAS
     10^5 parts, raise `task_bytes` and `chunk` together.
     """
     n_parts = task_parts(docs, task_bytes)
-    n_buckets = TASK_BUCKETS * n_parts
     parts = np.array(even_keys(docs, n_parts), dtype=np.int32)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), _text_key().alias("text_key"), "text")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _windows(batches, width, n_buckets, n_parts, chunk):
+        for row in _windows(batches, width, n_parts, n_parts, chunk):
             yield pa.RecordBatch.from_pylist(_dealt([row], parts), schema=_SENT_ARROW)
 
     def judge(table: pa.Table) -> pa.Table:
-        return _later_places(table, n_buckets, parts)
+        return _later_places(table, parts)
 
     def merge(table: pa.Table) -> pa.Table:
         return _merged(table, width)

@@ -99,6 +99,13 @@ def test_known_repeats_of_a_chunk_meet_in_no_bucket():
     assert sum(known) == 399 * 41 and len(known) == 8 and max(known) < 2 * np.mean(known)
 
 
+@given(st.lists(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1), min_size=1, max_size=4))
+def test_packed_numbers_come_back(lists):
+    arrays = [np.array(x, dtype=np.int64) for x in lists]
+    got = substring._unpack(substring._pack(*arrays), *map(len, arrays))
+    assert [a.tolist() for a in got] == lists
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\t\n ", max_size=30), max_size=6))
 def test_words_and_windows(texts):
