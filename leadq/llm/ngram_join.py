@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadq.llm import textvec as V
-from leadq.llm.frames import bands_for, partitions
+from leadq.llm.frames import bands_for, partitions, small
 from leadq.operators.graph import connected_components
 from leadq.session import staged
 
@@ -19,10 +19,11 @@ THRESHOLD = 0.8
 #: Share of the pairs at the threshold that have a band in common. Pairs above it miss less.
 RECALL = 0.999
 HASHES = 144
-#: Documents of a block. Two blocks meet in one group of rows, so no group holds more than two.
+#: Documents of a cell, and words of their texts, about. Two cells meet in one group of rows, so no group holds more than two.
 BLOCK = 256
-#: Candidate pairs that a task works on at once.
-PAIRS = 1 << 17
+BLOCK_WORDS = 1 << 18
+#: Members of a bucket that meet its cells in one part of the join.
+SIDE = 2048
 #: Word sequences that a task remembers, so that copies of one text leave it once.
 SEEN = 1 << 16
 
@@ -85,111 +86,33 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, a long, b long, bands array<long>")
 
 
-def _portions(table: pa.Table) -> Iterator[pa.Table]:
-    """Parts of a table of whole groups that stand for about PAIRS pairs each, one group at least."""
-    bounds = V.group_bounds(*(table.column(c).to_numpy() for c in ("h", "i", "j")))
-    pairs = np.cumsum(np.diff(bounds) ** 2 // 2)
-    at, done = 0, 0
-    while at < len(pairs):
-        end = max(at + 1, int(np.searchsorted(pairs, done + PAIRS, side="right")))
-        yield table.slice(bounds[at], bounds[end] - bounds[at])
-        at, done = end, pairs[end - 1]
-
-
-def _pair_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs that the groups of a table stand for. A group is a bucket, or two blocks of one."""
-    h, i, j, own = (table.column(c).to_numpy() for c in ("h", "i", "j", "block"))
-    bounds = V.group_bounds(h, i, j)
-    starts, sizes = bounds[:-1], np.diff(bounds)
-    left, right = [], []
-    inner = i[starts] == j[starts]
-    for size in np.unique(sizes[inner]):
-        a, b = np.triu_indices(size, 1)
-        at = starts[inner & (sizes == size)][:, None]
-        left.append((at + a).ravel())
-        right.append((at + b).ravel())
-    for s, n in zip(starts[~inner], sizes[~inner], strict=True):
-        here = own[s : s + n] == i[s]
-        a, b = s + np.flatnonzero(here), s + np.flatnonzero(~here)
-        left.append(np.repeat(a, len(b)))
-        right.append(np.tile(b, len(a)))
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-
-
-def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`reps(rep, bands)` -> rows of packed candidate pairs: group, xs, ys (64-bit ids, x < y).
-
-    Every pair with a band hash in common is there. A large bucket is cut into blocks, and each two of its blocks meet
-    in a group of their own. Documents have a home, the smallest id they share a bucket with, and a block there, and
-    a pair belongs to the group of its two homes and blocks, so near copies of one text are verified
-    together and their sets travel once per block.
-    """
-    rows = reps.select("rep", F.explode("bands").alias("h"))
-    buckets = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("low")).filter("n > 1")
-    members = staged(rows.join(buckets, "h"), "members")
-    homes = members.groupBy("rep").agg(F.min("low").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    homes = homes.join(sizes, "home").select("rep", "home", F.pmod(F.xxhash64("rep"), "blocks").alias("home_block"))
-    blocks = F.ceil(F.col("n") / block)
-    met = members.join(homes, "rep").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), blocks))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    met = met.withColumn("other", others).select(
-        "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "home", "home_block"
-    )
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in (part for whole in V.whole_groups(batches, ["h", "i", "j"]) for part in _portions(whole)):
-            a, b = _pair_rows(table)
-            rep, home, part = (table.column(c).to_numpy() for c in ("rep", "home", "home_block"))
-            a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
-            order = np.lexsort((rep[b], rep[a]))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), dtype=bool)
-            new[1:] = (rep[a][1:] != rep[a][:-1]) | (rep[b][1:] != rep[b][:-1])
-            a, b = a[new & (rep[a] != rep[b])], b[new & (rep[a] != rep[b])]
-            place = V.mix64(home.view(np.uint64) * np.uint64(V.BASE) + part.view(np.uint64))
-            group = V.mix64(np.minimum(place[a], place[b]) * np.uint64(V.BASE2) + np.maximum(place[a], place[b])).view(np.int64)
-            order = np.argsort(group, kind="stable")
-            group, x, y = group[order], rep[a][order], rep[b][order]
-            cuts = V.group_bounds(group)
-            pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-            if pairs:
-                columns = [pa.array(group[cuts[:-1]])] + [pa.array([v[s:e].tobytes() for s, e in pairs], pa.binary()) for v in (x, y)]
-                yield pa.RecordBatch.from_arrays(columns, ["group", "xs", "ys"])
-
-    n = partitions(reps)
-    return met.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "group long, xs binary, ys binary")
-
-
-def _once(pairs: DataFrame) -> DataFrame:
-    """`pairs` with one row per group and each pair once."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in V.whole_groups(batches, ["group"]):
-            groups = table.column("group").to_numpy()
-            cuts = V.group_bounds(groups)
-            both = [table.column(c).to_pylist() for c in ("xs", "ys")]
-            xs, ys = [], []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                own = np.unique(np.stack([np.frombuffer(b"".join(blobs[s:e]), dtype=np.int64) for blobs in both], axis=1), axis=0)
-                xs.append(own[:, 0].tobytes())
-                ys.append(own[:, 1].tobytes())
-            columns = [pa.array(groups[cuts[:-1]]), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["group", "xs", "ys"])
+def _cells(members: DataFrame, block: int, block_words: int) -> DataFrame:
+    """`members(rep, n_words, low, ..)` -> rep, cell. Documents have a home, the smallest id they share a bucket with; the documents of a home
+    are dealt over as many cells as keep each at about `block` documents and `block_words` words."""
+    homes = members.groupBy("rep").agg(F.min("low").alias("home"), F.max("n_words").alias("n_words"))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_words") / block_words))
+    sizes = homes.groupBy("home").agg(parts.alias("parts"))
+    return homes.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("cell"))
 
-    return pairs.repartition(partitions(pairs), "group").sortWithinPartitions("group").mapInArrow(run, "group long, xs binary, ys binary")
 
+def meetings(reps: DataFrame, block: int = BLOCK, block_words: int = BLOCK_WORDS, side: int = SIDE) -> DataFrame:
+    """`reps(rep, n_words, bands)` -> rep, cell, x, y: which documents the group of the cells x and y (x <= y) is made of, each once.
 
-def _needed(pairs: DataFrame) -> DataFrame:
-    """group, node: which documents the pairs of a group are made of. `pairs` has one row per group."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("group", "xs", "ys")), strict=True):
-                own = np.unique(np.frombuffer(xs + ys, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g)), pa.array(own)], ["group", "node"])
-
-    return pairs.mapInArrow(run, "group long, node long")
+    Every pair of documents with a band hash in common is in exactly one group, that of their two cells. Pairs are not
+    written: a bucket of m near copies gives a row per document and cell, about m^2 / `block`, however many bands they share. A large bucket
+    meets its cells in parts of `side` documents and `side` cells.
+    """
+    rows = reps.select("rep", "n_words", F.explode("bands").alias("h"))
+    buckets = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("low")).filter("n > 1")
+    members = staged(rows.join(buckets, "h"), "members")
+    placed = members.join(_cells(members, block, block_words), "rep").select("h", "n", "rep", "cell")
+    parts = F.ceil(F.col("n") / side)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    own = placed.select("h", "rep", "cell", F.pmod(F.xxhash64("rep"), parts).alias("i"), every.alias("j"))
+    cells = placed.groupBy("h", "cell").agg(F.max("n").alias("n"), F.count("*").alias("docs"))
+    cells = cells.select("h", F.col("cell").alias("other"), "docs", every.alias("i"), F.pmod(F.xxhash64("cell"), parts).alias("j"))
+    met = own.join(cells, ["h", "i", "j"]).filter("cell != other or docs > 1")
+    return met.select("rep", "cell", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y")).distinct()
 
 
 def _sequences(docs: DataFrame, seen: int | None = None) -> DataFrame:
@@ -240,7 +163,7 @@ def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     shared = seen[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
     owner = owner[shared]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    common = np.zeros((len(sets), len(sets)), dtype=np.int64)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     wide = 4096
@@ -248,31 +171,35 @@ def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
         s, e = np.searchsorted(column, [at, at + wide])
         has = np.zeros((len(sets), wide), dtype=np.float32)
         has[owner[s:e], column[s:e] - at] = 1
-        common += has @ has.T
-    return common[x, y].astype(np.int64)
+        common += (has @ has.T).astype(np.int64)  # at most `wide` each, so exact
+    return common[x, y]
+
 
+def band_pairs(bands: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row in `left` and a row in `right` of `bands` that have a band hash in common; each once if both are the same rows."""
+    met = np.zeros((len(left), len(right)), dtype=bool)
+    for k in range(bands.shape[1]):
+        met |= bands[left, k][:, None] == bands[right, k][None, :]
+    if left is right:
+        met = np.triu(met, 1)
+    a, b = np.nonzero(met)
+    return left[a], right[b]
 
-def _linked(table: pa.Table, threshold: float) -> tuple[list[int], list[int], list[int]]:
-    """Of one group: its linked nodes, how many documents each is linked with here, and the smallest node each is
+
+def _linked(group: pa.Table, threshold: float) -> tuple[list[int], list[int], list[int]]:
+    """Of the group of two cells: its linked nodes, how many documents each is linked with here, and the smallest node each is
     tied to here."""
-    sets: dict[int, np.ndarray] = {}
-    copies: dict[int, int] = {}
-    xs, ys = [], []
-    for row in table.to_pylist():
-        if row["xs"] is not None:
-            xs.append(np.frombuffer(row["xs"], dtype=np.int64))
-            ys.append(np.frombuffer(row["ys"], dtype=np.int64))
-        else:
-            sets[row["node"]] = np.frombuffer(row["shingles"], dtype=np.uint64)
-            copies[row["node"]] = row["copies"]
-    nodes = np.array(sorted(sets), dtype=np.int64)
-    x, y = np.searchsorted(nodes, np.concatenate(xs)), np.searchsorted(nodes, np.concatenate(ys))
-    own = [sets[n] for n in nodes.tolist()]
+    group = group.sort_by("node")
+    nodes, weight, cell = (group.column(c).to_numpy() for c in ("node", "copies", "cell"))
+    own = [np.frombuffer(blob, dtype=np.uint64) for blob in group.column("shingles").to_pylist()]
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+    low, high = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    left = np.flatnonzero(cell == low)
+    x, y = band_pairs(bands, left, left if low == high else np.flatnonzero(cell == high))
     common = common_counts(own, x, y)
     sizes = np.array([len(s) for s in own])
     near = common / (sizes[x] + sizes[y] - common) >= threshold
     x, y = x[near], y[near]
-    weight = np.array([copies[n] for n in nodes.tolist()], dtype=np.int64)
     links = np.zeros(len(nodes), dtype=np.int64)
     np.add.at(links, x, weight[y])
     np.add.at(links, y, weight[x])
@@ -289,24 +216,20 @@ def _linked(table: pa.Table, threshold: float) -> tuple[list[int], list[int], li
     return nodes[some].tolist(), links[some].tolist(), nodes[root[some]].tolist()
 
 
-def _verified(pairs: DataFrame, needed: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
-    """node, links, low for every group and linked node in it."""
-    sent = needed.join(sets, "node").join(copies.withColumnRenamed("rep", "node"), "node")
-    empty = F.lit(None)
-    both = sent.select("group", "node", "copies", "shingles", empty.cast("binary").alias("xs"), empty.cast("binary").alias("ys")).unionByName(
-        pairs.select("group", empty.cast("long").alias("node"), empty.cast("long").alias("copies"), empty.cast("binary").alias("shingles"), "xs", "ys")
-    )
+def _verified(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, links, low for every group of `met(node, cell, x, y)` and linked node in it. `sets` has node, copies, bands, shingles."""
+    sent = met.join(sets, "node").select("x", "y", "cell", "node", "copies", "bands", "shingles")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in V.whole_groups(batches, ["group"]):
-            cuts = V.group_bounds(table.column("group").to_numpy())
+        for table in V.whole_groups(batches, ["x", "y"]):
+            cuts = V.group_bounds(*(table.column(c).to_numpy() for c in ("x", "y")))
             found: tuple[list[int], ...] = ([], [], [])
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 for all_of, some in zip(found, _linked(table.slice(s, e - s), threshold), strict=True):
                     all_of += some
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["node", "links", "low"])
 
-    return both.repartition(partitions(pairs), "group").sortWithinPartitions("group").mapInArrow(run, "node long, links long, low long")
+    return sent.repartition(partitions(met), "x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "node long, links long, low long")
 
 
 def _resolved(docs: DataFrame, width: int, threshold: float, recall: float, hashes: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -321,13 +244,13 @@ def _resolved(docs: DataFrame, width: int, threshold: float, recall: float, hash
         F.min("id").alias("low"), F.count_if(F.col("id").isNull()).alias("nameless"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")
     )
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    pairs = staged(_once(candidates(classes.select("rep", "bands"), block)), "pairs")
-    needed = staged(_needed(pairs), "needed")
+    met = staged(meetings(classes.select("rep", "n_words", "bands"), block).withColumnRenamed("rep", "node"), "met")
     marks = ["__a", "__b", "__n"]
-    wanted = classes.select(*[F.col(k).alias(m) for k, m in zip(key, marks, strict=True)], F.col("rep").alias("node"))
-    wanted = wanted.join(needed.select("node").distinct(), "node", "left_semi")
-    texts = _sequences(own.select("text"), SEEN).join(wanted, marks).groupBy(*marks).agg(F.any_value("node").alias("node"), F.any_value("text").alias("text"))
-    linked = staged(_verified(pairs, needed, _sets(texts.select("node", "text"), width), classes.select("rep", "copies"), threshold), "linked")
+    known = classes.withColumnRenamed("rep", "node")
+    wanted = known.join(met.select("node").distinct(), "node", "left_semi").select(*[F.col(k).alias(m) for k, m in zip(key, marks, strict=True)], "node")
+    texts = _sequences(own.select("text"), SEEN).join(small(staged(wanted, "wanted")), marks).groupBy(*marks).agg(F.any_value("node").alias("node"), F.any_value("text").alias("text"))
+    sets = _sets(texts.select("node", "text"), width).join(known.select("node", "copies", "bands"), "node")
+    linked = staged(_verified(met, sets, threshold), "linked")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(linked.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
     nodes = links.join(groups, "node", "left").withColumnRenamed("node", "rep")
@@ -345,8 +268,9 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     columns are ignored; an empty table gives an empty result.
 
     Bands and rows are the most selective ones that reach `recall` at the threshold with so many hashes. Copies
-    are one representative before any band is shuffled. Candidate pairs and full sets meet in groups of two blocks at
-    most, packed, and every candidate is verified. A shingle is a 64-bit hash.
+    are one representative before any band is shuffled. Full sets meet in groups of two cells of about `block` documents, and of
+    bounded words; pairs with a band in common are found and verified there and are never written. A single very long text
+    is one value. A shingle is a 64-bit hash.
     """
     signed, known = _resolved(docs, width, threshold, recall, hashes, block)
     lows = known.filter("component is not null").groupBy("component").agg(F.min("low").alias("group_low"))

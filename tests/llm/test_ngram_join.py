@@ -106,3 +106,42 @@ def test_rows_without_an_id_or_with_one_in_common_are_documents_of_their_own(spa
     assert sorted(got, key=order) == sorted(expected, key=order)
     kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(found, recall=0.9999, hashes=400).collect()), key=str)
     assert kept == sorted([*rows[:4], *rows[-4:]], key=str)
+
+
+def test_cells_are_bounded_by_documents_and_words_and_each_pair_has_one_group(spark):
+    # 90 documents in one bucket, each in a small one of its own as well; a third of them is long
+    reps = [(i, 1000 if i % 3 == 0 else 10, [7, 100 + i // 2]) for i in range(90)]
+    df = spark.createDataFrame(reps, "rep long, n_words long, bands array<long>")
+    for block, words, side in ((8, 10**9, 4), (256, 4000, 2048), (256, 10**9, 16)):
+        rows = ngram_join.meetings(df, block, words, side).collect()
+        assert len({(r.rep, r.x, r.y) for r in rows}) == len(rows) and all(r.cell in (r.x, r.y) for r in rows)
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.x, r.y), {})[r.rep] = r.cell
+        cells = {r.cell for r in rows}
+        assert len(cells) >= (90 // block if words == 10**9 else 30 * 1000 // words)
+        seen = [
+            (a, b)
+            for (x, y), own in groups.items()
+            for a in own
+            for b in own
+            if a < b and (own[a] != own[b] if x != y else True)
+        ]
+        assert sorted(seen) == [(a, b) for a in range(90) for b in range(a + 1, 90)]
+        assert len(rows) <= 90 * len(cells)
+
+
+def test_a_bucket_far_above_a_cell(spark):
+    rows = list(enumerate(family(450, 120, 2, 8)))
+    got = answer(spark, rows, block=32)
+    want = brute(rows)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert sum(r[2] for r in got) >= 0.995 * sum(r[2] for r in want) > 50_000
+    assert all(g[2] <= w[2] for g, w in zip(got, want, strict=True))
+
+
+def test_pairs_share_a_band():
+    bands = np.array([[1, 2], [1, 3], [4, 3], [5, 6]])
+    every = np.arange(4)
+    assert list(zip(*map(list, ngram_join.band_pairs(bands, every, every)), strict=True)) == [(0, 1), (1, 2)]
+    assert list(zip(*map(list, ngram_join.band_pairs(bands, every[:2], every[2:])), strict=True)) == [(1, 2)]
