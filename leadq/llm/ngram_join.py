@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadq.llm import textvec as V
@@ -86,33 +88,54 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, a long, b long, bands array<long>")
 
 
-def _cells(members: DataFrame, block: int, block_words: int) -> DataFrame:
-    """`members(rep, n_words, low, ..)` -> rep, cell. Documents have a home, the smallest id they share a bucket with; the documents of a home
-    are dealt over as many cells as keep each at about `block` documents and `block_words` words."""
-    homes = members.groupBy("rep").agg(F.min("low").alias("home"), F.max("n_words").alias("n_words"))
+def _cell(home: str, part: str) -> Column:
+    return F.xxhash64(home, part)
+
+
+def _placed(members: DataFrame, block: int, block_words: int) -> DataFrame:
+    """`members(h, n, rep, n_words)` -> rep, home, cell, parts, docs. Documents have a home: of all documents that they share a bucket with, and
+    themselves, the one with the largest buckets. So near copies of one text have the plainest of them as their home. The `docs` documents of
+    a home are dealt over as many cells as keep each at about `block` documents and `block_words` words."""
+    weights = members.groupBy("rep").agg(F.struct(F.sum("n").alias("weight"), F.col("rep").alias("home")).alias("hub"))
+    hubs = members.select("h", "rep").join(weights, "rep").groupBy("h").agg(F.max("hub").alias("hub"))
+    homes = members.join(hubs, "h").groupBy("rep").agg(F.max("hub")["home"].alias("home"), F.max("n_words").alias("n_words"))
     parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_words") / block_words))
-    sizes = homes.groupBy("home").agg(parts.alias("parts"))
-    return homes.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("cell"))
+    sizes = homes.groupBy("home").agg(parts.alias("parts"), F.count("*").alias("docs"))
+    dealt = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    return dealt.select("rep", "home", _cell("home", "part").alias("cell"), "parts", "docs")
+
+
+def _group(cell: str, other: str) -> list[Column]:
+    """The name of the group in which two cells meet."""
+    return [F.least(cell, other).alias("x"), F.greatest(cell, other).alias("y")]
 
 
 def meetings(reps: DataFrame, block: int = BLOCK, block_words: int = BLOCK_WORDS, side: int = SIDE) -> DataFrame:
     """`reps(rep, n_words, bands)` -> rep, cell, x, y: which documents the group of the cells x and y (x <= y) is made of, each once.
 
     Every pair of documents with a band hash in common is in exactly one group, that of their two cells. Pairs are not
-    written: a bucket of m near copies gives a row per document and cell, about m^2 / `block`, however many bands they share. A large bucket
-    meets its cells in parts of `side` documents and `side` cells.
+    written. All cells of a home meet, because its documents share a band with one document: m near copies are m rows for
+    each of their m / `block` cells, however many bands they share. Only documents that share a bucket across homes are
+    looked up by bucket; a large bucket does that in parts of `side` documents and `side` cells.
     """
     rows = reps.select("rep", "n_words", F.explode("bands").alias("h"))
-    buckets = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("low")).filter("n > 1")
+    buckets = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(rows.join(buckets, "h"), "members")
-    placed = members.join(_cells(members, block, block_words), "rep").select("h", "n", "rep", "cell")
+    placed = staged(_placed(members, block, block_words), "placed")
+    within = placed.filter("docs > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    within = within.select("rep", "cell", _cell("home", "part").alias("other")).select("rep", "cell", *_group("cell", "other"))
+
+    found = members.select("h", "n", "rep").join(placed.select("rep", "home", "cell"), "rep")
+    mixed = found.groupBy("h").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter("low < high").select("h")
+    found = staged(found.join(mixed, "h"), "mixed")
     parts = F.ceil(F.col("n") / side)
     every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    own = placed.select("h", "rep", "cell", F.pmod(F.xxhash64("rep"), parts).alias("i"), every.alias("j"))
-    cells = placed.groupBy("h", "cell").agg(F.max("n").alias("n"), F.count("*").alias("docs"))
-    cells = cells.select("h", F.col("cell").alias("other"), "docs", every.alias("i"), F.pmod(F.xxhash64("cell"), parts).alias("j"))
-    met = own.join(cells, ["h", "i", "j"]).filter("cell != other or docs > 1")
-    return met.select("rep", "cell", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y")).distinct()
+    own = found.select("h", "rep", "home", "cell", F.pmod(F.xxhash64("rep"), parts).alias("i"), every.alias("j")).alias("own")
+    cells = found.select("h", "n", "home", "cell").distinct()
+    cells = cells.select("h", "home", "cell", F.pmod(F.xxhash64("cell"), parts).alias("j"), every.alias("i")).alias("met")
+    same = [F.col(f"own.{c}") == F.col(f"met.{c}") for c in ("h", "i", "j")]
+    across = own.join(cells, reduce(and_, same) & (F.col("own.home") != F.col("met.home")))
+    return within.unionByName(across.select("rep", "own.cell", *_group("own.cell", "met.cell")).distinct())
 
 
 def _sequences(docs: DataFrame, seen: int | None = None) -> DataFrame:
