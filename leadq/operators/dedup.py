@@ -81,12 +81,9 @@ def survivors(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_RO
 
     The best member is an aggregate with a map-side combine, not a sort of the cluster.
     """
-    slim = leads.select(
-        "ord", "lead_id", "email", "phone_e164", "first_name", "last_name", "campaign_id", "dataset_id",
-        "quality_score", "created_at",
-    )
-    clusters = components(slim, scope, heavy_rows)
-    members = cut(slim.join(clusters, "ord").select("ord", "component", "lead_id", _rank().alias("rank")))
+    clusters = components(leads.select("ord", "email", "phone_e164", "dataset_id"), scope, heavy_rows)
+    ranked = leads.select("ord", "lead_id", _rank().alias("rank"))  # ranks move, the fields they are made of don't
+    members = cut(ranked.join(clusters, "ord").select("ord", "component", "lead_id", "rank"))
     best = members.groupBy("component").agg(
         F.max_by(F.struct("ord", "lead_id"), F.col("rank")).alias("best"), F.count("*").alias("size")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +115,8 @@ LOGS = {
     "mapping_memory": (["source", "field_name"], ["decided_at", "canonical_field"], []),
     "dispositions": (["lead_id"], ["decided_at", "seq"], []),
 }
+#: Rows of up to as many partition folders are written by the tasks that read them; for more, they are gathered by folder first.
+FEW_FOLDERS = 8
 #: A log with as many files since its last snapshot gets a new one.
 TAIL_FILES = 64
 
@@ -182,10 +187,13 @@ class Store:
         """Every column that any file of the table has."""
         return self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
 
-    def append(self, table: str, df: DataFrame, batch_id: str | None = None, keep: bool = False) -> None:
+    def append(self, table: str, df: DataFrame, batch_id: str | None = None, keep: bool = False, datasets: int | None = None) -> None:
         """Add rows. Tables with batches need the name of theirs: writing a batch again replaces all its rows in the table, in
         every dataset, so a repeated micro-batch or a retried job leaves the table as if it ran once, also when it
-        now has fewer rows; with `keep` its earlier rows stay too. The identifiers of leads go into the key index with them."""
+        now has fewer rows; with `keep` its earlier rows stay too. The identifiers of leads go into the key index with them.
+
+        `datasets` says how many datasets the rows belong to. Where those are few, each task writes its rows as they come, without
+        moving or sorting them; otherwise rows are gathered by dataset first, so that files stay whole."""
         if table not in PARTITIONS:
             df.select(*SCHEMAS[table].fieldNames()).write.mode("append").parquet(self.path(table))
             return
@@ -198,14 +206,18 @@ class Store:
         missing = [c for c in columns if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast(SCHEMAS[table][c].dataType) for c in missing}) if missing else rows
         before = {} if keep else self._batch_files(table, batch_id)
-        (
-            rows.select(*columns, *extra, *partitions)
-            .hint("rebalance", *partitions[:-1] or partitions)  # whole files per dataset; a big dataset is split over many tasks
-            .write.mode("append" if keep else "overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partitions)
-            .parquet(self.path(table))
-        )
+        rows = rows.select(*columns, *extra, *partitions)
+        folders = 1 if partitions == ["batch_id"] else datasets if partitions == ["dataset_id", "batch_id"] else None
+        in_place = folders is not None and folders <= FEW_FOLDERS
+        if not in_place:
+            rows = rows.hint("rebalance", *partitions[:-1])  # whole files per dataset; a big dataset is split over many tasks
+        with self._open_files(FEW_FOLDERS if in_place else 0):
+            (
+                rows.write.mode("append" if keep else "overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*partitions)
+                .parquet(self.path(table))
+            )
         for folder, files in ({} if keep else self._batch_files(table, batch_id)).items():
             if before.get(folder) == files:  # of the earlier attempt: nothing replaced it
                 fs, path = self._fs(folder)
@@ -214,6 +226,18 @@ class Store:
             written = self.read("leads").filter(F.col("batch_id") == batch_id)
             self.append("lead_keys", index_rows(written, self.key_buckets), batch_id)
 
+    @contextmanager
+    def _open_files(self, files: int) -> Iterator[None]:
+        """A task that writes inside keeps that many files open before it sorts its rows by folder."""
+        conf, name = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        was = conf.get(name)
+        if files:
+            conf.set(name, str(files))
+        try:
+            yield
+        finally:
+            conf.set(name, was)
+
     def key_index(self, but: str | None = None, dataset_id: str | None = None) -> KeyIndex:
         """The index over all stored leads, or one dataset's, without the batch `but`, which is about to be written again."""
         rows = self.read("lead_keys")

@@ -26,6 +26,8 @@ class Batch:
     leads: DataFrame
     duplicates: DataFrame
     invalid: DataFrame
+    #: How many datasets the rows belong to, if that was counted.
+    datasets: int | None = None
 
 
 def timestamp(value: datetime | str) -> Column:
@@ -54,15 +56,21 @@ def process(
     Scores come before duplicates are resolved, because the best score survives; flags and
     texts come after. The scored rows are written once and read back by column, since resolving
     duplicates passes over their identifiers several times. Whole rows meet the decision on them in one join,
-    and the finished rows are written once for the tables to be split from.
+    and the marked rows are written once for the tables to be split from. What follows from other columns, the ids and the texts, is
+    neither staged nor moved: it is made where it is read.
     """
     rows = prepare(mapped, batch_ts, model).withColumn("is_valid", F.size("errors") == 0)
-    rows = staged(rows, "scored")
+    rows = staged(rows.drop("lead_id"), "scored")
     parts = validate.split(rows)
     valid = parts.valid.drop("is_valid")
-    done = staged(score.finish(dedup.marked(valid, dedup.decided(valid, stored, scope))), "finished")
+    done = staged(dedup.marked(valid, dedup.decided(_identified(valid), stored, scope)), "marked")
     is_duplicate = F.col("status") == S.DUPLICATE
-    return Batch(done.filter(~is_duplicate), done.filter(is_duplicate), parts.invalid)
+    tables = [score.finish(_identified(done.filter(x))) for x in (~is_duplicate, is_duplicate)]
+    return Batch(*tables, parts.invalid, rows.select("dataset_id").distinct().count())
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lead_id", validate.lead_id(F.col("dataset_id"), F.col("source"), F.col("ord")))
 
 
 def map_records(records: DataFrame, memory: DataFrame, resolver: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +100,9 @@ def positions(store: Store, records: DataFrame, batch_id: str, now: Column) -> D
 
 
 def write(batch: Batch, store: Store, batch_id: str) -> None:
-    store.append("duplicate_leads", batch.duplicates, batch_id)
-    store.append("invalid_leads", batch.invalid, batch_id)
-    store.append("leads", batch.leads, batch_id)
+    store.append("duplicate_leads", batch.duplicates, batch_id, datasets=batch.datasets)
+    store.append("invalid_leads", batch.invalid, batch_id, datasets=batch.datasets)
+    store.append("leads", batch.leads, batch_id, datasets=batch.datasets)
 
 
 def summary(store: Store, batch_id: str) -> DataFrame:

@@ -245,10 +245,10 @@ def _halves(spark, sf):
     return leads.filter(F.col("order_day") > X.STORED_UNTIL), leads.filter(F.col("order_day") <= X.STORED_UNTIL)
 
 
-def _indexed(spark, leads):
+def _indexed(spark, leads, datasets=None):
     """The key index of a store that holds these leads."""
     tables = store.Store(spark, new_folder(spark, "indexed"))
-    tables.append("leads", leads, "b0")
+    tables.append("leads", leads, "b0", datasets=datasets)
     return tables.key_index()
 
 
@@ -268,7 +268,7 @@ def cross_batch_dedup(spark, sf):
 def dataset_scoped_dedup(spark, sf):
     rows, until = X.mapped(spark, sf), F.col("order_day") <= X.STORED_UNTIL
     first = batch.process(rows.filter(until), X.batch_ts())
-    second = batch.process(rows.filter(~until), X.batch_ts(), stored=_indexed(spark, first.leads))
+    second = batch.process(rows.filter(~until), X.batch_ts(), stored=_indexed(spark, first.leads, first.datasets))
     return _resolved(dedup.Resolved(second.leads, second.duplicates)).drop("dataset_id")
 
 
@@ -805,19 +805,24 @@ def quarantine_rows(spark, sf):
     return tables.read("quarantine").drop("batch_id")
 
 
+def _datasets(rows: DataFrame) -> int:
+    """How many datasets stored rows belong to, from the names of their folders."""
+    return rows.select("dataset_id").distinct().count()
+
+
 @register
 def schema_evolution(spark, sf):
     """A lead table whose second batch brought a column that the first one lacked."""
     tables, leads = store.Store(spark, new_folder(spark, "evolving")), X.leads(spark, sf).drop("batch_id")
-    tables.append("leads", store.scoped(leads, "d1"), "b1")
-    tables.append("leads", store.scoped(leads, "d2").withColumn("channel", F.col("source")), "b2")
+    tables.append("leads", store.scoped(leads, "d1"), "b1", datasets=1)
+    tables.append("leads", store.scoped(leads, "d2").withColumn("channel", F.col("source")), "b2", datasets=1)
     return tables.read_as_written("leads").select("ord", "channel")
 
 
 @register
 def clear_tables(spark, sf):
     tables, leads = store.Store(spark, new_folder(spark, "cleared")), X.leads(spark, sf).drop("batch_id")
-    tables.append("leads", leads, "b1")
+    tables.append("leads", leads, "b1", datasets=_datasets(leads))
     outcome = tables.clear()
     counts = [
         tables.read(t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), F.lit(outcome[t]).alias("outcome"), "rows")

@@ -21,6 +21,7 @@ def builder(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession.Build
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")  # the JVM only interprets longer methods
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
