@@ -146,3 +146,16 @@ def test_streams_of_files_leave_what_a_batch_leaves(spark):
 
     got = QUERIES["stream_feeds"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) >= 4 and all(r.stream == r.batch for r in got)
+
+
+def test_ids_and_texts_are_made_where_rows_are_read(spark, monkeypatch):
+    kept = {}
+    staged = batch.staged
+    monkeypatch.setattr(batch, "staged", lambda df, name, **k: kept.setdefault(name, staged(df, name, **k)))
+    mapped = rows(spark, ["ada", "ada", "bob", "number"]).withColumn("dataset_id", F.lit("d"))
+    done = batch.process(mapped, batch.timestamp(NOW))
+    assert all(c not in t.columns for t in kept.values() for c in ("lead_id", "diagnosis", "suggested_action"))
+    found = done.leads.unionByName(done.duplicates).select("ord", "lead_id", "duplicate_of_lead_id", "status", "diagnosis").collect()
+    by = {r.ord: r for r in found}
+    assert done.datasets == 1 and sorted(by) == [0, 1, 2] and len({r.lead_id for r in found}) == 3 and all(r.diagnosis for r in found)
+    assert by[1].status == "duplicate" and by[1].duplicate_of_lead_id == by[0].lead_id

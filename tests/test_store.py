@@ -202,3 +202,22 @@ def test_deciding_rows_of_whole_row_logs(spark, tmp_path):
     assert {(r.source, r.canonical_field) for r in s.read("mapping_memory").collect()} == {("a", "phone_e164"), (None, "email")}
     assert {(r.first_ord, r.next_ord, r.logged_at) for r in s.read("batches").collect()} == {(0, 5, t[2]), (5, 12, t[0])}
     assert s.read("dispositions").count() == 2
+
+
+def test_rows_of_few_datasets_are_written_where_they_are(spark, tmp_path):
+    rows = leads(spark, [{"dataset_id": f"d{i % 2}"} for i in range(40)]).repartition(5)
+    for name, known, files in (("few", 2, 10), ("many", store.FEW_FOLDERS + 1, 2), ("unknown", None, 2)):
+        tables = store.Store(spark, f"file:{tmp_path}/{name}")
+        tables.append("leads", rows, "b", datasets=known)
+        tables.append("leads", rows, "b", datasets=known)  # again: replaced
+        assert sorted(ids(tables.read("leads"))) == sorted(ids(rows))
+        assert len(list((tmp_path / name / "leads").glob("dataset_id=*/batch_id=b/part-*.parquet"))) == files
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_quarantined_rows_are_not_gathered_in_one_task(spark, tmp_path):
+    bad = spark.range(0, 400, 1, 4).select(F.lit("facebook").alias("source"), F.col("id").cast("string").alias("raw_data"), F.lit("r").alias("reason"), F.lit("m").alias("error_message"), F.lit(0).alias("retries_used"))
+    tables = store.Store(spark, f"file:{tmp_path}/bad")
+    tables.append("quarantine", bad, "b")
+    assert len(list((tmp_path / "bad" / "quarantine").glob("batch_id=b/part-*.parquet"))) == 4
+    assert tables.read("quarantine").select(F.col("raw_data").cast("int").alias("x")).agg(F.sum("x")).first()[0] == 400 * 399 // 2
