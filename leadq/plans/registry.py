@@ -738,6 +738,10 @@ def scan_csv_folder(spark, sf):
     return records.select(*[F.coalesce(*[_field(h[k]) for h in _CSV_FEEDS.values()]).alias(k) for k in _FORM])
 
 
+#: Rows of a CSV file that `scan_csv_quotes` writes, about.
+_FILE_ROWS = 250_000
+
+
 @register
 def scan_csv_quotes(spark, sf):
     """Submissions as CSV files whose values hold line breaks, quotes and commas, read in splits."""
@@ -746,9 +750,10 @@ def scan_csv_quotes(spark, sf):
     note = F.concat(F.lit("said "), F.lit('"'), "order_day", F.lit('",\nthen "'), F.coalesce("email", F.lit("")), F.lit("\n\nend"))
     cells = [F.col("ord").cast("string"), F.when(F.col("ord") % 3 == 0, quoted(note)).otherwise(F.concat("order_day", F.lit('"'))), quoted(F.coalesce("email", F.lit("?")))]
     path = new_folder(spark, "quotes")
-    rows = s.repartition(4, "ord").sortWithinPartitions("ord").select(F.concat_ws(",", *cells).alias("value"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = max(4, -(-s.count() // _FILE_ROWS))  # one task sorts and writes a file
+    rows = s.repartition(parts, "ord").sortWithinPartitions("ord").select(F.concat_ws(",", *cells).alias("value"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     headers = rows.select("part").distinct().select(F.lit("Ref,Note,Mail").alias("value"), "part", F.lit(-1).cast("long").alias("at"))
-    rows.unionByName(headers).repartition(4, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    rows.unionByName(headers).repartition(parts, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
     records = feeds.read_csv_upload(spark, path).records
     return records.select(*[_field(h).alias(h.lower()) for h in ("Ref", "Note", "Mail")])
 

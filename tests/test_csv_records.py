@@ -103,3 +103,31 @@ def test_headers_that_come_twice_or_are_empty(spark, tmp_path):
     feed = feeds.read_csv_upload(spark, put(tmp_path, "twice", "Email,Email,email,,Email.1\n1,2,3,4,5\n"))
     assert [dict(r.raw) for r in feed.records.collect()] == [{"Email": "1", "Email.1": "2", "email": "3", "_c3": "4", "Email.1.1": "5"}]
     assert feeds.header_names('﻿"A ""b""",B') == ['A "b"', "B"]
+
+
+def test_chunks_of_a_split_are_put_together(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    texts = ["a", "two\nlines", '"', 'x","y', "\n\nlate", '""\n""', "a\nb\nc\nd\ne\nf\ng\nh\ni"]
+    rows = [[f"id{i}", rng.choice(texts), rng.choice(texts)] for i in range(300)]
+    path = put(tmp_path, "f", written([["id", "one", "two"], *rows]))
+    monkeypatch.setattr(records, "CHUNK_BITS", 2)  # of four lines each
+    monkeypatch.setattr(records, "TASK_LINES", 64)
+    got = told(feeds.read_csv_upload(spark, path))
+    assert len(got) == 300 and got == whole(spark, path, ["id", "one", "two"])
+
+
+def test_tasks_follow_the_lines(spark, tmp_path, monkeypatch):
+    """One split of many lines isn't one task's to sort."""
+    path = put(tmp_path, "f", written([["id", "one"], *[[str(i), "x\ny"] for i in range(2000)]]))
+    monkeypatch.setattr(records, "CHUNK_BITS", 5)
+    monkeypatch.setattr(records, "TASK_LINES", 100)
+    kept = {}
+    staged = records.staged
+    monkeypatch.setattr(records, "staged", lambda df, name, *a, **k: kept.setdefault(name, staged(df, name, *a, **k)))
+    records.read_records(spark, [f.path for f in feeds_files(spark, path)])
+    files = {r.f: r.n for r in kept["csv-states"].groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()}
+    assert sum(files.values()) == 4001 and max(files.values()) < 1000
+
+
+def feeds_files(spark, path):
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path")).distinct().collect()
