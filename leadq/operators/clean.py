@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import zip_longest
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,49 +22,86 @@ def with_columns_missing_as_null(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.lit(None).cast("string") for n in missing}) if missing else df
 
 
-def rescue_names(df: DataFrame) -> DataFrame:
-    """Fill missing first and last names from the full name, then split a first name of several
-    words that came without a last name."""
-    df = with_columns_missing_as_null(df, ["full_name", "first_name", "last_name"])
+#: What a field takes to be cleaned: columns by name, step after step. A step reads what earlier ones made.
+Steps = list[dict[str, Column]]
+
+
+def _in_steps(df: DataFrame, *fields: Steps) -> DataFrame:
+    """Clean fields side by side, in one projection per step. Each projection copies the whole row, so fields that don't read each
+    other share it. Scratch columns are dropped."""
+    names = df.columns
+    for together in zip_longest(*fields, fillvalue={}):
+        df = df.withColumns({name: column for step in together for name, column in step.items()})
+    return df.drop(*[c for c in df.columns if c not in names])
+
+
+def _name_steps() -> Steps:
     first_missing = F.coalesce(strip(F.col("first_name")), F.lit("")) == ""
     last_missing = F.coalesce(strip(F.col("last_name")), F.lit("")) == ""
-    df = df.withColumn(_WORDS, F.when(first_missing | last_missing, C.name_words(F.col("full_name"))))
-    df = df.withColumns(
+    several = F.coalesce(F.size(_FIRST_WORDS) > 1, F.lit(False))
+    return [
+        {_WORDS: F.when(first_missing | last_missing, C.name_words(F.col("full_name")))},
         {
             "first_name": F.when(first_missing, C.first_word(F.col(_WORDS))).otherwise(F.col("first_name")),
             "last_name": F.when(last_missing, C.rest_of_words(F.col(_WORDS))).otherwise(F.col("last_name")),
-        }
-    )
-    df = df.withColumn(_FIRST_WORDS, F.when(F.coalesce(F.col("last_name"), F.lit("")) == "", C.name_words(F.col("first_name"))))
-    several = F.coalesce(F.size(_FIRST_WORDS) > 1, F.lit(False))
-    return df.withColumns(
+        },
+        {_FIRST_WORDS: F.when(F.coalesce(F.col("last_name"), F.lit("")) == "", C.name_words(F.col("first_name")))},
         {
             "first_name": F.when(several, C.first_word(F.col(_FIRST_WORDS))).otherwise(F.col("first_name")),
             "last_name": F.when(several, C.rest_of_words(F.col(_FIRST_WORDS))).otherwise(F.col("last_name")),
-        }
-    ).drop(_WORDS, _FIRST_WORDS, "full_name")
+        },
+    ]
+
+
+def _phone_steps(column: str = "phone_e164") -> Steps:
+    return [
+        {_DIGITS: strip(F.col(column))},
+        {_DIGITS: C.phone_digits(F.col(_DIGITS))},
+        {_FOREIGN: C.foreign_digits(F.col(_DIGITS))},
+        {_US: C.us_digits(F.col(_DIGITS), F.col(_FOREIGN))},
+        {column: C.e164(F.col(_US), F.col(_FOREIGN))},
+    ]
+
+
+def _email_steps(column: str = "email") -> Steps:
+    return [
+        {_EMAIL: C.email_text(F.col(column))},
+        {_EMAIL: C.valid_email(F.col(_EMAIL))},
+        {column: C.fix_email_domain(F.col(_EMAIL))},
+    ]
+
+
+def _time_steps(column: str = "created_at", epoch_text: bool = True) -> Steps:
+    """In steps, so that each one is small generated code and done once per row."""
+    return [
+        {_TIME: strip(F.col(column))},
+        {_ISO: C.year_first(F.col(_TIME))},
+        {_ISO: C.month_as_number(F.col(_ISO))},
+        {column: C.timestamp_from_iso(F.col(_ISO), F.col(_TIME), epoch_text)},
+    ]
+
+
+def _consent_steps(column: str = "consent") -> Steps:
+    return [{column: F.lower(strip(F.col(column)))}, {column: C.consent_from_text(F.col(column))}]
+
+
+def rescue_names(df: DataFrame) -> DataFrame:
+    """Fill missing first and last names from the full name, then split a first name of several
+    words that came without a last name."""
+    df = with_columns_missing_as_null(df, ["full_name", "first_name", "last_name"])
+    return _in_steps(df, _name_steps()).drop("full_name")
 
 
 def clean_phone(df: DataFrame, column: str = "phone_e164") -> DataFrame:
-    df = df.withColumn(_DIGITS, strip(F.col(column)))
-    df = df.withColumn(_DIGITS, C.phone_digits(F.col(_DIGITS)))
-    df = df.withColumn(_FOREIGN, C.foreign_digits(F.col(_DIGITS)))
-    df = df.withColumn(_US, C.us_digits(F.col(_DIGITS), F.col(_FOREIGN)))
-    return df.withColumn(column, C.e164(F.col(_US), F.col(_FOREIGN))).drop(_DIGITS, _FOREIGN, _US)
+    return _in_steps(df, _phone_steps(column))
 
 
 def clean_email(df: DataFrame, column: str = "email") -> DataFrame:
-    df = df.withColumn(_EMAIL, C.email_text(F.col(column)))
-    df = df.withColumn(_EMAIL, C.valid_email(F.col(_EMAIL)))
-    return df.withColumn(column, C.fix_email_domain(F.col(_EMAIL))).drop(_EMAIL)
+    return _in_steps(df, _email_steps(column))
 
 
 def clean_timestamp(df: DataFrame, column: str = "created_at", epoch_text: bool = True) -> DataFrame:
-    """In steps, so that each one is small generated code and done once per row."""
-    df = df.withColumn(_TIME, strip(F.col(column)))
-    df = df.withColumn(_ISO, C.year_first(F.col(_TIME)))
-    df = df.withColumn(_ISO, C.month_as_number(F.col(_ISO)))
-    return df.withColumn(column, C.timestamp_from_iso(F.col(_ISO), F.col(_TIME), epoch_text)).drop(_TIME, _ISO)
+    return _in_steps(df, _time_steps(column, epoch_text))
 
 
 def clean_leads(df: DataFrame, epoch_text: bool = True) -> DataFrame:
@@ -71,11 +110,7 @@ def clean_leads(df: DataFrame, epoch_text: bool = True) -> DataFrame:
     Native expressions only: one projection without a shuffle or a Python worker.
     """
     df = with_columns_missing_as_null(df, S.MAPPED_FIELDS)
-    df = rescue_names(df)
-    df = clean_email(clean_phone(df))
-    df = clean_timestamp(df, epoch_text=epoch_text)
-    df = df.withColumn("consent", F.lower(strip(F.col("consent"))))
-    return df.withColumn("consent", C.consent_from_text(F.col("consent")))
+    return _in_steps(df, _name_steps(), _phone_steps(), _email_steps(), _time_steps(epoch_text=epoch_text), _consent_steps()).drop("full_name")
 
 
 def check_contract(df: DataFrame) -> DataFrame:

@@ -122,3 +122,10 @@ def test_rejects_only_what_has_no_place(spark):
 def test_contract(spark):
     with pytest.raises(ValueError, match="consent"):
         clean.check_contract(spark.createDataFrame([], "first_name string, consent string"))
+
+
+def test_fields_that_do_not_read_each_other_share_a_projection(spark):
+    columns = ["first_name", "last_name", "full_name", "email", "phone_e164", "campaign_id", "consent", "created_at"]
+    df = spark.range(3).select(*[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in columns])
+    plan = clean.clean_leads(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if line.lstrip("+-: ").startswith("Project [")]) <= 6
