@@ -12,6 +12,7 @@ from leadq.functions.scoring import completeness
 from leadq.operators.graph import connected_components
 from leadq.operators.keys import DATASET, GLOBAL, KeyIndex, identifiers, known_keys, scoped_key  # noqa: F401
 from leadq.operators.skew import HEAVY_ROWS, join_groups
+from leadq.operators.validate import lead_id
 from leadq.session import cut, staged
 
 
@@ -79,16 +80,19 @@ def _rank() -> Column:
 def survivors(leads: DataFrame, scope: str = DATASET, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """`(ord, component, best_ord, best_lead_id)` for the members of every cluster.
 
-    The best member is an aggregate with a map-side combine, not a sort of the cluster.
+    The best member is an aggregate with a map-side combine, not a sort of the cluster. Ids that `leads` don't have yet are made for
+    the best members only.
     """
     clusters = components(leads.select("ord", "email", "phone_e164", "dataset_id"), scope, heavy_rows)
-    ranked = leads.select("ord", "lead_id", _rank().alias("rank"))  # ranks move, the fields they are made of don't
-    members = cut(ranked.join(clusters, "ord").select("ord", "component", "lead_id", "rank"))
-    best = members.groupBy("component").agg(
-        F.max_by(F.struct("ord", "lead_id"), F.col("rank")).alias("best"), F.count("*").alias("size")
-    )
+    given = "lead_id" in leads.columns
+    named = ["lead_id"] if given else ["dataset_id", "source"]
+    ranked = leads.select("ord", *named, _rank().alias("rank"))  # ranks move, the fields they are made of don't
+    members = cut(ranked.join(clusters, "ord").select("ord", "component", *named, "rank"))
+    best = members.groupBy("component").agg(F.max_by(F.struct("ord", *named), F.col("rank")).alias("best"), F.count("*").alias("size"))
+    best_id = F.col("best.lead_id") if given else lead_id(F.col("best.dataset_id"), F.col("best.source"), F.col("best.ord"))
+    best = best.select("component", F.col("best.ord").alias("best_ord"), best_id.alias("best_lead_id"), "size")
     return join_groups(members.select("ord", "component"), best, "component", "size", heavy_rows).select(
-        "ord", "component", F.col("best.ord").alias("best_ord"), F.col("best.lead_id").alias("best_lead_id")
+        "ord", "component", "best_ord", "best_lead_id"
     )
 
 
@@ -105,9 +109,9 @@ def decided(leads: DataFrame, stored: DataFrame | KeyIndex | None = None, scope:
     """`(ord, duplicate_of_lead_id)` of all duplicates: repeats within the batch first, then repeats of what is stored.
     Only identifiers move; whole rows meet the answer once, in `marked`."""
     within = losers(leads, scope, heavy_rows)
-    if stored is None:
+    if stored is None or (isinstance(stored, KeyIndex) and stored.own(scope).isEmpty()):  # nothing to repeat
         return within
-    slim = leads.select("ord", "email", "phone_e164", "dataset_id").join(within, "ord", "left_anti")
+    slim = staged(leads.select("ord", "email", "phone_e164", "dataset_id").join(within, "ord", "left_anti"), "fresh")  # read three times
     return cut(within.unionByName(stored_matches(slim, stored, scope, heavy_rows)))
 
 

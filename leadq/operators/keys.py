@@ -58,14 +58,17 @@ class KeyIndex:
     buckets: int = BUCKETS
     dataset_id: str | None = None
 
+    def own(self, scope: str) -> DataFrame:
+        """Rows of the index that a batch in this scope can match."""
+        return self.rows.filter(F.col("dataset_id") == self.dataset_id) if scope == DATASET and self.dataset_id is not None else self.rows
+
     def rows_for(self, incoming: DataFrame, scope: str) -> DataFrame:
         """`(key, ord, lead_id)` of the parts in which identifiers of `incoming` may lie. Which parts those are is the one thing
         that reaches the driver, at most `buckets` numbers; the others aren't opened."""
         each = incoming.select(F.explode(identifiers()).alias("_key"))
         parts = each.select(bucket_of(F.col("_key.kind"), F.col("_key.value"), self.buckets).alias("bucket")).distinct().collect()
-        rows = self.rows.filter(F.col("bucket").isin([r["bucket"] for r in parts])) if len(parts) < self.buckets else self.rows
-        if scope == DATASET and self.dataset_id is not None:
-            rows = rows.filter(F.col("dataset_id") == self.dataset_id)
+        rows = self.own(scope)
+        rows = rows.filter(F.col("bucket").isin([r["bucket"] for r in parts])) if len(parts) < self.buckets else rows
         return rows.select(scoped_key(F.col("kind"), F.col("value"), F.col("dataset_id"), scope).alias("key"), "ord", "lead_id")
 
 

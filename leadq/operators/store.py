@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +11,7 @@ from leadq.operators.keys import BUCKETS, KEYS, KeyIndex, index_rows
 from leadq.operators.logs import deciding, latest
 from leadq.operators.mapping import MEMORY
 from leadq.operators.skew import join_groups
+from leadq.session import open_files
 
 #: Tables whose rows belong to a batch, with their partition columns. A batch is replaced as a whole.
 PARTITIONS = {t: ["dataset_id", "batch_id"] for t in S.DATA_TABLES} | {"quarantine": ["batch_id"], "lead_keys": ["dataset_id", "bucket", "batch_id"]}
@@ -211,7 +209,7 @@ class Store:
         in_place = folders is not None and folders <= FEW_FOLDERS
         if not in_place:
             rows = rows.hint("rebalance", *partitions[:-1])  # whole files per dataset; a big dataset is split over many tasks
-        with self._open_files(FEW_FOLDERS if in_place else 0):
+        with open_files(self.spark, FEW_FOLDERS if in_place else 0):
             (
                 rows.write.mode("append" if keep else "overwrite")
                 .option("partitionOverwriteMode", "dynamic")
@@ -226,18 +224,6 @@ class Store:
             written = self.read("leads").filter(F.col("batch_id") == batch_id)
             self.append("lead_keys", index_rows(written, self.key_buckets), batch_id)
 
-    @contextmanager
-    def _open_files(self, files: int) -> Iterator[None]:
-        """A task that writes inside keeps that many files open before it sorts its rows by folder."""
-        conf, name = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
-        was = conf.get(name)
-        if files:
-            conf.set(name, str(files))
-        try:
-            yield
-        finally:
-            conf.set(name, was)
-
     def key_index(self, but: str | None = None, dataset_id: str | None = None) -> KeyIndex:
         """The index over all stored leads, or one dataset's, without the batch `but`, which is about to be written again."""
         rows = self.read("lead_keys")

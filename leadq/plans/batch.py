@@ -63,9 +63,9 @@ def process(
     rows = staged(rows.drop("lead_id"), "scored")
     parts = validate.split(rows)
     valid = parts.valid.drop("is_valid")
-    done = staged(dedup.marked(valid, dedup.decided(_identified(valid), stored, scope)), "marked")
-    is_duplicate = F.col("status") == S.DUPLICATE
-    tables = [score.finish(_identified(done.filter(x))) for x in (~is_duplicate, is_duplicate)]
+    done = dedup.marked(valid, dedup.decided(valid, stored, scope)).withColumn("_duplicate", F.col("status") == S.DUPLICATE)
+    done = staged(done, "marked", partition_by=["_duplicate"], folders=2)  # each table reads its own rows only
+    tables = [score.finish(_identified(done.filter(x).drop("_duplicate"))) for x in (~F.col("_duplicate"), F.col("_duplicate"))]
     return Batch(*tables, parts.invalid, rows.select("dataset_id").distinct().count())
 
 

@@ -75,9 +75,22 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+@contextlib.contextmanager
+def open_files(spark: SparkSession, files: int) -> Iterator[None]:
+    """A task that writes inside keeps that many files open before it sorts its rows by folder."""
+    conf, name = spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    was = conf.get(name)
+    if files:
+        conf.set(name, str(files))
+    try:
+        yield
+    finally:
+        conf.set(name, was)
+
+
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False, folders: int = 0) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that later passes over it read
-    only the columns they need and never repeat the work that produced it."""
+    only the columns they need and never repeat the work that produced it. Rows of up to `folders` folders are not sorted for them."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     if _open and not keep:
@@ -85,5 +98,6 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, keep
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with open_files(spark, folders):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from leadq.operators import dedup
 from leadq.operators.graph import connected_components
+from leadq.operators.keys import KEYS
 from leadq.operators.skew import join_groups
+from leadq.operators.validate import lead_id
 
 COLUMNS = "ord long, dataset_id string, email string, phone_e164 string, quality_score double"
 
@@ -122,3 +124,33 @@ def test_stored_leads_win_and_email_goes_before_phone(spark):
     assert outcome(dedup.against_stored(incoming, stored, dedup.GLOBAL)) == ({2}, {0: "L0", 1: "L1", 3: "L0"})
     keys = {(r.key, r.stored_lead_id) for r in dedup.existing_keys(incoming, stored).collect()}
     assert keys == {("email:d:a@x.com", "L0"), ("phone:d:+2", "L1")}
+
+
+def test_an_index_without_rows_of_the_dataset_is_not_looked_up(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("nothing is stored that could match")
+
+    monkeypatch.setattr(dedup.KeyIndex, "rows_for", never)
+    found = leads(spark, [("d", "a@x.com", None, 1.0), ("d", "a@x.com", None, 2.0), ("d", "b@x.com", None, 1.0)])
+    other = spark.createDataFrame([("email", "b@x.com", 9, "L9", "other", 0, "b")], KEYS)
+    index = dedup.KeyIndex(other, dataset_id="d")
+    assert [tuple(r) for r in dedup.decided(found, index).collect()] == [(0, "L1")]
+
+
+def test_a_full_index_is_looked_up_in_every_dataset_of_the_scope(spark):
+    found = leads(spark, [("d", "a@x.com", None, 1.0), ("d", "a@x.com", None, 2.0), ("d", "b@x.com", "+1", 1.0)])
+    rows = [("email", "b@x.com", 9, "L9", "other", 0, "b"), ("phone", "+1", 8, "L8", "d", 0, "b")]
+    rows = spark.createDataFrame(rows, KEYS).withColumn("bucket", F.pmod(F.xxhash64("kind", "value"), F.lit(16)).cast("int"))
+    near = dedup.decided(found, dedup.KeyIndex(rows, dataset_id="d"))
+    far = dedup.decided(found, dedup.KeyIndex(rows), scope=dedup.GLOBAL)
+    assert sorted(map(tuple, near.collect())) == [(0, "L1"), (2, "L8")]
+    assert sorted(map(tuple, far.collect())) == [(0, "L1"), (2, "L9")]
+
+
+def test_ids_of_the_best_are_made_where_leads_have_none(spark):
+    r = random.Random(5)
+    people = [(r.choice(["d1", "d2"]), f"p{r.randrange(9)}@x.com", None, float(r.randrange(4))) for _ in range(60)]
+    bare = leads(spark, people).drop("lead_id").withColumn("source", F.when(F.col("ord") % 2 == 0, "facebook").otherwise("instagram"))
+    named = bare.withColumn("lead_id", lead_id(F.col("dataset_id"), F.col("source"), F.col("ord")))
+    expected = sorted(map(tuple, dedup.survivors(named).collect()))
+    assert len(expected) > 20 and sorted(map(tuple, dedup.survivors(bare).collect())) == expected
