@@ -20,6 +20,7 @@ from leadq.functions.similarity import best_possible_ratio, cosine, indel_ratio,
 from leadq.functions.strings import lookup
 from leadq.operators.logs import latest
 from leadq.operators.skew import join_groups
+from leadq.session import staged
 
 MEMORY = T.StructType(
     [
@@ -41,6 +42,10 @@ FORM_HEADERS = {
     "How did you hear about us?": "campaign_id",
 }
 
+#: Groups of the cells of a column, by a hash of their position, whose lowest positions bound those of its first values.
+GROUPS = 32
+#: Columns whose bounds are broadcast, at most.
+MOST_BROADCAST = 500_000
 # Up to this many mapped columns are written into the projection; more are joined.
 INLINE_LIMIT = 500
 
@@ -57,17 +62,34 @@ def starter_memory(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, MEMORY)
 
 
+def _cells(records: DataFrame) -> DataFrame:
+    """The non-empty cells of all columns that aren't internal."""
+    cells = records.select("source", "ord", F.explode("raw").alias("field_name", "value"))
+    return cells.filter(~F.col("field_name").startswith("_") & (F.col("value") != ""))
+
+
 def profile_fields(records: DataFrame, samples: int = 5) -> DataFrame:
     """`(source, field_name, samples)`: the first non-empty values of every column in record
     order. Internal columns ('_...') and columns without a value get no row.
 
     The rank limit is applied within each task before the shuffle, so a column that every
-    record has moves at most `samples` values per task.
+    record has moves at most `samples` values per task. Only the rows up to a bound are ranked: cells are counted
+    off by the hash of their position, and the lowest positions of `samples` such groups are as many of the column's cells, so none of its
+    first ones lies beyond the last of them. A column with fewer groups is bounded by its last cell.
     """
-    values = (
-        records.select("source", "ord", F.explode("raw").alias("field_name", "value"))
-        .filter(~F.col("field_name").startswith("_") & (F.col("value") != ""))
-    )
+    values = _cells(records)
+    group = F.pmod(F.xxhash64("ord"), F.lit(GROUPS)).alias("_group")
+    ends = values.groupBy("source", "field_name", group).agg(F.min("ord").alias("_low"), F.max("ord").alias("_high"))
+    nth = F.get(F.array_sort(F.collect_list("_low")), F.lit(samples - 1))
+    bounds = staged(ends.groupBy("source", "field_name").agg(F.coalesce(nth, F.max("_high")).alias("_bound")), "bounds")
+    columns, last = bounds.agg(F.count("*"), F.max("_bound")).first()
+    if last is not None:
+        values = _cells(records.filter(F.col("ord").isNull() | (F.col("ord") <= last)))
+    if columns <= MOST_BROADCAST:
+        bounds = bounds.select(F.col("source").alias("_source"), F.col("field_name").alias("_name"), "_bound")
+        same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("field_name") == F.col("_name"))
+        near = values.join(F.broadcast(bounds), same)
+        values = near.filter(F.col("ord").isNull() | (F.col("ord") <= F.col("_bound"))).drop("_source", "_name", "_bound")
     order = Window.partitionBy("source", "field_name").orderBy("ord")
     first = values.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= samples)
     in_order = F.array_sort(F.collect_list(F.struct("n", "value")))

@@ -583,7 +583,9 @@ def dense_positions(spark, sf):
     tables, raw = store.Store(spark, new_folder(spark, "dense")), X.raw_records(spark, sf)
     ids = []
     for batch_id in ("d1", "d2", "d1"):
-        own = raw.filter(F.col("dataset_id") == batch_id).repartition(7, "ord").sortWithinPartitions("ord")
+        own = raw.filter(F.col("dataset_id") == batch_id)
+        parts = max(7, -(-own.count() // _FILE_ROWS))  # one task sorts and numbers a part
+        own = own.repartition(parts, "ord").sortWithinPartitions("ord")
         feed = feeds.Feed(own.select("source", "raw", F.array().cast("array<string>").alias("not_text")), quarantine.empty(spark))
         batch.run(feed, tables, mapping.starter_memory(spark), "d", batch_id, batch.datetime.fromisoformat(X.BATCH_TS), clock=_clock)
         ids.append(staged(tables.read("leads").filter(F.col("batch_id") == "d1").select("lead_id"), "ids", keep=True))
@@ -738,7 +740,7 @@ def scan_csv_folder(spark, sf):
     return records.select(*[F.coalesce(*[_field(h[k]) for h in _CSV_FEEDS.values()]).alias(k) for k in _FORM])
 
 
-#: Rows of a CSV file that `scan_csv_quotes` writes, about.
+#: Rows of a CSV file that `scan_csv_quotes` writes, about, and of a part of the uploads of `dense_positions`.
 _FILE_ROWS = 250_000
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -159,3 +160,27 @@ def test_ids_and_texts_are_made_where_rows_are_read(spark, monkeypatch):
     by = {r.ord: r for r in found}
     assert done.datasets == 1 and sorted(by) == [0, 1, 2] and len({r.lead_id for r in found}) == 3 and all(r.diagnosis for r in found)
     assert by[1].status == "duplicate" and by[1].duplicate_of_lead_id == by[0].lead_id
+
+
+def test_each_table_reads_its_own_rows_of_a_batch_only(spark):
+    done = batch.process(rows(spark, ["ada", "ada", "bo"]).withColumn("dataset_id", F.lit("d")), batch.timestamp(NOW))
+    for table, wanted in ((done.leads, 2), (done.duplicates, 1)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "_duplicate" in plan.split("PartitionFilters: [")[1].split("]")[0] and "_duplicate" not in table.columns
+        assert table.count() == wanted
+
+
+def test_profiles_rank_the_first_cells_only(spark):
+    at = random.Random(7).sample(range(100_000), 3_000)
+    cells = [(o, "ab"[o % 2], {"x": str(o), "rare": "r" if o % 997 == 0 else "", "_own": "1"} | ({"few": "f"} if i < 3 else {})) for i, o in enumerate(at)]
+    cells += [(at[0], "a", {"x": str(at[0])}), (None, "a", {"null": "n"}), (5, None, {"x": "nowhere"})]
+    records = spark.createDataFrame(cells, "ord long, source string, raw map<string,string>")
+    expected = {}
+    for o, source, raw in sorted(cells, key=lambda c: -1 if c[0] is None else c[0]):
+        for name, value in raw.items():
+            if value and not name.startswith("_"):
+                expected.setdefault((source, name), []).append(value)
+    expected = {k: v[:5] for k, v in expected.items()}
+    found = mapping.profile_fields(records)
+    assert {(r["source"], r["field_name"]): r["samples"] for r in found.collect()} == expected
+    assert "_bound" in found._jdf.queryExecution().optimizedPlan().toString()  # most cells are dropped before the sort
