@@ -18,6 +18,8 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 #: Lines of a file that tell its layout.
 LEADING = 9
+#: Groups of lines, by a hash of their position, whose lowest positions bound those of the leading lines.
+GROUPS = 64
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -31,16 +33,27 @@ def _named(lines: DataFrame) -> DataFrame:
     return named.filter((F.col("start") == 0) & (F.trim("value") != "")).drop("start")
 
 
+def _leading(lines: DataFrame, n: int) -> DataFrame:
+    """The first `n` lines of every file that aren't blank, and at most a few more: what stands behind a bound from one aggregate is
+    dropped, so no task sorts a whole split. The lowest positions of n groups of lines are those of n lines, so the first n are not behind them."""
+    named = _named(lines)
+    group = F.pmod(F.xxhash64("at"), F.lit(GROUPS)).alias("group")
+    ends = named.groupBy("path", group).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    nth = F.get(F.array_sort(F.collect_list("low")), F.lit(n - 1))
+    bounds = ends.groupBy("path").agg(F.coalesce(nth, F.max("high")).alias("bound"))
+    return named.join(F.broadcast(bounds), "path").filter(F.col("at") <= F.col("bound")).drop("bound")  # a row per file
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """`(path, first)`: the first line of every file that isn't blank, from a scan of text files."""
-    return _named(lines).groupBy("path").agg(F.min_by("value", "at").alias("first"))
+    return _leading(lines, 1).groupBy("path").agg(F.min_by("value", "at").alias("first"))
 
 
 def by_lines(lines: DataFrame) -> DataFrame:
     """`(path, by_lines)`: whether a file of JSON is one record a line: its first line is an object or array by itself, or most of
-    the next ones are, so that one bad line at the top doesn't make a document of it. The rank limit is applied before the shuffle."""
+    the next ones are, so that one bad line at the top doesn't make a document of it."""
     place = F.row_number().over(Window.partitionBy("path").orderBy("at"))
-    leading = _named(lines).withColumn("place", place).filter(F.col("place") <= LEADING)
+    leading = _leading(lines, LEADING).withColumn("place", place).filter(F.col("place") <= LEADING)
     kind = F.schema_of_variant(_document(F.col("value")))
     told = leading.withColumn("record", F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False)))
     first, later = F.col("place") == 1, F.col("place") > 1
@@ -48,17 +61,31 @@ def by_lines(lines: DataFrame) -> DataFrame:
     return told.groupBy("path").agg((F.bool_or(first & F.col("record")) | most).alias("by_lines"))
 
 
+def _unbalanced(lines: DataFrame) -> DataFrame:
+    """`(path)` of files that can't be one JSON document, because they open more brackets than they close or the other way round. A JSON string
+    has no line break in it, so each line is counted by itself. Files with a byte order mark are left out: a line's is dropped, a document's
+    is not unless it comes first."""
+    bare = F.regexp_replace(F.make_valid_utf8(F.col("value")), r'"(?:[^"\\]|\\.)*+"', "")
+    depth = F.length(F.regexp_replace(bare, r"[^\[{]", "")) - F.length(F.regexp_replace(bare, r"[^\]}]", ""))
+    marked = F.startswith(F.make_valid_utf8(F.col("value")), F.lit("\ufeff"))
+    told = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.sum(depth).alias("depth"), F.count_if(marked).alias("marked"))
+    return told.filter("depth != 0 and marked = 0").select("path")
+
+
 def read_bodies(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
     """`(value, whole)` rows of text: whole files, or single lines.
 
     `layout`: 'document' = one document per file, 'lines' = one per line, 'auto' = by content, whatever the size: a file
-    whose first line, or most of the next ones, is a JSON object or array by itself is read by lines, in splits, any other as one document. The
+    whose first line, or most of the next ones, is a JSON object or array by itself is read by lines, in splits, and so is one whose
+    brackets don't match; any other as one document, which a task holds whole. The
     paths of the documents come to the driver, which has listed all files for the scan anyway.
     """
     if layout == "auto":
         found = by_lines(spark.read.text(path)).collect()
         documents = [r["path"] for r in found if not r["by_lines"]]
-        lines = [r["path"] for r in found if r["by_lines"]]
+        broken = {r["path"] for r in _unbalanced(spark.read.text(documents)).collect()} if documents else set()
+        documents = [path for path in documents if path not in broken]  # no document: its lines are what is left to read
+        lines = [r["path"] for r in found if r["by_lines"] or r["path"] in broken]
     else:
         documents, lines = (path, []) if layout == "document" else ([], path)
     parts = []

@@ -183,3 +183,27 @@ def test_layout_of_json_files(spark, tmp_path):
     for i, (body, lines) in enumerate(shapes.items()):
         path = put(tmp_path, f"l{i}", body)
         assert [r.by_lines for r in text.by_lines(spark.read.text(path)).collect()] == [lines], body
+
+
+def test_layout_is_told_from_the_leading_lines_alone(spark, tmp_path):
+    good, bad = '{"a": 1}', '{"a": '
+    files = {"first": [good] + [bad] * 300, "next": ["", " ", bad] + [good] * 5 + [bad] * 300, "late": [bad] * 9 + [good] * 300, "short": [bad, good], "blank": ["", " "]}
+    for name, text_lines in files.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(text_lines))
+    lines = spark.read.text(str(tmp_path))
+    name = lambda path: path.rsplit("/", 1)[1].removesuffix(".txt")
+    assert {name(r["path"]): r["by_lines"] for r in text.by_lines(lines).collect()} == {"first": True, "next": True, "late": False, "short": True}
+    assert {name(r["path"]): r["first"] for r in text.first_lines(lines).collect()} == {"first": good, "next": bad, "late": bad, "short": bad}
+    assert text._leading(lines, 9).groupBy("path").count().agg({"count": "max"}).first()[0] < 30  # of 309 lines
+
+
+def test_files_that_are_no_document_are_not_read_whole(spark, tmp_path):
+    cut, good = '{"n": "}\\"{', '{"n": "]"}'
+    files = {"cut": [cut, good] * 20, "document": ["[", good, ",", good, "]"], "nested": ["{", '"n": "[{\\"",', '"m": {', '"x": [1,', "2]}", "}"], "marked": [cut, "﻿" + good] * 20}
+    for name, text_lines in files.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(text_lines))
+    bodies = text.read_bodies(spark, str(tmp_path)).collect()
+    assert sum(not b["whole"] for b in bodies) == 40 and sum(b["whole"] for b in bodies) == 3
+    auto, whole = feeds.read_landing_page(spark, str(tmp_path)), feeds.read_landing_page(spark, str(tmp_path), layout="document")
+    for a, b in ((auto.records.select(F.to_json("raw")), whole.records.select(F.to_json("raw"))), (auto.quarantine, whole.quarantine)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
