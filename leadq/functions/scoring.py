@@ -38,12 +38,21 @@ def band_or_unscored(score: Column) -> Column:
     return F.when(score.isNull(), "Unscored").otherwise(band(score))
 
 
-def _phrases(*rules: tuple[Column, Column | str]) -> Column:
-    texts = [F.when(when, F.lit(text) if isinstance(text, str) else text) for when, text in rules]
-    return F.array_compact(F.array(*texts))
+def _phrases(*rules: tuple[Column, Column | str]) -> list[Column]:
+    return [F.when(when, F.lit(text) if isinstance(text, str) else text) for when, text in rules]
 
 
-def strengths(flags: Column, campaign_id: Column) -> Column:
+def listed(phrases: list[Column]) -> Column:
+    return F.array_compact(F.array(*phrases))
+
+
+def joined(phrases: list[Column]) -> Column:
+    """What `listed` holds, as one text; '' for none. No list is built."""
+    return F.concat_ws(", ", *phrases)
+
+
+def strengths(flags: Column, campaign_id: Column) -> list[Column]:
+    """Phrases, each NULL unless it holds."""
     company = (
         flags["has_email"]
         & ~flags["email_is_free_provider"]
@@ -58,7 +67,7 @@ def strengths(flags: Column, campaign_id: Column) -> Column:
     )
 
 
-def concerns(flags: Column) -> Column:
+def concerns(flags: Column) -> list[Column]:
     return _phrases(
         (~flags["has_email"] & ~flags["has_phone"], "no email or phone on file"),
         (~flags["consent"], "no marketing consent captured"),
@@ -72,16 +81,17 @@ def concerns(flags: Column) -> Column:
 
 
 def diagnosis(score: Column, positive: Column, negative: Column) -> Column:
+    """`positive` and `negative` are joined phrases."""
     opening = F.when(score.isNull(), "Not yet scored.").otherwise(
         F.concat(band(score), F.lit("-quality lead (score "), shown_score(score).cast("string"), F.lit(")."))
     )
     return F.concat_ws(
         " ",
         opening,
-        F.when(F.size(positive) > 0, F.concat(F.lit("Strengths: "), F.array_join(positive, ", "), F.lit("."))),
-        F.when(F.size(negative) > 0, F.concat(F.lit("Concerns: "), F.array_join(negative, ", "), F.lit("."))),
+        F.when(positive != "", F.concat(F.lit("Strengths: "), positive, F.lit("."))),
+        F.when(negative != "", F.concat(F.lit("Concerns: "), negative, F.lit("."))),
         F.when(
-            (F.size(positive) == 0) & (F.size(negative) == 0),
+            (positive == "") & (negative == ""),
             "No standout signals either way -- an ordinary, complete lead.",
         ),
     )

@@ -12,7 +12,9 @@ SPACE_RUN = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
 def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITESPACE))
+    """Text that begins and ends with a visible ASCII character, which is most, is not searched for white space."""
+    bare = (value >= "!") & (value < "\x7f") & F.substring(value, -1, 1).between("!", "~")
+    return F.when(bare, value).otherwise(F.btrim(value, F.lit(WHITESPACE)))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -30,8 +32,8 @@ def literal_map(values: dict[str, str]) -> Column:
 
 
 def lookup(values: dict[str, str], key: Column) -> Column:
-    """Value for `key` in a small fixed dictionary, NULL when absent."""
-    return F.try_element_at(literal_map(values), key)
+    """Value for `key` in a small fixed dictionary, NULL when absent. A map is searched entry by entry, so most keys are ruled out by a hash."""
+    return F.when(key.isin(list(values)), F.try_element_at(literal_map(values), key))
 
 
 def quote(text: str) -> str:

@@ -24,11 +24,9 @@ class Resolved:
 
 def match_keys(leads: DataFrame, scope: str = DATASET, keep: list[str] | None = None) -> DataFrame:
     """One row per lead and identifier: `ord`, `key`, kept columns. Missing identifiers give no row."""
-    # explode_outer: the optimizer would repeat the cleaning in a filter on explode's input
-    world = [F.col("dataset_id").alias("_dataset")] if scope == DATASET else [F.lit(None).cast("string").alias("_dataset")]
-    each = leads.select("ord", *(keep or []), *world, F.explode_outer(identifiers()).alias("_key")).filter(F.col("_key").isNotNull())
-    key = scoped_key(F.col("_key.kind"), F.col("_key.value"), F.col("_dataset"), scope)
-    return each.select("ord", *(keep or []), key.alias("key"))
+    world = F.col("dataset_id") if scope == DATASET else F.lit(None).cast("string")
+    each = identifiers(leads, "ord", *(keep or []), world.alias("_dataset"))
+    return each.select("ord", *(keep or []), scoped_key(F.col("kind"), F.col("value"), F.col("_dataset"), scope).alias("key"))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:

@@ -27,10 +27,11 @@ KEYS = T.StructType(
 )
 
 
-def identifiers() -> Column:
-    """The identifiers of a lead, `(kind, value)`: email in lower case, phone. Missing ones are left out."""
-    pair = lambda kind, value: F.when(present(value), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-    return F.array_compact(F.array(pair("email", F.lower("email")), pair("phone", F.col("phone_e164"))))
+def identifiers(leads: DataFrame, *columns: str | Column) -> DataFrame:
+    """`columns` of the leads, and a row with `(kind, value)` for each of their identifiers: email in lower case, phone. Missing ones are left
+    out. No list is built, and the optimizer can't repeat in a filter below what `leads` are made by."""
+    each = F.stack(F.lit(2), F.lit("email"), F.lower("email"), F.lit("phone"), F.col("phone_e164"))
+    return leads.select(*columns, each.alias("kind", "value")).filter(present(F.col("value")))
 
 
 def bucket_of(kind: Column, value: Column, buckets: int) -> Column:
@@ -45,9 +46,7 @@ def scoped_key(kind: Column, value: Column, dataset_id: Column, scope: str) -> C
 def index_rows(leads: DataFrame, buckets: int = BUCKETS, keep: list[str] | None = None) -> DataFrame:
     """A row of the index per lead and identifier: a projection, nothing is grouped."""
     own = ["ord", "lead_id", "dataset_id", *(keep or [])]
-    each = leads.select(*own, F.explode_outer(identifiers()).alias("_key")).filter(F.col("_key").isNotNull())
-    kind, value = F.col("_key.kind"), F.col("_key.value")
-    return each.select(kind.alias("kind"), value.alias("value"), *own, bucket_of(kind, value, buckets).alias("bucket"))
+    return identifiers(leads, *own).select("kind", "value", *own, bucket_of(F.col("kind"), F.col("value"), buckets).alias("bucket"))
 
 
 @dataclass
@@ -65,8 +64,7 @@ class KeyIndex:
     def rows_for(self, incoming: DataFrame, scope: str) -> DataFrame:
         """`(key, ord, lead_id)` of the parts in which identifiers of `incoming` may lie. Which parts those are is the one thing
         that reaches the driver, at most `buckets` numbers; the others aren't opened."""
-        each = incoming.select(F.explode(identifiers()).alias("_key"))
-        parts = each.select(bucket_of(F.col("_key.kind"), F.col("_key.value"), self.buckets).alias("bucket")).distinct().collect()
+        parts = identifiers(incoming).select(bucket_of(F.col("kind"), F.col("value"), self.buckets).alias("bucket")).distinct().collect()
         rows = self.own(scope)
         rows = rows.filter(F.col("bucket").isin([r["bucket"] for r in parts])) if len(parts) < self.buckets else rows
         return rows.select(scoped_key(F.col("kind"), F.col("value"), F.col("dataset_id"), scope).alias("key"), "ord", "lead_id")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadq import schema as S
 from leadq.functions import cleaning as C
@@ -24,11 +26,9 @@ def lead_id(dataset_id: Column, source: Column, ord_: Column) -> Column:
     return F.sha2(F.concat_ws(":", dataset_id, source, ord_.cast("string")), 256)
 
 
-def _error(when: Column, field: str, message: str, kind: str) -> Column:
-    return F.when(
-        F.coalesce(when, F.lit(False)),
-        F.struct(F.array(F.lit(field)).alias("loc"), F.lit(message).alias("msg"), F.lit(kind).alias("type")),
-    )
+def _error(when: Column, field: str, message: str, kind: str) -> tuple[Column, Column]:
+    found = F.coalesce(when, F.lit(False))
+    return found, F.when(found, F.struct(F.array(F.lit(field)).alias("loc"), F.lit(message).alias("msg"), F.lit(kind).alias("type")))
 
 
 def errors_column(not_text: Column, cleaned: bool = False) -> Column:
@@ -45,7 +45,8 @@ def errors_column(not_text: Column, cleaned: bool = False) -> Column:
         checks.insert(2, _error(~phone_form, "phone_e164", message, "string_pattern_mismatch"))
     expected = ", ".join(f"'{s}'" for s in S.SOURCES[:-1]) + f" or '{S.SOURCES[-1]}'"
     checks.insert(-1, _error(~F.coalesce(F.col("source").isin(S.SOURCES), F.lit(False)), "source", f"Input should be {expected}", "enum"))
-    return F.array_compact(F.array(*checks))
+    some = reduce(lambda a, b: a | b, [found for found, _ in checks])  # most records have none: no list is put together for them
+    return F.when(some, F.array_compact(F.array(*[error for _, error in checks]))).otherwise(F.array().cast(T.ArrayType(S.ERROR)))
 
 
 def validate(df: DataFrame, batch_ts: Column, cleaned: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from leadq.functions import display
 from leadq.operators import analytics, clean, datasets, dedup, mapping, score, validate
 from leadq.operators.positions import dense
 from leadq.operators.store import Store, scoped
-from leadq.session import staged, temporary
+from leadq.session import balanced, staged, temporary
 from leadq.sources.feeds import Feed, numbered
 
 
@@ -34,14 +34,14 @@ def timestamp(value: datetime | str) -> Column:
     return F.lit(str(value)).cast("timestamp")
 
 
-def prepare(mapped: DataFrame, batch_ts: Column, model: GBTRegressionModel | None = None, epoch_text: bool = True) -> DataFrame:
+def prepare(mapped: DataFrame, batch_ts: Column, model: GBTRegressionModel | None = None, epoch_text: bool = True, keep: bool = False) -> DataFrame:
     """Cleaned, validated and scored rows with their `errors`: one projection over the scan. With a `model` its
-    prediction is the score."""
+    prediction is the score. With `keep` they carry their signals."""
     cleaned = clean.check_contract(clean.clean_leads(mapped, epoch_text))
     valid = validate.validate(cleaned, batch_ts, cleaned=True)
     if model is None:
-        return score.score(valid)
-    return score.score(scorer.predict(model, valid), F.col("prediction")).drop("prediction")
+        return score.score(valid, keep=keep)
+    return score.score(scorer.predict(model, valid), F.col("prediction"), keep).drop("prediction")
 
 
 def process(
@@ -59,14 +59,15 @@ def process(
     and the marked rows are written once for the tables to be split from. What follows from other columns, the ids and the texts, is
     neither staged nor moved: it is made where it is read.
     """
-    rows = prepare(mapped, batch_ts, model).withColumn("is_valid", F.size("errors") == 0)
-    rows = staged(rows.drop("lead_id"), "scored")
-    parts = validate.split(rows)
-    valid = parts.valid.drop("is_valid")
-    done = dedup.marked(valid, dedup.decided(valid, stored, scope)).withColumn("_duplicate", F.col("status") == S.DUPLICATE)
-    done = staged(done, "marked", partition_by=["_duplicate"], folders=2)  # each table reads its own rows only
-    tables = [score.finish(_identified(done.filter(x).drop("_duplicate"))) for x in (~F.col("_duplicate"), F.col("_duplicate"))]
-    return Batch(*tables, parts.invalid, rows.select("dataset_id").distinct().count())
+    rows = prepare(mapped, batch_ts, model, keep=True).withColumn("is_valid", F.size("errors") == 0)
+    with balanced(mapped.sparkSession):
+        rows = staged(rows.drop("lead_id"), "scored")
+        parts = validate.split(rows)
+        valid = parts.valid.drop("is_valid")
+        done = dedup.marked(valid, dedup.decided(valid, stored, scope)).withColumn("_duplicate", F.col("status") == S.DUPLICATE)
+        done = staged(done, "marked", partition_by=["_duplicate"], folders=2)  # each table reads its own rows only
+        tables = [score.finish(_identified(done.filter(x).drop("_duplicate"))) for x in (~F.col("_duplicate"), F.col("_duplicate"))]
+        return Batch(*tables, parts.invalid, rows.select("dataset_id").distinct().count())
 
 
 def _identified(rows: DataFrame) -> DataFrame:
@@ -100,9 +101,10 @@ def positions(store: Store, records: DataFrame, batch_id: str, now: Column) -> D
 
 
 def write(batch: Batch, store: Store, batch_id: str) -> None:
-    store.append("duplicate_leads", batch.duplicates, batch_id, datasets=batch.datasets)
-    store.append("invalid_leads", batch.invalid, batch_id, datasets=batch.datasets)
-    store.append("leads", batch.leads, batch_id, datasets=batch.datasets)
+    with balanced(store.spark, batch.leads.sparkSession):
+        store.append("duplicate_leads", batch.duplicates, batch_id, datasets=batch.datasets)
+        store.append("invalid_leads", batch.invalid, batch_id, datasets=batch.datasets)
+        store.append("leads", batch.leads, batch_id, datasets=batch.datasets)
 
 
 def summary(store: Store, batch_id: str) -> DataFrame:

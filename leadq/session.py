@@ -88,6 +88,32 @@ def open_files(spark: SparkSession, files: int) -> Iterator[None]:
         conf.set(name, was)
 
 
+#: Tasks for each core that a stage is cut into, where it has rows enough.
+TASKS_PER_CORE = 3
+
+
+@contextlib.contextmanager
+def balanced(*sessions: SparkSession) -> Iterator[None]:
+    """Stages inside have several tasks for each core, so that their last ones don't leave most cores idle, and a join whose smaller side
+    is small in every task is made by hash, without sorting the rows of the other side."""
+    was = []
+    for spark in {id(s._jsparkSession): s for s in sessions}.values():
+        tasks = str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        names = {
+            "spark.sql.files.minPartitionNum": tasks,
+            "spark.sql.adaptive.coalescePartitions.minPartitionNum": tasks,
+            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"),
+        }
+        was += [(spark, name, spark.conf.get(name, None)) for name in names]
+        for name, value in names.items():
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for spark, name, value in was:
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False, folders: int = 0) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that later passes over it read
     only the columns they need and never repeat the work that produced it. Rows of up to `folders` folders are not sorted for them."""

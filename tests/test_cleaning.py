@@ -3,7 +3,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from leadq import schema as S
 from leadq.functions import cleaning as C
+from leadq.functions.strings import WHITESPACE, lookup, strip
 from leadq.operators import clean, validate
 
 
@@ -129,3 +131,18 @@ def test_fields_that_do_not_read_each_other_share_a_projection(spark):
     df = spark.range(3).select(*[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in columns])
     plan = clean.clean_leads(df)._jdf.queryExecution().optimizedPlan().toString()
     assert len([line for line in plan.splitlines() if line.lstrip("+-: ").startswith("Project [")]) <= 6
+
+
+def test_strip_of_odd_ends(spark):
+    texts = ["", " ", "a", "a b", " a", "a\t", "\u00a0a", "a\u3000", "\u3000", "é", "é ", "aé", "~", "!", "\x7f", "\x00a", "😀", "a\x1f"]
+    assert values(frame(spark, texts).withColumn("out", strip(F.col("v"))), "out") == [x.strip(WHITESPACE) for x in texts]
+    domains = ["gmial.com", "gmail.com", None, ""]
+    assert values(frame(spark, domains).withColumn("out", lookup(S.EMAIL_DOMAIN_TYPOS, F.col("v"))), "out") == ["gmail.com", None, None, None]
+
+
+def test_errors_are_an_empty_list_where_there_are_none(spark):
+    df = spark.createDataFrame([("facebook", []), ("fax", ["first_name"]), (None, None)], "source string, not_text array<string>")
+    got = [r.e for r in df.select(validate.errors_column(F.col("not_text"), cleaned=True).alias("e")).collect()]
+    assert [e and [x.type for x in e] for e in got] == [[], ["string_type", "enum"], ["enum"]]
+    plan = df.select(validate.errors_column(F.col("not_text"), cleaned=True).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan.split("filter(")[0]  # the list is made for records with errors only

@@ -8,6 +8,7 @@ from leadq.operators.graph import connected_components
 from leadq.operators.keys import KEYS
 from leadq.operators.skew import join_groups
 from leadq.operators.validate import lead_id
+from leadq.session import balanced
 
 COLUMNS = "ord long, dataset_id string, email string, phone_e164 string, quality_score double"
 
@@ -154,3 +155,24 @@ def test_ids_of_the_best_are_made_where_leads_have_none(spark):
     named = bare.withColumn("lead_id", lead_id(F.col("dataset_id"), F.col("source"), F.col("ord")))
     expected = sorted(map(tuple, dedup.survivors(named).collect()))
     assert len(expected) > 20 and sorted(map(tuple, dedup.survivors(bare).collect())) == expected
+
+
+def test_balanced_stages(spark):
+    """Inside, joins of small sides don't sort and stages have several tasks a core; settings are as before afterwards, after an error too."""
+    names = ["spark.sql.files.minPartitionNum", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.coalescePartitions.minPartitionNum"]
+    before = [spark.conf.get(n, None) for n in names]
+    rows = spark.range(2000).withColumn("x", F.col("id") * 2).repartition(4)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        with pytest.raises(KeyError), balanced(spark, spark):
+            assert int(spark.conf.get(names[0])) >= 2 * spark.sparkContext.defaultParallelism
+            joined = rows.join(spark.range(0, 2000, 3).repartition(3), "id", "left")
+            assert joined.count() == 2000
+            joined.collect()
+            plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "ShuffledHashJoin" in plan and "Sort " not in plan
+            raise KeyError
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert [spark.conf.get(n, None) for n in names] == before

@@ -82,3 +82,11 @@ def test_positions_of_many_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(positions, "MOST_BROADCAST", 2)
     assert sorted(r.ord for r in dense(spark.range(100, numPartitions=9).select("id")).collect()) == list(range(100))
+
+
+def test_identifiers_are_rows_without_lists(spark):
+    rows = [(1, "A@x.com", "+1415"), (2, None, "+1415"), (3, "", None), (4, "b@x.com", "")]
+    df = spark.createDataFrame(rows, "ord long, email string, phone_e164 string")
+    found = keys.identifiers(df, "ord")
+    assert sorted(map(tuple, found.collect())) == [(1, "email", "a@x.com"), (1, "phone", "+1415"), (2, "phone", "+1415"), (4, "email", "b@x.com")]
+    assert "array" not in found._jdf.queryExecution().optimizedPlan().toString()

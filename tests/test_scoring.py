@@ -69,3 +69,13 @@ def test_rescoring_keeps_duplicates(spark):
 def test_model_goes_before_rules(spark):
     df = score.score(leads(spark, {}, {}), F.when(F.col("ord") == 0, 120.0))
     assert one(df, "quality_score") == [100.0, 85.0]
+
+
+def test_kept_signals_give_the_same_texts_without_looking_at_the_fields_again(spark):
+    rows = leads(spark, {}, {"email": None, "phone_e164": None, "consent": False}, {"email": "test@x.com"}, {"first_name": "asdf", "campaign_id": ""},
+                 {"phone_e164": "+14155550199", "email": "a@mailinator.com"}, {"consent": None, "first_name": None, "last_name": None})
+    kept, plain = score.finish(score.score(rows, keep=True)), score.finish(score.score(rows))
+    assert kept.columns == plain.columns and kept.orderBy("ord").collect() == plain.orderBy("ord").collect()
+    written = score.score(rows, keep=True).localCheckpoint()
+    plan = score.finish(written)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "filter(" not in plan  # neither patterns nor lists
