@@ -145,7 +145,7 @@ class Looked:
         shape = np.empty(n, dtype=np.uint64)
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(b, a[i] + V.PIECE, side="right")))
+            j = max(i + 1, int(np.searchsorted(b, a[i] + V.STEP, side="right")))
             shape[i:j] = V.spans(_VALUES[shaped[a[i] : b[j - 1]]], a[i:j] - a[i], b[i:j] - a[i], V.BASE)
             i = j
         shape = V.mix64(shape)

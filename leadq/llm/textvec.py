@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once. A longer text is one piece; only its words are kept whole.
 PIECE = 1 << 20
+#: Bytes or words that are hashed at once: the powers kept by a worker and the arrays of a step are that long. Hashes don't depend on it.
+STEP = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xC2B2AE3D27D4EB4F
 
@@ -36,7 +38,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i for i < n at least."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, PIECE + 4096)
+        size = max(n, STEP + 4096)
         both = []
         for b in (base, pow(base, -1, 2**64)):
             a = np.full(size, b, dtype=np.uint64)
@@ -67,7 +69,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `size` bytes in a string or binary column each, one row at least."""
+    """Slices of the batches with about `size` bytes in a string or binary column each, one row at least. After the last one the
+    worker, which later tasks use again, hands back the memory that it doesn't need."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,6 +81,14 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = PIECE) -> I
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del batch
+    release()
+
+
+def release() -> None:
+    """Hand free memory back to the system: Arrow's own, and that of the C library, which numpy and Python use."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +116,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     i = 0
     while i < len(starts):
         a = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, a + PIECE, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, a + STEP, side="right")))
         out[i:j] = spans(_BYTE_VALUES[data[a : ends[j - 1]]], starts[i:j] - a, ends[i:j] - a, BASE)
         i = j
     out += (ends - starts).astype(np.uint64)
@@ -118,8 +129,8 @@ def window_hashes(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.empty(n, dtype=np.uint64)
-    for i in range(0, n, PIECE):
-        m = min(PIECE, n - i)
+    for i in range(0, n, STEP):
+        m = min(STEP, n - i)
         starts = np.arange(m)
         out[i : i + m] = spans(words[i : i + m + width - 1], starts, starts + width, base)
     return out

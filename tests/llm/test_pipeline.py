@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from leadq.llm import bpe, quality  # noqa: E402
+from leadq.llm import textvec as V  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,44 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("doc_id < 40").union(odd), SF).count() >= 30
         assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def test_workers_get_rows_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+
+    def stage(spark, docs, sf_dir):
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+        long = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefghij', 200) AS text")
+        return corpus_pipeline.sparing(long).mapInArrow(sizes, "size long")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", stage)])
+    seen = [r["size"] for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sum(seen) > 18_000_000 and max(seen) < 3_000_000
+    assert spark.conf.get(name) == was
+
+
+def test_workers_keep_little_and_hash_the_same(monkeypatch):
+    text = pa.array(["word " * 300_000 + "x" * 300_000, None, "ä b", "last one"])
+    looked = []
+    for step in (V.STEP, V.PIECE, 1000):
+        monkeypatch.setattr(V, "STEP", step)
+        monkeypatch.setattr(V, "_powers", {})
+        words, counts = V.word_hashes(*V.bytes_of(text))
+        looked.append((words.tolist(), counts.tolist(), V.window_hashes(words, 5).tolist(), quality.Looked(text).features.tolist()))
+    assert looked[0] == looked[1] == looked[2]
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    told = []
+    monkeypatch.setattr(V, "_powers", {})
+    monkeypatch.setattr(V, "release", lambda: told.append(1))
+    batches = iter([pa.RecordBatch.from_pydict({"text": ["some words " * 200_000, "b"]})])
+    for piece in V.pieces(batches, "text"):
+        V.word_hashes(*V.bytes_of(piece.column("text")))
+        assert not told
+    assert told == [1]
+    assert sum(a.nbytes for both in V._powers.values() for a in both) < 4_000_000
