@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadq import schema as S
 from leadq.operators.store import scoped, with_disposition
-from leadq.functions.scoring import concerns, strengths
+from leadq.functions.scoring import concerns, listed, strengths
 from leadq.operators.score import with_signals
 
 SCORE_RANGES = {"all": (None, None), "high": (70, 100), "medium": (40, 69), "low": (0, 39)}
@@ -153,7 +153,7 @@ def explained(leads: DataFrame) -> DataFrame:
     flags = F.col("_signals")
     return with_signals(leads).select(
         "lead_id",
-        strengths(flags, F.col("campaign_id")).alias("positive_signals"),
-        concerns(flags).alias("negative_signals"),
+        listed(strengths(flags, F.col("campaign_id"))).alias("positive_signals"),
+        listed(concerns(flags)).alias("negative_signals"),
         "diagnosis", "suggested_action", "quality_score", "status",
     )

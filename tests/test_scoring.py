@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from leadq.functions import scoring as R
-from leadq.operators import score
+from leadq.operators import ranking, score
 
 COLUMNS = "ord long, first_name string, last_name string, email string, phone_e164 string, source string, campaign_id string, consent boolean, created_at string"
 
@@ -52,6 +52,17 @@ def test_texts(spark):
     assert fake.suggested_action.startswith("Verify before any outreach")
 
 
+def test_stored_texts_come_with_their_signals_as_lists(spark):
+    stored = score.finish(score.score(leads(spark, {}, {"email": None, "phone_e164": None, "consent": None, "campaign_id": ""}, {"first_name": None, "last_name": None})))
+    stored = stored.withColumn("lead_id", F.concat(F.lit("L"), "ord"))
+    good, bare, unnamed = ranking.explained(stored).orderBy("lead_id").collect()
+    assert good.positive_signals == ["opted in to contact", "non-personal email domain", "both email and phone captured", "attributed to campaign 'c1'"]
+    assert good.negative_signals == [] and bare.positive_signals == [] and unnamed.negative_signals == ["no name captured"]
+    assert bare.negative_signals == ["no email or phone on file", "no marketing consent captured"]
+    assert (good.quality_score, good.status, bare.status) == (85.0, "clean", "flagged")
+    assert good.diagnosis == f"High-quality lead (score 85). Strengths: {', '.join(good.positive_signals)}."
+
+
 def test_unscored(spark):
     df = score.explain(leads(spark, {"consent": False}).withColumn("quality_score", F.lit(None).cast("double")))
     row = df.collect()[0]
