@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from leadq import generate, model
+from leadq import schema as S
 from leadq.operators import mapping
 from leadq.operators.store import Store
 from leadq.plans import batch
@@ -39,3 +40,16 @@ def test_scorer_learns_the_rules(spark):
     assert error < 8
     predicted = model.predict(trees, leads)
     assert predicted.count() == leads.count() and "prediction" in predicted.columns
+
+
+def test_trees_and_thresholds_come_from_all_rows(spark):
+    """Three rows have a signal, and nothing else tells their label: a sample of the rows, or of the values of a feature, misses them."""
+    rows, rare = spark.range(60_000).withColumnRenamed("id", "ord"), F.col("ord") % 15_000 == 5_003
+    flat = {c: F.lit(0.0) for c in S.FEATURES} | {"created_hour": (F.col("ord") % 24).cast("double"), "phone_is_placeholder": rare.cast("double")}
+    training = rows.select("ord", *[v.alias(c) for c, v in flat.items()], F.when(rare, 90.0).otherwise(10.0).alias("label"))
+    trained, _ = model.hold_out(training)
+    assert trained.count() > 40_000 and trained.filter(rare).count() == 3
+    trees, _ = model.train(training, rounds=2, step=1.0)
+    root = trees.trees[0]._call_java("rootNode").impurityStats()
+    assert abs(root.count() - 0.8 * trained.count()) < 500  # of each round's rows, a fifth is left out
+    assert trees.featureImportances[S.FEATURES.index("phone_is_placeholder")] > 0.9
