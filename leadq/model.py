@@ -51,9 +51,9 @@ ROOT_ROWS, TASK_ROWS = 10_000, 1_000_000
 
 
 def _dealt(training: DataFrame, rows: int) -> DataFrame:
-    """Rows in an order that follows from them alone, so that each round draws the same ones on every run."""
-    tasks = max(1, math.ceil(math.sqrt(rows / ROOT_ROWS)), math.ceil(rows / TASK_ROWS))
-    return training.repartition(tasks, *training.columns).sortWithinPartitions(*training.columns)
+    """Rows in an order that follows from them alone, by a hash of `ord`, so that each round draws the same ones on every run."""
+    tasks = max(1, math.isqrt(rows // ROOT_ROWS), math.ceil(rows / TASK_ROWS))
+    return training.repartition(tasks, *training.columns).sortWithinPartitions(F.xxhash64("ord", F.lit("draw")), *training.columns)
 
 
 def train(training: DataFrame, rounds: int = ROUNDS, step: float = STEP) -> tuple[GBTRegressionModel, float]:
